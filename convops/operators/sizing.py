@@ -1,0 +1,22 @@
+"""Broadcast only sides whose size is proven small.
+
+``broadcast_if_small`` runs a bounded probe (``limit(max_rows + 1).count()`` — it stops reading after max_rows + 1
+rows) and hints a broadcast only if the side fits; otherwise the frame is returned unchanged and the planner keeps a
+shuffle (sort-merge) join, which AQE may still turn into a broadcast at runtime from real shuffle sizes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension tables up to this many rows are broadcast (a few MB at the widest platform row).
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
+
+
+def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if fits(df, max_rows) else df
