@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from convops.plans import audits as A
 from convops.plans import reports as R
+from convops.plans.oracle_audits import audits_sql
 from convops.plans.oracle_reports import reports_sql
 from convops.sources.binding import bind
 
@@ -45,13 +47,21 @@ def report_queries() -> dict[str, Query]:
     }
 
 
+def audit_queries() -> dict[str, Query]:
+    out = {name: _on_bound(fn) for name, fn in A.AUDITS.items()}
+    out["audit_all"] = _on_bound(A.audit_all)
+    return out
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(report_queries())
+    out.update(audit_queries())
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(reports_sql())
+    out.update(audits_sql())
     return out
