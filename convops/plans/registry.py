@@ -6,9 +6,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from convops.plans import audits as A
 from convops.plans import reports as R
+from convops.plans import requests as Q
+from convops.plans import rules as J
+from convops.plans.oracle_rules import rules_sql
 from convops.plans.oracle_audits import audits_sql
 from convops.plans.oracle_reports import reports_sql
 from convops.sources.binding import bind
@@ -53,10 +57,49 @@ def audit_queries() -> dict[str, Query]:
     return out
 
 
+RULE_JOBS = ["generate_invoices", "mark_paid", "start_conversations", "upsert_feedback", "archive_conversations",
+             "move_conversations", "add_users", "update_users", "delete_users", "create_workspaces",
+             "modify_workspaces", "add_members", "create_personas", "update_personas", "delete_personas",
+             "add_templates", "update_templates", "share_templates", "create_tickets", "assign_tickets",
+             "resolve_tickets"]
+
+
+def run_job(t, name: str):
+    """Run rule job ``name`` on its request table derived from the bound test tables."""
+    req = getattr(Q, name)(t)
+    if name == "admit_messages":
+        # replay of the message log: the prior table is the message table without the replayed rows
+        prior = t.message.join(req.select(F.col("req_id").alias("message_id")), "message_id", "left_anti")
+        return J.admit_messages(t, req, prior)
+    if name == "add_bookmarks":
+        prior = t.message_bookmark.join(req.select("user_id", "message_id"), ["user_id", "message_id"], "left_anti")
+        return J.add_bookmarks(t, req, prior)
+    return getattr(J, name)(t, req)
+
+
+def _decisions(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_job(bind(spark, sf_dir), name).decisions
+    run.__name__ = name
+    return run
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = bind(spark, sf_dir)
+    return J.cascade_summary(t, run_job(t, "delete_users").tables)
+
+
+def rule_queries() -> dict[str, Query]:
+    out = {name: _decisions(name) for name in RULE_JOBS + ["admit_messages", "add_bookmarks"]}
+    out["cascade_delete"] = _cascade
+    return out
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(report_queries())
     out.update(audit_queries())
+    out.update(rule_queries())
     return out
 
 
@@ -64,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(reports_sql())
     out.update(audits_sql())
+    out.update(rules_sql())
     return out
