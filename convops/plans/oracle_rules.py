@@ -374,4 +374,15 @@ def rules_sql() -> dict[str, str]:
                ("dm", "select message_id from message where conversation_id in (select conversation_id from dc)"),
                ("dt", "select template_id from prompt_template where owner_user_id in (select user_id from du)")]
     out["cascade_delete"] = with_binding(CASCADE_BODY, deleted)
+    out["admit_messages_stream"] = with_binding(
+        "select req_id, conversation_id, sender_role, status, reason from admitted",
+        [("req", REQ["admit_messages"])] + EXTRA["admit_messages"] + [("admitted", BODY["admit_messages"])])
+    from convops.sources.schemas import TABLES
+    out["scan_tables"] = with_binding("\nunion all\n".join(
+        f"select '{n}' as \"table\", count(*) as row_count from {n}" for n in TABLES))
+    out["write_version"] = with_binding(
+        """select 'decisions' as "table", count(*) as row_count from decided
+           union all select 'invoice', (select count(*) from invoice)
+                                       + (select count(*) from decided where status = 'accepted')""",
+        [("req", REQ["generate_invoices"]), ("decided", BODY["generate_invoices"])])
     return out

@@ -89,9 +89,52 @@ def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.cascade_summary(t, run_job(t, "delete_users").tables)
 
 
+def _admit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming limiter over the replayed message log: requests are written once as files (the stream
+    source), processed with an availableNow trigger into a parquet sink, and the sink is read back."""
+    from convops.sources.store import new_version_dir
+    from convops.streaming.admit_stream import admit_stream, complete_decisions, read_requests, run_to_completion
+    t = bind(spark, sf_dir)
+    req = Q.admit_messages(t)
+    root = new_version_dir(spark, label="admit-stream")
+    req.write.mode("errorifexists").parquet(f"{root}/source")
+    prior = t.message.join(req.select(F.col("req_id").alias("message_id")), "message_id", "left_anti")
+    decisions = admit_stream(t, read_requests(spark, f"{root}/source"), prior)
+    run_to_completion(decisions, f"{root}/sink", f"{root}/_checkpoint")
+    return complete_decisions(spark, f"{root}/source", f"{root}/sink")
+
+
+def _scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed scan of all fifteen platform tables: row count per table (one partial-aggregate pass each)."""
+    from convops.sources.schemas import TABLES
+    t = bind(spark, sf_dir)
+    counts = [t[name].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table"), "row_count")
+              for name in TABLES]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def _write_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run a rule job, persist its outputs as a new version folder (errorifexists) and read them back typed."""
+    from convops.sources.store import new_version_dir, read_table, write_version
+    t = bind(spark, sf_dir)
+    paths = write_version(run_job(t, "generate_invoices"), new_version_dir(spark, label="generate_invoices"))
+    frames = [read_table(spark, path, name).agg(F.count(F.lit(1)).alias("row_count"))
+              .select(F.lit(name).alias("table"), "row_count") for name, path in sorted(paths.items())]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def rule_queries() -> dict[str, Query]:
     out = {name: _decisions(name) for name in RULE_JOBS + ["admit_messages", "add_bookmarks"]}
     out["cascade_delete"] = _cascade
+    out["admit_messages_stream"] = _admit_stream
+    out["scan_tables"] = _scan_tables
+    out["write_version"] = _write_version
     return out
 
 
