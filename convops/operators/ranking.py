@@ -1,15 +1,18 @@
-"""Running rank within a group, split into time buckets so a hot group is not one task.
+"""Running rank within a group that never puts a hot group into one task.
 
-``rank = row_number() OVER (PARTITION BY group ORDER BY ts, tiebreak)`` puts a whole group in one task. If one
+``rank = row_number() OVER (PARTITION BY group ORDER BY ts, tiebreak)`` sends a whole group to one task; if one
 user-day held a third of all messages, so would one task. Instead:
 
-1. cut each group into time buckets (``date_trunc(unit, ts)``) — contiguous runs in the order;
-2. count rows per (group, bucket) — an aggregate with map-side partial counts;
-3. per group, the running total of earlier buckets — a window over the *count* table (at most one row per bucket,
-   e.g. 1,440 per user-day at minute buckets);
-4. rank = offset of the bucket + row_number within (group, bucket).
+1. range-partition on the *full* order key (group, ts, tiebreak): the sampled range bounds split a hot group into
+   several partitions, each a contiguous run of the group's order — however the rows are spread over time;
+2. checkpoint the tagging (partition id per row) to the shared checkpoint folder, so both uses below — and any
+   recomputation after an executor loss — see the same assignment;
+3. rank rows within (partition, group): a window whose partitions are runs, bounded by partition size;
+4. count rows per (group, partition) — at most #groups + #partitions rows, since runs are contiguous — and take
+   per group the running total of earlier partitions (a window over that small count table);
+5. rank = offset + local rank.
 
-All built-in operators; the result equals the single window exactly because buckets are monotone in ``ts``.
+Exact (equal to the single window) because runs are contiguous in the order. Group columns must be non-null.
 """
 
 from __future__ import annotations
@@ -19,16 +22,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convops.session import checkpoint_dir
+
 
 def running_rank(df: DataFrame, group: Sequence[str], ts: str, tiebreak: Sequence[str], name: str = "rank",
-                 unit: str = "minute") -> DataFrame:
-    b = "__bucket"
-    with_b = df.withColumn(b, F.date_trunc(unit, F.col(ts)))
-    counts = with_b.groupBy(*group, b).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    local = Window.partitionBy(*group, b).orderBy(F.col(ts), *[F.col(c) for c in tiebreak])
-    ranked = with_b.withColumn("__local", F.row_number().over(local))
-    # equality on all group columns; NULL group values never match (they are filtered by callers)
-    out = ranked.join(offsets, [*group, b], "inner")
-    return out.withColumn(name, (F.col("__off") + F.col("__local")).cast("long")).drop(b, "__n", "__off", "__local")
+                 num_partitions: int | None = None) -> DataFrame:
+    order = [*group, ts, *tiebreak]
+    checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    tagged = ranged.withColumn("__p", F.spark_partition_id()).checkpoint(eager=True)
+    local = Window.partitionBy("__p", *group).orderBy(F.col(ts), *[F.col(c) for c in tiebreak])
+    ranked = tagged.withColumn("__local", F.row_number().over(local))
+    counts = tagged.groupBy(*group, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    out = ranked.join(offsets, [*group, "__p"], "inner")
+    return out.withColumn(name, (F.col("__off") + F.col("__local")).cast("long")).drop("__p", "__off", "__local")

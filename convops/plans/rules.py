@@ -9,7 +9,7 @@ Row-at-a-time effects inside a batch are reproduced exactly with set operations:
 * "already exists" checks also see earlier accepted requests of the same batch (``mark_first`` — an aggregate, so
   a hot key is collapsed map-side);
 * field updates keep the last accepted request per (row, field) (``last_per_key``), then one left join per table;
-* rate limiting ranks a user's USER messages of a day (``running_rank`` — hot user-days split into time buckets);
+* rate limiting ranks a user's USER messages of a day (``running_rank`` — hot user-days split by range partitioning);
 * new ids follow the sequence order (``assign_ids`` — per-partition offsets, no single-task window).
 Existence probes are joins against key sets; dimension-sized sides go through ``broadcast_if_small``.
 """
@@ -122,7 +122,7 @@ def start_conversations(t: Tables, req: DataFrame) -> JobResult:
     return JobResult(decisions, {"conversation": t.conversation.unionByName(_typed(new_rows, "conversation"))})
 
 
-def admit_messages(t: Tables, req: DataFrame, prior: DataFrame | None = None, bucket: str = "minute") -> JobResult:
+def admit_messages(t: Tables, req: DataFrame, prior: DataFrame | None = None) -> JobResult:
     """Conversation must exist; code 1 = USER, else AI. A USER message is rejected once the conversation owner's
     USER messages of that calendar day — across all conversations, prior ones included — reached the tier limit.
     AI messages are never limited; an owner without a tier has no limit.
@@ -142,7 +142,7 @@ def admit_messages(t: Tables, req: DataFrame, prior: DataFrame | None = None, bu
                     .groupBy("owner_id", F.to_date("time_sent").alias("day")).agg(F.count(F.lit(1)).alias("prior_n")))
     counted = F.col("owner_id").isNotNull() & (F.col("sender_role") == "USER")
     limited = d.where(counted).join(prior_counts, ["owner_id", "day"], "left")
-    limited = running_rank(limited, ["owner_id", "day"], "req_ts", ["req_id"], "day_rank", unit=bucket)
+    limited = running_rank(limited, ["owner_id", "day"], "req_ts", ["req_id"], "day_rank")
     free = (d.where(~counted).withColumn("prior_n", F.lit(None).cast("long"))
              .withColumn("day_rank", F.lit(None).cast("long")))
     d = limited.unionByName(free)

@@ -12,11 +12,12 @@ req_id):
   keeps only a running top-k (k = remaining allowance) while it reads the group's Arrow chunks, so a hot user-day
   costs O(k + chunk) memory, never the whole group.
 
-Lateness (the reference has no notion of it): a watermark on req_ts with delay ``lateness``. State of a user-day
-is removed by an event-time timeout when the watermark passes the day's end plus ``lateness``. As in every Spark
-stateful operator, rows behind the watermark never reach the state function. They are not lost: the source folder
-is the request log, and ``late_requests`` (an anti join of the log against the emitted decisions) returns each of
-them as ``rejected / late``; ``complete_decisions`` is the union of both, one row per request.
+Lateness (the reference has no notion of it): a watermark on req_ts with delay ``lateness``. A user-day is
+*closed* once the watermark passes its end plus ``lateness``; its state is then removed by an event-time timeout.
+A row that arrives for a closed day is emitted as ``rejected / late`` by the state function. Should a Spark
+version discard rows behind the watermark before the function sees them, nothing is lost either: the source
+folder is the request log and ``late_requests`` (an anti join of the log against the emitted decisions) returns
+every undecided request as ``rejected / late``; ``complete_decisions`` is one row per request.
 
 Arrival order decides: rows of one micro-batch are taken in (req_ts, req_id) order after all earlier batches, so
 the stream equals the batch job whenever files arrive in time order (tested with multi-batch runs).
@@ -56,10 +57,18 @@ def _decide_group(lateness_ms: int):
             state.remove()
             return
         day_end_ms = int((dt.datetime.combine(day, dt.time()) + dt.timedelta(days=1) - EPOCH).total_seconds() * 1000)
+        close_ms = day_end_ms + lateness_ms
+        closed = state.getCurrentWatermarkMs() >= close_ms
+        cols = ["req_id", "conversation_id", "sender_role"]
+        if closed:  # the day's count is gone (or going): nothing arriving now can be decided against it
+            for chunk in chunks:
+                yield chunk[cols].assign(status="rejected", reason="late")
+            if state.exists:
+                state.remove()
+            return
         accepted = state.get[0] if state.exists else None
         top = None  # running top-k rows of this micro-batch in (req_ts, req_id) order
         k = None
-        cols = ["req_id", "conversation_id", "sender_role"]
         for chunk in chunks:
             if accepted is None:
                 accepted = int(chunk["prior_n"].iloc[0]) if pd.notna(chunk["prior_n"].iloc[0]) else 0
@@ -75,7 +84,7 @@ def _decide_group(lateness_ms: int):
             accepted += len(top)
         if accepted is not None:
             state.update((accepted,))
-            state.setTimeoutTimestamp(day_end_ms + lateness_ms)
+            state.setTimeoutTimestamp(close_ms)
     return fn
 
 
