@@ -7,8 +7,7 @@ wins, exactly like the reference's sequence of early returns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +30,25 @@ def with_reason(df: DataFrame, checks: Sequence[tuple[str, Column]]) -> DataFram
               .withColumn("status", F.when(F.col("reason").isNull(), F.lit(ACCEPTED)).otherwise(F.lit(REJECTED))))
 
 
-@dataclass
 class JobResult:
     """Outputs of one rule job.
 
     decisions  one row per request: req_id, status, reason, plus job-specific columns (e.g. the new id)
-    tables     new versions of the platform tables the job changed (name -> DataFrame)
+    tables     new versions of the platform tables the job changed (name -> DataFrame). Built on first access
+               when given as ``build`` — a decisions-only caller never pays for e.g. a delete cascade.
     """
 
-    decisions: DataFrame
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    def __init__(self, decisions: DataFrame, tables: dict[str, DataFrame] | None = None,
+                 build: Callable[[], dict[str, DataFrame]] | None = None):
+        self.decisions = decisions
+        self._tables = tables
+        self._build = build
+
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        if self._tables is None:
+            self._tables = self._build() if self._build else {}
+        return self._tables
 
     @property
     def accepted(self) -> DataFrame:

@@ -57,62 +57,118 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def audit_primary_keys(t: Tables) -> DataFrame:
-    out = []
+# --- row-level rules: one pass per table ---------------------------------------------------------------------
+def _row_violations(table: str, rules: set[str]) -> list[tuple[str, Column]]:
+    """(rule, detail) pairs for ``table``; detail is NULL when the row passes that check."""
+    out: list[tuple[str, Column]] = []
+    if "not_null" in rules:
+        texts = text_columns(table)
+        for c in not_null_columns(table):
+            missing = F.col(c).isNull()
+            if c in texts:
+                missing = missing | (F.trim(F.col(c)) == "")
+            out.append(("not_null", F.when(missing, F.lit(c))))
+    if "enum" in rules:
+        for tb, c, allowed in ENUMS:
+            if tb == table:
+                out.append(("enum", F.when(F.col(c).isNotNull() & ~F.col(c).isin(*allowed),
+                                           F.concat(F.lit(c + "="), F.col(c)))))
+    if "length" in rules:
+        for tb, c, n in LENGTHS:
+            if tb == table:
+                out.append(("length", F.when(F.length(c) > n, F.concat(F.lit(f"{c} length "),
+                                                                       F.length(c).cast("string"), F.lit(f" > {n}")))))
+    if "ticket_closed" in rules and table == "support_ticket":
+        closed = F.col("status").isin(*CLOSED_TICKET_STATUSES)
+        out.append(("ticket_closed", F.when(closed != F.col("closed_time").isNotNull(), F.concat(
+            F.col("status"), F.when(F.col("closed_time").isNull(), F.lit(" without closed_time"))
+            .otherwise(F.lit(" with closed_time"))))))
+    return out
+
+
+def _row_pass(df: DataFrame, table: str, checks: list[tuple[str, Column]]) -> DataFrame:
+    """Evaluate all checks in one scan; emit one row per (row, failed check)."""
+    arr = F.array(*[F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")) for rule, detail in checks])
+    bad = df.select(_key(PRIMARY_KEYS[table]).alias("key"), F.filter(arr, lambda x: x["detail"].isNotNull()).alias("__v"))
+    return (bad.where(F.size("__v") > 0).select("key", F.explode("__v").alias("__x"))
+               .select(F.col("__x.rule").alias("rule"), F.lit(table).alias("table"), "key",
+                       F.col("__x.detail").alias("detail")))
+
+
+def _row_audit(t: Tables, rules: set[str]) -> DataFrame:
+    frames = []
+    raw_messages = "message_raw" in t.names()
     for table in TABLES:
-        pk = PRIMARY_KEYS[table]
-        any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
-        g = t[table].groupBy(*pk).agg(F.count(F.lit(1)).alias("n"))
-        bad = g.where((F.col("n") > 1) | any_null)
-        detail = F.when(any_null, F.lit("null key")).otherwise(F.concat(F.lit("duplicate x"), F.col("n").cast("string")))
-        out.append(_shape(bad, "primary_key", table, _key(pk), detail))
-    return _union(out)
+        own = rules - {"enum"} if (table == "message" and raw_messages) else rules
+        checks = _row_violations(table, own)
+        if checks:
+            frames.append(_row_pass(t[table], table, checks))
+        if table == "message" and raw_messages and "enum" in rules:
+            # roles outside the enum only exist in the raw feed, before the platform table's role filter
+            frames.append(_row_pass(t.message_raw, table, _row_violations(table, {"enum"})))
+    return _union(frames)
+
+
+# --- key rules: one aggregation per (table, key set) ---------------------------------------------------------
+def _key_audit(t: Tables, rules: set[str]) -> DataFrame:
+    """Primary keys, unique keys and functional dependencies share one aggregate per (table, left side):
+    row count per key plus min/max of each dependent column set. All partial aggregates — a hot key is collapsed
+    map-side. FD X -> Y is violated when min(Y) != max(Y) within an X group."""
+    frames = []
+    for table in TABLES:
+        key_sets: list[tuple[str, ...]] = []
+        if "primary_key" in rules:
+            key_sets.append(PRIMARY_KEYS[table])
+        if "unique_key" in rules:
+            key_sets += [cols for tb, cols in UNIQUE_KEYS if tb == table]
+        fds = [(lhs, rhs) for tb, lhs, rhs in FDS if tb == table] if "fd" in rules else []
+        key_sets += [lhs for lhs, _ in fds]
+        for ks in dict.fromkeys(key_sets):
+            my_fds = [rhs for lhs, rhs in fds if lhs == ks]
+            aggs = [F.count(F.lit(1)).alias("__n")]
+            for i, rhs in enumerate(my_fds):
+                aggs += [F.min(F.struct(*rhs)).alias(f"__lo{i}"), F.max(F.struct(*rhs)).alias(f"__hi{i}")]
+            g = t[table].groupBy(*ks).agg(*aggs)
+            any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ks])
+            checks: list[tuple[str, Column]] = []
+            if "primary_key" in rules and ks == PRIMARY_KEYS[table]:
+                checks.append(("primary_key", F.when(any_null, F.lit("null key")).when(
+                    F.col("__n") > 1, F.concat(F.lit("duplicate x"), F.col("__n").cast("string")))))
+            if "unique_key" in rules and (table, ks) in UNIQUE_KEYS:
+                checks.append(("unique_key", F.when(~any_null & (F.col("__n") > 1), F.concat(
+                    F.lit(",".join(ks) + " duplicate x"), F.col("__n").cast("string")))))
+            for i, rhs in enumerate(my_fds):
+                checks.append(("fd", F.when(F.col(f"__lo{i}") != F.col(f"__hi{i}"),
+                                            F.lit(f"{','.join(ks)} -> {','.join(rhs)}"))))
+            if not checks:
+                continue
+            arr = F.array(*[F.struct(F.lit(r).alias("rule"), d.cast("string").alias("detail")) for r, d in checks])
+            frames.append(g.select(_key(ks).alias("key"), F.filter(arr, lambda x: x["detail"].isNotNull()).alias("__v"))
+                           .where(F.size("__v") > 0).select("key", F.explode("__v").alias("__x"))
+                           .select(F.col("__x.rule").alias("rule"), F.lit(table).alias("table"), "key",
+                                   F.col("__x.detail").alias("detail")))
+    return _union(frames)
+
+
+def audit_primary_keys(t: Tables) -> DataFrame:
+    return _key_audit(t, {"primary_key"})
 
 
 def audit_unique_keys(t: Tables) -> DataFrame:
-    out = []
-    for table, cols in UNIQUE_KEYS:
-        no_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-        g = t[table].where(no_null).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        out.append(_shape(g, "unique_key", table, _key(cols),
-                          F.concat(F.lit(",".join(cols) + " duplicate x"), F.col("n").cast("string"))))
-    return _union(out)
+    return _key_audit(t, {"unique_key"})
 
 
 def audit_not_null(t: Tables) -> DataFrame:
     """NOT NULL columns holding NULL — or blank text, which the reference's database stores as NULL."""
-    out = []
-    for table in TABLES:
-        texts = text_columns(table)
-        fails = []
-        for c in not_null_columns(table):
-            missing = F.col(c).isNull()
-            if c in texts:
-                missing = missing | (F.trim(F.col(c)) == "")
-            fails.append(F.when(missing, F.lit(c)))
-        df = t[table].select(_key(PRIMARY_KEYS[table]).alias("__key"), F.array_compact(F.array(*fails)).alias("__f"))
-        df = df.where(F.size("__f") > 0).select("__key", F.explode("__f").alias("__col"))
-        out.append(_shape(df, "not_null", table, F.col("__key"), F.col("__col")))
-    return _union(out)
+    return _row_audit(t, {"not_null"})
 
 
 def audit_enums(t: Tables) -> DataFrame:
-    out = []
-    for table, col, allowed in ENUMS:
-        src = t.message_raw if (table == "message" and "message_raw" in t.names()) else t[table]
-        bad = src.where(F.col(col).isNotNull() & ~F.col(col).isin(*allowed))
-        out.append(_shape(bad, "enum", table, _key(PRIMARY_KEYS[table]),
-                          F.concat(F.lit(col + "="), F.col(col))))
-    return _union(out)
+    return _row_audit(t, {"enum"})
 
 
 def audit_ticket_closed(t: Tables) -> DataFrame:
-    st = t.support_ticket
-    closed = F.col("status").isin(*CLOSED_TICKET_STATUSES)
-    bad = st.where(closed != F.col("closed_time").isNotNull())
-    return _shape(bad, "ticket_closed", "support_ticket", _key(["ticket_id"]),
-                  F.concat(F.col("status"), F.when(F.col("closed_time").isNull(), F.lit(" without closed_time"))
-                           .otherwise(F.lit(" with closed_time"))))
+    return _row_audit(t, {"ticket_closed"})
 
 
 def audit_foreign_keys(t: Tables) -> DataFrame:
@@ -129,12 +185,7 @@ def audit_foreign_keys(t: Tables) -> DataFrame:
 
 
 def audit_lengths(t: Tables) -> DataFrame:
-    out = []
-    for table, col, n in LENGTHS:
-        bad = t[table].where(F.length(col) > n)
-        out.append(_shape(bad, "length", table, _key(PRIMARY_KEYS[table]),
-                          F.concat(F.lit(f"{col} length "), F.length(col).cast("string"), F.lit(f" > {n}"))))
-    return _union(out)
+    return _row_audit(t, {"length"})
 
 
 def audit_feedback_role(t: Tables) -> DataFrame:
@@ -187,15 +238,8 @@ def audit_rate_limit(t: Tables) -> DataFrame:
 
 
 def audit_fds(t: Tables) -> DataFrame:
-    """X -> Y holds iff no X group has two different Y. Checked as min(Y) != max(Y) per group: a plain partial
-    aggregate (no distinct), so a hot X group costs one row per map task in the shuffle."""
-    out = []
-    for table, lhs, rhs in FDS:
-        y = F.struct(*rhs)
-        g = (t[table].groupBy(*lhs).agg(F.min(y).alias("__lo"), F.max(y).alias("__hi"))
-             .where(F.col("__lo") != F.col("__hi")))
-        out.append(_shape(g, "fd", table, _key(lhs), F.lit(f"{','.join(lhs)} -> {','.join(rhs)}")))
-    return _union(out)
+    """X -> Y holds iff no X group has two different Y (checked as min(Y) != max(Y): no distinct aggregation)."""
+    return _key_audit(t, {"fd"})
 
 
 def persona_snapshot_drift(t: Tables) -> DataFrame:
@@ -227,5 +271,10 @@ AUDITS = {
 
 
 def audit_all(t: Tables) -> DataFrame:
-    """Every audit in one frame (one pass per rule; union of the results)."""
-    return _union([fn(t) for fn in AUDITS.values()])
+    """Every audit in one frame. Row-level rules share one scan per table, key rules one aggregate per
+    (table, key set); the reference and cross-table rules are joins."""
+    rest = [fn(t) for name, fn in AUDITS.items()
+            if name not in ("audit_primary_keys", "audit_unique_keys", "audit_fds", "audit_not_null", "audit_enums",
+                            "audit_ticket_closed", "audit_lengths")]
+    return _union([_row_audit(t, {"not_null", "enum", "length", "ticket_closed"}),
+                   _key_audit(t, {"primary_key", "unique_key", "fd"})] + rest)

@@ -311,7 +311,7 @@ def delete_users(t: Tables, req: DataFrame) -> JobResult:
           .withColumn("status", F.when(F.col("reason").isNull(), F.lit(ACCEPTED)).otherwise(F.lit(REJECTED))))
     decisions = d.select("req_id", "user_id", "status", "reason")
     deleted = decisions.where(_acc()).select("user_id")
-    return JobResult(decisions, cascade_delete(t, {"llm_user": deleted}))
+    return JobResult(decisions, build=lambda: cascade_delete(t, {"llm_user": deleted}))
 
 
 def _topological_tables() -> list[str]:
@@ -483,7 +483,7 @@ def delete_personas(t: Tables, req: DataFrame) -> JobResult:
     d = (d.withColumn("reason", F.when(_acc() & ~F.col("is_first"), F.lit("no_persona")).otherwise(F.col("reason")))
           .withColumn("status", F.when(F.col("reason").isNull(), F.lit(ACCEPTED)).otherwise(F.lit(REJECTED))))
     decisions = d.select("req_id", "persona_id", "status", "reason", "active_count")
-    return JobResult(decisions, cascade_delete(t, {"persona": decisions.where(_acc()).select("persona_id")}))
+    return JobResult(decisions, build=lambda: cascade_delete(t, {"persona": decisions.where(_acc()).select("persona_id")}))
 
 
 # --- prompt templates -----------------------------------------------------------------------------------------

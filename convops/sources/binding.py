@@ -267,18 +267,42 @@ _BINDERS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+# sf_dir -> folder holding a stored copy of the platform tables (see ``store.materialize``)
+_MATERIALIZED: dict[str, str] = {}
+
+
+def register_materialized(sf_dir: str, platform_dir: str) -> None:
+    """From now on ``bind(spark, sf_dir)`` reads the stored copy in ``platform_dir`` instead of re-deriving."""
+    _MATERIALIZED[os.path.normpath(sf_dir)] = platform_dir
+
+
 def bind(spark: SparkSession, sf_dir: str) -> Tables:
-    """Platform tables derived from the driver's raw tables under ``sf_dir``."""
+    """Platform tables derived from the driver's raw tables under ``sf_dir`` (or their stored copy, if one was
+    registered with ``register_materialized``)."""
+    stored = _MATERIALIZED.get(os.path.normpath(sf_dir))
+    if stored:
+        return load(spark, stored, raw_dir=sf_dir)
     t = Tables(spark, _BINDERS)
     t._sf_dir = sf_dir  # type: ignore[attr-defined]
     # raw tables are also reachable for request derivation
-    for name in ("customer", "nation", "region", "supplier", "part", "orders", "events", "labels", "conversations"):
+    for name in RAW_TABLES:
         t._builders[f"raw_{name}"] = (lambda n: (lambda tt: _raw(tt, n)))(name)
     return t
 
 
-def load(spark: SparkSession, platform_dir: str) -> Tables:
-    """Platform tables materialised as parquet under ``platform_dir/<table>`` (explicit schemas)."""
+RAW_TABLES = ("customer", "nation", "region", "supplier", "part", "orders", "events", "labels", "conversations")
+
+
+def load(spark: SparkSession, platform_dir: str, raw_dir: str | None = None) -> Tables:
+    """Platform tables materialised as parquet under ``platform_dir/<table>`` (explicit schemas). ``raw_dir``
+    additionally exposes the raw tables (``raw_<name>``) from which request tables are derived."""
     builders = {name: (lambda n: (lambda tt: spark.read.schema(SCHEMAS[n]).parquet(os.path.join(platform_dir, n))))(name)
                 for name in TABLES}
-    return Tables(spark, builders)
+    if os.path.exists(os.path.join(platform_dir, "message_raw")):
+        builders["message_raw"] = lambda tt: spark.read.parquet(os.path.join(platform_dir, "message_raw"))
+    t = Tables(spark, builders)
+    if raw_dir:
+        t._sf_dir = raw_dir  # type: ignore[attr-defined]
+        for name in RAW_TABLES:
+            t._builders[f"raw_{name}"] = (lambda n: (lambda tt: _raw(tt, n)))(name)
+    return t

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from convops.session import checkpoint_dir
-from convops.sources.schemas import SCHEMAS
+from convops.sources.schemas import PRIMARY_KEYS, SCHEMAS, TABLES
 
 
 def new_version_dir(spark: SparkSession, root: str | None = None, label: str = "v") -> str:
@@ -41,3 +41,19 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     return reader.parquet(path)
+
+
+def materialize(t, out_dir: str) -> dict[str, str]:
+    """Store the platform tables of ``t`` once (the production shape: tables at rest, not views).
+
+    Each table is range-partitioned and sorted on its primary key before writing, so files hold disjoint key
+    ranges and parquet min/max statistics let point and range filters on the key skip files and row groups.
+    ``message_raw`` (the feed before the role filter, read by the enum audit) is stored when present.
+    """
+    frames = {}
+    for name in TABLES:
+        pk = list(PRIMARY_KEYS[name])
+        frames[name] = t[name].repartitionByRange(*pk).sortWithinPartitions(*pk)
+    if "message_raw" in t.names():
+        frames["message_raw"] = t.message_raw.repartitionByRange("message_id").sortWithinPartitions("message_id")
+    return write_tables(frames, out_dir)

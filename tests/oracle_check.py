@@ -76,11 +76,20 @@ def compare_key(spark, con, queries, oracle, key, sf_dir):
 
 
 def main(argv):
+    stored = "--stored" in argv
+    argv = [a for a in argv if a != "--stored"]
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
     from convops.session import get_session
     import __spark_entry__ as E
     spark = get_session("local[8]", 8)
+    if stored:  # run every query over a stored copy of the platform tables instead of the views
+        import tempfile
+        from convops.sources.binding import bind, register_materialized
+        from convops.sources.store import materialize
+        platform_dir = os.path.join(tempfile.mkdtemp(prefix="convops-platform-"), "platform")
+        materialize(bind(spark, sf_dir), platform_dir)
+        register_materialized(sf_dir, platform_dir)
     con = duck(sf_dir)
     queries, oracle = E.queries(), E.oracle_sql()
     keys = keys or list(queries)
