@@ -48,11 +48,14 @@ def _when_acc(c: Column) -> Column:
 
 
 def _with_new_ids(decided: DataFrame, base: Column, id_col: str, eligible: Column | None = None) -> DataFrame:
-    """Accepted rows (or ``eligible`` rows) get base+1, base+2, ... in request order; the others get NULL."""
+    """Accepted rows (or ``eligible`` rows) get base+1, base+2, ... in request order; the others get NULL.
+
+    Ids are assigned on a narrow projection (req_id, req_ts) and joined back on the unique req_id, so the
+    checkpoint inside ``assign_ids`` never carries the request payload (titles, instructions, message text).
+    """
     cond = _acc() if eligible is None else eligible
-    takes = decided.where(cond)
-    rest = decided.where(~cond).withColumn(id_col, F.lit(None).cast("long"))
-    return assign_ids(takes, ORDER, base, id_col).unionByName(rest)
+    ids = assign_ids(decided.where(cond).select(*ORDER), ORDER, base, id_col).select("req_id", id_col)
+    return decided.join(ids, "req_id", "left")
 
 
 def _tier_dim(t: Tables) -> DataFrame:
@@ -141,11 +144,10 @@ def admit_messages(t: Tables, req: DataFrame, prior: DataFrame | None = None) ->
                     .join(conv, "conversation_id")
                     .groupBy("owner_id", F.to_date("time_sent").alias("day")).agg(F.count(F.lit(1)).alias("prior_n")))
     counted = F.col("owner_id").isNotNull() & (F.col("sender_role") == "USER")
-    limited = d.where(counted).join(prior_counts, ["owner_id", "day"], "left")
-    limited = running_rank(limited, ["owner_id", "day"], "req_ts", ["req_id"], "day_rank")
-    free = (d.where(~counted).withColumn("prior_n", F.lit(None).cast("long"))
-             .withColumn("day_rank", F.lit(None).cast("long")))
-    d = limited.unionByName(free)
+    # rank on a narrow projection (no message text), then attach to the requests by the unique req_id
+    ranks = running_rank(d.where(counted).select("req_id", "req_ts", "owner_id", "day"), ["owner_id", "day"],
+                         "req_ts", ["req_id"], "day_rank").select("req_id", "owner_id", "day", "day_rank")
+    d = (d.join(ranks.join(prior_counts, ["owner_id", "day"], "left").drop("owner_id", "day"), "req_id", "left"))
     within = (F.col("sender_role") != "USER") | F.col("message_limit").isNull() | \
              (F.coalesce(F.col("prior_n"), F.lit(0)) + F.col("day_rank") <= F.col("message_limit"))
     d = with_reason(d, [("no_conversation", F.col("owner_id").isNotNull()), ("rate_limit", within)])

@@ -29,6 +29,7 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,15 +97,18 @@ def admit_stream(t: Tables, requests: DataFrame, prior: DataFrame | None = None,
     conv = t.conversation.select("conversation_id", F.col("user_id").alias("owner_id"))
     lim = (t.llm_user.select(F.col("user_id").alias("owner_id"), "tier_id")
            .join(t.tier.select("tier_id", "message_limit"), "tier_id").drop("tier_id"))
+    # static sides of the stream-static joins: derived once and kept (memory, spilling to disk) instead of being
+    # re-derived by every micro-batch; lost blocks are recomputed from lineage
+    lookup = conv.join(lim, "owner_id", "left").persist(StorageLevel.MEMORY_AND_DISK)
     prior_counts = (prior.where(F.col("sender_role") == "USER").select("conversation_id", "time_sent")
                     .join(conv, "conversation_id")
-                    .groupBy("owner_id", F.to_date("time_sent").alias("day")).agg(F.count(F.lit(1)).alias("prior_n")))
+                    .groupBy("owner_id", F.to_date("time_sent").alias("day")).agg(F.count(F.lit(1)).alias("prior_n"))
+                    .persist(StorageLevel.MEMORY_AND_DISK))
     d = (requests.withColumn("sender_role", cf.role_from_code(F.col("role_code")))
                  .withColumn("day", F.to_date("req_ts"))
                  .withColumn("event_time", F.col("req_ts").cast("timestamp"))
                  .withWatermark("event_time", lateness)
-                 .join(conv, "conversation_id", "left")
-                 .join(lim, "owner_id", "left"))
+                 .join(lookup, "conversation_id", "left"))
     limited = F.col("owner_id").isNotNull() & (F.col("sender_role") == "USER") & F.col("message_limit").isNotNull()
     free = d.where(~limited).select(
         "req_id", "conversation_id", "sender_role",
