@@ -55,6 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="convops-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder every executor can reach "
+                               "(jobs checkpoint there and write new table versions under it)")
+        configured = tempfile.mkdtemp(prefix="convops-ckpt-")  # single-JVM runs only (tests, bench)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -185,3 +185,41 @@ def test_cascade_delete_user(seed):
     assert rows(new["message_feedback"], "feedback_id") == [(2,)]
     assert new["message_bookmark"].count() == 0  # bookmark was on message 2 of conversation 1
     assert rows(new["prompt_template"], "template_id") == [(2,)]
+
+
+def test_rate_limit_with_one_hot_user_day(spark):
+    """One user-day holds a third of all requests (and many share a timestamp): the range-partitioned rank must
+    equal the plain per-group window, and the limiter must accept exactly `limit` USER messages that day."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    tiers = [(1, "Free", D(0), 40, "N"), (2, "Plus", D(20), 7, "Y"), (3, "Enterprise", D(100), 99999, "Y")]
+    users = [(u, 1 if u % 2 else 2, f"u{u}", f"u{u}@x", ts("2024-01-01"), "en") for u in range(1, 31)]
+    convs = [(c, (c % 30) + 1, None, None, f"c{c}", ts("2024-01-01"), "ACTIVE", None, None) for c in range(1, 61)]
+    t = _with(spark, tier=tiers, llm_user=users, conversation=convs, message=[], message_feedback=[],
+              message_bookmark=[])
+    reqs = []
+    for i in range(3000):
+        if i % 3 == 0:   # hot: user 1 (conversations 30 and 60), one day, timestamps collide in runs of ten
+            conv, when = (30 if i % 2 else 60), dt.datetime(2024, 5, 1, 12, 0) + dt.timedelta(seconds=i // 30)
+        else:
+            conv, when = rnd.randint(1, 60), dt.datetime(2024, 5, rnd.randint(1, 3), rnd.randint(0, 23), rnd.randint(0, 59))
+        reqs.append((i, when, conv, 1 if rnd.random() < 0.8 else 2, "m"))
+    req = _req(spark, "req_id long, req_ts timestamp_ntz, conversation_id long, role_code long, content string", reqs)
+    got = J.admit_messages(t, req).decisions
+    # brute force: plain window over (owner, day) on the USER rows
+    owner = t.conversation.select("conversation_id", F.col("user_id").alias("owner"))
+    lim = t.llm_user.join(t.tier, "tier_id").select(F.col("user_id").alias("owner"), "message_limit")
+    b = (req.join(owner, "conversation_id").join(lim, "owner")
+         .withColumn("rn", F.row_number().over(Window.partitionBy("owner", F.to_date("req_ts"), "role_code")
+                                               .orderBy("req_ts", "req_id")))
+         .select("req_id", F.when((F.col("role_code") != 1) | (F.col("rn") <= F.col("message_limit")), "accepted")
+                 .otherwise("rejected").alias("status")))
+    assert rows(got, "req_id", "status") == rows(b, "req_id", "status")
+    hot_day = (got.join(req.select("req_id", "req_ts"), "req_id").join(owner, "conversation_id")
+               .where("owner = 1 and sender_role = 'USER' and to_date(req_ts) = date'2024-05-01'"))
+    assert hot_day.count() > 700  # ~80 % of the 1,000 hot requests are USER messages
+    assert hot_day.where("status = 'accepted'").count() == 40  # user 1 is on the Free tier: limit 40
