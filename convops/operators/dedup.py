@@ -2,17 +2,39 @@
 
 A window ``row_number() OVER (PARTITION BY key ...)`` would send every row of a key to one task; a key holding a
 third of the batch would then be a third of the job in one task. Here the winner per key is found with an
-aggregate (``min``/``max`` of a struct of the order columns), which Spark computes partially on the map side: a hot
-key is reduced to one row per map task before the shuffle. Rows are then compared with their key's winner through a
+aggregate (``min``/``max`` of the order, encoded as one fixed-width decimal — see ``order_key``), which Spark
+computes partially on the map side with a hash aggregate: a hot key is reduced to one row per map task before the
+shuffle. Rows are then compared with their key's winner through a
 join whose build side has one row per key (AQE's skew-join handling splits the hot probe partition).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_ID_OFFSET = Decimal(2 ** 63)   # shifts any long to a non-negative number below 10**20
+_ID_SCALE = Decimal(10 ** 20)
+
+
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """One comparable value for the order columns.
+
+    For the (timestamp, long) order every rule job uses, ``micros(ts) * 10**20 + (id + 2**63)`` as decimal(38,0):
+    exact, monotone in (ts, id), and fixed-width — so min/max over it run as hash aggregates. Other orders fall back
+    to a struct (compared field by field; planned as a sort-based aggregate).
+    """
+    types = [df.schema[c].dataType for c in order]
+    if (len(order) == 2 and isinstance(types[0], (T.TimestampNTZType, T.TimestampType))
+            and isinstance(types[1], (T.LongType, T.IntegerType))):
+        micros = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("decimal(38,0)")
+        shifted = F.col(order[1]).cast("decimal(38,0)") + F.lit(_ID_OFFSET).cast("decimal(38,0)")
+        return (micros * F.lit(_ID_SCALE).cast("decimal(38,0)") + shifted).cast("decimal(38,0)")
+    return F.struct(*order)
 
 
 def mark_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "is_first",
@@ -27,12 +49,13 @@ def mark_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
     no_null_key = F.lit(True)
     for k in keys:
         no_null_key = no_null_key & F.col(k).isNotNull()
+    okey = order_key(df, order)
     winners = (df.where(no_null_key)
                  .groupBy([F.col(k).alias(t) for k, t in zip(keys, tmp)])
-                 .agg(pick(F.struct(*order)).alias(win_col)))
+                 .agg(pick(okey).alias(win_col)))
     cond = [F.col(k) == F.col(t) for k, t in zip(keys, tmp)]
     out = df.join(winners, cond, "left")
-    flag = F.when(F.col(win_col).isNull(), F.lit(True)).otherwise(F.struct(*order) == F.col(win_col))
+    flag = F.when(F.col(win_col).isNull(), F.lit(True)).otherwise(okey == F.col(win_col))
     return out.withColumn(name, flag).drop(win_col, *tmp)
 
 

@@ -8,7 +8,7 @@ req_id):
   in the message table;
 * rows that need no state (unknown conversation, AI messages, owners without a limit) are decided statelessly;
 * USER rows with a limit go through ``applyInPandasWithState`` keyed by (owner, day). State = USER messages
-  accepted so far that day. Inside a micro-batch the group's rows are taken in (req_ts, req_id) order; the function
+  accepted so far that day, kept in the RocksDB state store (off-heap, incremental checkpoints). Inside a micro-batch the group's rows are taken in (req_ts, req_id) order; the function
   keeps only a running top-k (k = remaining allowance) while it reads the group's Arrow chunks, so a hot user-day
   costs O(k + chunk) memory, never the whole group.
 
@@ -144,8 +144,21 @@ def read_requests(spark: SparkSession, source_dir: str, max_files_per_trigger: i
     return reader.parquet(source_dir)
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB (off-heap, incremental checkpoints) unless a provider was chosen explicitly.
+    A restarted query keeps the provider recorded in its checkpoint."""
+    current = spark.conf.get(PROVIDER_CONF, None)
+    if current is None or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(PROVIDER_CONF, ROCKSDB_PROVIDER)
+
+
 def run_to_completion(decisions: DataFrame, sink_dir: str, checkpoint_location: str) -> None:
     """Process everything available (availableNow trigger) into a parquet sink; exactly-once via the checkpoint."""
+    use_rocksdb_state(decisions.sparkSession)
     q = (decisions.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_location).outputMode("append")
          .trigger(availableNow=True).start())
