@@ -31,7 +31,11 @@ def order_key(df: DataFrame, order: Sequence[str]) -> Column:
     types = [df.schema[c].dataType for c in order]
     if (len(order) == 2 and isinstance(types[0], (T.TimestampNTZType, T.TimestampType))
             and isinstance(types[1], (T.LongType, T.IntegerType))):
-        micros = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("decimal(38,0)")
+        if isinstance(types[0], T.TimestampNTZType):  # wall-clock value: difference to the epoch, no time zone
+            micros = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col(order[0]))
+        else:
+            micros = F.unix_micros(F.col(order[0]))
+        micros = micros.cast("decimal(38,0)")
         shifted = F.col(order[1]).cast("decimal(38,0)") + F.lit(_ID_OFFSET).cast("decimal(38,0)")
         return (micros * F.lit(_ID_SCALE).cast("decimal(38,0)") + shifted).cast("decimal(38,0)")
     return F.struct(*order)

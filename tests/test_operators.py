@@ -80,3 +80,16 @@ def test_broadcast_only_when_bounded(spark):
     small = spark.range(10)
     assert fits(small, 10) and not fits(small, 9)
     assert broadcast_if_small(spark.range(100), 50) is not None
+
+
+def test_mark_first_ignores_session_time_zone(spark):
+    # wall-clock (timestamp_ntz) order must not depend on the session zone, not even across a DST fall-back hour
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(1, 1, dt.datetime(2024, 11, 3, 1, 45)), (2, 1, dt.datetime(2024, 11, 3, 1, 15)),
+                                    (3, 1, dt.datetime(2024, 11, 3, 0, 59))], "req_id long, k long, req_ts timestamp_ntz")
+        got = rows(mark_first(df, ["k"], ["req_ts", "req_id"]), "req_id", "is_first")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [(1, False), (2, False), (3, True)]
