@@ -223,3 +223,22 @@ def test_rate_limit_with_one_hot_user_day(spark):
                .where("owner = 1 and sender_role = 'USER' and to_date(req_ts) = date'2024-05-01'"))
     assert hot_day.count() > 700  # ~80 % of the 1,000 hot requests are USER messages
     assert hot_day.where("status = 'accepted'").count() == 40  # user 1 is on the Free tier: limit 40
+
+
+def test_key_audits_find_planted_violations(spark):
+    from convops.plans import audits as A
+    inv = SEED_ROWS["invoice"] + [
+        (1, 2, 2, ts("2024-03-01"), D(25), "Paid"),       # same invoice id, different amount: PK + FD violation
+        (2, 3, 3, ts("2024-04-01"), D(100), "Unpaid"),    # exact copy of invoice 2: PK violation only
+    ]
+    users = SEED_ROWS["llm_user"] + [(4, 1, "Mallory", "carol@example.com", ts("2024-05-01"), "English")]
+    t = _with(spark, invoice=inv, llm_user=users)
+    got = rows(A.audit_all(t).where("rule in ('primary_key', 'unique_key', 'fd')"), "rule", "table", "key", "detail")
+    assert got == sorted([
+        ("primary_key", "invoice", "1", "duplicate x2"),
+        ("primary_key", "invoice", "2", "duplicate x2"),
+        ("fd", "invoice", "1", "invoice_id -> user_id,tier_id,invoice_date,amount,payment_status"),
+        ("unique_key", "llm_user", "carol@example.com", "email duplicate x2"),
+        ("fd", "llm_user", "carol@example.com", "email -> user_id,tier_id,name,creation_date,language"),
+    ], key=repr)
+    assert rows(A.audit_fds(t), "table", "key") == [("invoice", "1"), ("llm_user", "carol@example.com")]
