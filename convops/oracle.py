@@ -14,7 +14,9 @@ BINDING: dict[str, str] = {
     "tier": """select cast(tier_id as bigint) tier_id, tier_name, cast(cost as decimal(10,2)) cost,
         cast(message_limit as bigint) message_limit, pro_access
         from (values (1,'Free',0,3,'N'),(2,'Plus',20,6,'Y'),(3,'Enterprise',100,99999,'Y'))
-        as t(tier_id,tier_name,cost,message_limit,pro_access)""",
+        as t(tier_id,tier_name,cost,message_limit,pro_access)
+        where tier_id in (select distinct case when c_mktsegment in ('MACHINERY','HOUSEHOLD') then 1
+                                               when c_mktsegment = 'AUTOMOBILE' then 3 else 2 end from customer)""",
     "llm_user": """select c_custkey user_id,
         cast(case when c_mktsegment in ('MACHINERY','HOUSEHOLD') then 1 when c_mktsegment='AUTOMOBILE' then 3 else 2 end as bigint) tier_id,
         c_name name, concat('user', cast(c_custkey as varchar), '@example.com') email,

@@ -81,12 +81,20 @@ def _raw(t: Tables, name: str) -> DataFrame:
     return t.spark.read.parquet(os.path.join(t._sf_dir, f"{name}.parquet"))  # type: ignore[attr-defined]
 
 
+def _segment_tier() -> Column:
+    """Tier of a customer by market segment (FIXTURES.md §3)."""
+    return (F.when(F.col("c_mktsegment").isin("MACHINERY", "HOUSEHOLD"), 1)
+            .when(F.col("c_mktsegment") == "AUTOMOBILE", 3).otherwise(2))
+
+
 def _tier(t: Tables) -> DataFrame:
-    # fixed values: the three tiers (id, name, cost, daily USER-message limit, pro access). A dimension of three
-    # rows by definition; limits are lowered from the seed's 100/1000 so the rate limit fires on the test data.
+    # fixed values: the three tiers (id, name, cost, daily USER-message limit, pro access). Limits are lowered from
+    # the seed's 100/1000 so the rate limit fires on the test data.
     rows = [(1, "Free", 0, 3, "N"), (2, "Plus", 20, 6, "Y"), (3, "Enterprise", 100, 99999, "Y")]
-    df = t.spark.createDataFrame(rows, "tier_id long, tier_name string, cost int, message_limit long, pro_access string")
-    return _typed(df, "tier")
+    attrs = t.spark.createDataFrame(rows, "tier_id long, tier_name string, cost int, message_limit long, pro_access string")
+    # the dimension holds the tiers the customers are on: derived from the customer table (a distinct over it)
+    in_use = _raw(t, "customer").select(_segment_tier().cast("long").alias("tier_id")).distinct()
+    return _typed(attrs.join(in_use, "tier_id", "left_semi"), "tier")
 
 
 def _customer_nation(t: Tables) -> DataFrame:
@@ -97,10 +105,8 @@ def _customer_nation(t: Tables) -> DataFrame:
 
 def _llm_user(t: Tables) -> DataFrame:
     cn = _customer_nation(t)
-    tier_id = (F.when(F.col("c_mktsegment").isin("MACHINERY", "HOUSEHOLD"), 1)
-               .when(F.col("c_mktsegment") == "AUTOMOBILE", 3).otherwise(2))
     df = cn.select(
-        F.col("c_custkey").alias("user_id"), tier_id.alias("tier_id"), F.col("c_name").alias("name"),
+        F.col("c_custkey").alias("user_id"), _segment_tier().alias("tier_id"), F.col("c_name").alias("name"),
         F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"),
         minutes_after(epoch(), F.col("c_custkey") % 40000).alias("creation_date"),
         F.col("n_name").alias("language"))
