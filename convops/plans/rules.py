@@ -16,6 +16,7 @@ Existence probes are joins against key sets; dimension-sized sides go through ``
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -329,42 +330,59 @@ def _topological_tables() -> list[str]:
     return done
 
 
+def _fk_depths() -> dict[str, int]:
+    """Depth of every table in the FK graph (0 = no parent): tables of equal depth never reference each other."""
+    depth: dict[str, int] = {}
+    for table in _topological_tables():
+        parents = {fk.parent for fk in FOREIGN_KEYS if fk.child == table and fk.parent != table}
+        depth[table] = 1 + max((depth[p] for p in parents), default=-1)
+    return depth
+
+
 def cascade_delete(t: Tables, deleted: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Apply the delete actions of every foreign key, from the deleted rows outwards (parents before children).
 
     ``deleted`` maps a table to the primary keys of its deleted rows. Children of deleted rows are removed
     (cascade) or get NULL in the referencing column (set null); restrict keys are left to the callers' guards.
-    The deleted-key set of each level is checkpointed to the shared checkpoint folder: it is read by several child
-    tables, and cutting the lineage keeps every level's plan small. Returns new versions of all changed tables.
+    The deleted-key set of each table is checkpointed to the shared checkpoint folder: it is read by several child
+    tables, and cutting the lineage keeps every level's plan small. Tables of the same FK depth are independent,
+    so their checkpoints run as concurrent jobs, level by level. Returns new versions of all changed tables.
     """
     checkpoint_dir(t.spark)
     gone = {name: df.checkpoint(eager=True) for name, df in deleted.items()}
     out: dict[str, DataFrame] = {}
-    for name, keys in deleted.items():
+    for name in deleted:
         pk = list(PRIMARY_KEYS[name])
         out[name] = t[name].join(gone[name].select(*pk), pk, "left_anti")
-    for table in _topological_tables():
-        if table in deleted:
-            continue
-        rows = t[table]
-        cascade = [fk for fk in FOREIGN_KEYS if fk.child == table and fk.parent in gone and fk.on_delete == "cascade"]
-        set_null = [fk for fk in FOREIGN_KEYS if fk.child == table and fk.parent in gone and fk.on_delete == "set null"]
-        if not cascade and not set_null:
-            continue
-        flags = []
-        for i, fk in enumerate(cascade + set_null):
-            name = f"__hit{i}"
-            rows = flag_exists(rows, gone[fk.parent], dict(zip(fk.columns, fk.parent_columns)), name, unique=True)
-            flags.append((fk, name))
-        hit_any = reduce(lambda a, b: a | b, [F.col(n) for fk, n in flags if fk.on_delete == "cascade"], F.lit(False))
-        if cascade:
-            gone[table] = rows.where(hit_any).select(*PRIMARY_KEYS[table]).checkpoint(eager=True)
-        kept = rows.where(~hit_any)
-        for fk, n in flags:
-            if fk.on_delete == "set null":
-                for c in fk.columns:
-                    kept = kept.withColumn(c, F.when(F.col(n), F.lit(None)).otherwise(F.col(c)))
-        out[table] = _typed(kept.drop(*[n for _, n in flags]), table)
+    depth = _fk_depths()
+    for level in sorted(set(depth.values())):
+        pending: dict[str, DataFrame] = {}
+        for table in [tb for tb in _topological_tables() if depth[tb] == level and tb not in deleted]:
+            rows = t[table]
+            cascade = [fk for fk in FOREIGN_KEYS if fk.child == table and fk.parent in gone and fk.on_delete == "cascade"]
+            set_null = [fk for fk in FOREIGN_KEYS
+                        if fk.child == table and fk.parent in gone and fk.on_delete == "set null"]
+            if not cascade and not set_null:
+                continue
+            flags = []
+            for i, fk in enumerate(cascade + set_null):
+                name = f"__hit{i}"
+                rows = flag_exists(rows, gone[fk.parent], dict(zip(fk.columns, fk.parent_columns)), name, unique=True)
+                flags.append((fk, name))
+            hit_any = reduce(lambda a, b: a | b, [F.col(n) for fk, n in flags if fk.on_delete == "cascade"],
+                             F.lit(False))
+            if cascade:
+                pending[table] = rows.where(hit_any).select(*PRIMARY_KEYS[table])
+            kept = rows.where(~hit_any)
+            for fk, n in flags:
+                if fk.on_delete == "set null":
+                    for c in fk.columns:
+                        kept = kept.withColumn(c, F.when(F.col(n), F.lit(None)).otherwise(F.col(c)))
+            out[table] = _typed(kept.drop(*[n for _, n in flags]), table)
+        if pending:
+            with ThreadPoolExecutor(max_workers=len(pending)) as pool:
+                futures = {name: pool.submit(df.checkpoint, True) for name, df in pending.items()}
+                gone.update({name: f.result() for name, f in futures.items()})
     return out
 
 

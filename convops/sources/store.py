@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +22,20 @@ def new_version_dir(spark: SparkSession, root: str | None = None, label: str = "
     return os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
 
 
-def write_tables(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
-    """Write each table to ``out_dir/<name>`` (fails if it exists). Returns name -> path."""
-    paths = {}
-    for name, df in tables.items():
-        path = os.path.join(out_dir, name)
-        df.write.mode("errorifexists").parquet(path)
-        paths[name] = path
+def write_tables(tables: dict[str, DataFrame], out_dir: str, concurrency: int = 4) -> dict[str, str]:
+    """Write each table to ``out_dir/<name>`` (fails if it exists). Returns name -> path.
+
+    The writes are independent jobs; up to ``concurrency`` are submitted at once from driver threads so the
+    scheduler can interleave their tasks (small tables no longer wait for each other). Any failure is raised.
+    """
+    paths = {name: os.path.join(out_dir, name) for name in tables}
+
+    def write(name: str) -> None:
+        tables[name].write.mode("errorifexists").parquet(paths[name])
+
+    with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+        for done in [pool.submit(write, name) for name in tables]:
+            done.result()
     return paths
 
 
