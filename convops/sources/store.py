@@ -39,9 +39,31 @@ def write_tables(tables: dict[str, DataFrame], out_dir: str, concurrency: int =
     return paths
 
 
+COMPLETE_MARKER = "_version_complete"
+
+
 def write_version(result, out_dir: str) -> dict[str, str]:
-    """Persist a ``JobResult``: its decisions plus every new table version."""
-    return write_tables({"decisions": result.decisions, **result.tables}, out_dir)
+    """Persist a ``JobResult``: its decisions plus every new table version, then a completion marker.
+
+    The marker (a one-row parquet listing the tables) is written with Spark after every table write succeeded,
+    so it works on any file system the cluster uses; ``read_version`` refuses folders without it. A failed run
+    leaves an unmarked folder that no reader picks up; a rerun writes a fresh folder.
+    """
+    frames = {"decisions": result.decisions, **result.tables}
+    paths = write_tables(frames, out_dir)
+    spark = result.decisions.sparkSession
+    spark.createDataFrame([(",".join(sorted(paths)),)], "tables string").coalesce(1) \
+        .write.mode("errorifexists").parquet(os.path.join(out_dir, COMPLETE_MARKER))
+    return paths
+
+
+def read_version(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+    """The tables of a completed version folder (typed where the table is a platform table)."""
+    try:
+        names = spark.read.parquet(os.path.join(out_dir, COMPLETE_MARKER)).first()["tables"].split(",")
+    except Exception as e:  # no marker: the version was never completed
+        raise RuntimeError(f"{out_dir} is not a completed version") from e
+    return {name: read_table(spark, os.path.join(out_dir, name), name) for name in names}
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:

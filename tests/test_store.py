@@ -14,7 +14,7 @@ from convops.plans.registry import run_job
 from convops.session import checkpoint_dir
 from convops.sources.binding import _MATERIALIZED, bind, load, register_materialized
 from convops.sources.schemas import SCHEMAS, TABLES
-from convops.sources.store import materialize, read_table, write_version
+from convops.sources.store import materialize, read_table, read_version, write_version
 from tests.conftest import SF001, rows
 
 
@@ -31,8 +31,11 @@ def test_version_folders_are_never_overwritten(spark):
     assert set(paths) == {"decisions", "invoice"}
     assert _types(read_table(spark, paths["invoice"], "invoice").schema) == _types(SCHEMAS["invoice"])
     assert read_table(spark, paths["invoice"], "invoice").count() == t.invoice.count() + res.accepted.count()
+    assert sorted(read_version(spark, out)) == ["decisions", "invoice"]
     with pytest.raises(AnalysisException):
         write_version(res, out)
+    with pytest.raises(RuntimeError):
+        read_version(spark, os.path.join(out, "no-such-version"))
 
 
 def test_stored_tables_answer_like_views(spark):
