@@ -41,7 +41,6 @@ FDS: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [
     ("support_ticket", ("ticket_id",), ("user_id", "agent_id", "topic_name", "opened_time", "closed_time", "status")),
 ]
 
-OUT_COLS = ("rule", "table", "key", "detail")
 
 
 def _key(cols) -> Column:

@@ -242,3 +242,11 @@ def test_key_audits_find_planted_violations(spark):
         ("fd", "llm_user", "carol@example.com", "email -> user_id,tier_id,name,creation_date,language"),
     ], key=repr)
     assert rows(A.audit_fds(t), "table", "key") == [("invoice", "1"), ("llm_user", "carol@example.com")]
+
+
+def test_optional_id_that_is_not_a_number_is_none(spark):
+    from pyspark.sql import functions as F
+
+    from convops import functions as cf
+    df = spark.createDataFrame([(" 12 ",), ("x",), ("",), (None,)], "v string")
+    assert [r[0] for r in df.select(cf.opt_long(F.col("v"))).collect()] == [12, None, None, None]
