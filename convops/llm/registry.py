@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from convops.llm import exact_dedup
+from convops.llm import exact_dedup, packing
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
