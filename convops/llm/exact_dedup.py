@@ -20,9 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from convops.llm.shared import documents, scratch, stored
+from convops.llm.shared import documents, flagged, scratch, stored, without
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # all stores of an executor share this memory; what doesn't fit is on its disk
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -52,15 +58,16 @@ def stream_state(spark: SparkSession, prints: str, schema, state_dir: str, batch
     # whole texts are never in the state: digest, id, locator and a count
     keyed = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "at")).alias("stays"),
                                          F.count(F.lit(1)).alias("group_size"))
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _ROCKSDB}
+    for k, v in _ROCKSDB.items():
+        spark.conf.set(k, v)
     try:
         query = (keyed.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_dir)
                  .trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(state_dir)
     values = [f.name for f in state.schema["value"].dataType.fields]  # the two aggregates, in order
     return state.select(F.col("key.digest").alias("digest"),
@@ -86,10 +93,12 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
                    "dedup-groups")
 
     # full bytes on hits: each distinct (digest, text) among the hits against the text at the retained locator
-    hit = state.where(F.col("group_size") > 1)
+    hit = state.where(F.col("group_size") > 1).select("digest", "stays.file", "stays.at")
     texts = rows.select(content.alias("text"), digest(content).alias("digest"), "file", "at")
-    hits = texts.join(hit.select("digest"), "digest", "left_semi").select("digest", "text").distinct()
-    retained = (texts.join(hit.select("stays.file", "stays.at"), ["file", "at"], "left_semi")
+    hits = (flagged(texts, hit, ["digest"]).where("maybe").join(hit.select("digest"), "digest", "left_semi")
+            .select("digest", "text").distinct())
+    retained = (flagged(texts, hit, ["file", "at"]).where("maybe")
+                .join(hit.select("file", "at"), ["file", "at"], "left_semi")
                 .select("digest", F.col("text").alias("retained")))
     unequal = stored(hits.join(retained, "digest").where(F.col("text") != F.col("retained"))
                      .select("digest").distinct(), "dedup-unequal")
@@ -116,8 +125,8 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows = located(docs)
-    stay = dedup(docs).where("kept").select("file", "at")
-    return rows.join(stay, ["file", "at"], "left_semi").select("row.*")
+    gone = stored(dedup(docs).where(~F.col("kept")).select("file", "at"), "dedup-gone")
+    return without(rows, gone, ["file", "at"]).select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remainder(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus
+
+
+#: Bits of the membership filter below: 4 MB at most are broadcast, however many keys there are.
+FILTER_BITS = 1 << 25
+
+
+def flagged(df: DataFrame, keys: DataFrame, on: list[str], flag: str = "maybe") -> DataFrame:
+    """``df`` with a boolean that is true for every row whose ``on`` columns occur in ``keys`` (and for some others).
+
+    A hashed bitmap of fixed size, built in Spark, goes to all tasks, so a join that follows needs to shuffle the
+    flagged rows only. With very many keys it flags everything and costs nothing but its own pass.
+    """
+    def slot(frame: DataFrame):
+        return F.pmod(F.xxhash64(*(frame[c] for c in on)), F.lit(FILTER_BITS))
+    bits = (keys.select(slot(keys).alias("slot"))
+            .groupBy(F.shiftright("slot", 15).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bitmap")))
+    return (df.withColumn("__slot", slot(df)).withColumn("__bucket", F.shiftright("__slot", 15))
+            .join(F.broadcast(bits.withColumnRenamed("bucket", "__bucket")), "__bucket", "left")
+            .withColumn(flag, F.coalesce(
+                F.expr("shiftright(cast(conv(hex(substring(bitmap, cast(((__slot & 32767) >> 3) + 1 AS int), 1)), 16, 10)"
+                       " AS int), cast(__slot & 7 AS int)) & 1 = 1"), F.lit(False)))
+            .drop("__slot", "__bucket", "bitmap"))
+
+
+def without(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``df`` whose ``on`` columns don't occur in ``keys``; only rows that the filter flags are shuffled."""
+    marked = flagged(df, keys, on)
+    return (marked.where(~F.col("maybe")).drop("maybe")
+            .unionByName(marked.where("maybe").drop("maybe").join(keys.select(*on), on, "left_anti")))
