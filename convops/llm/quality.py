@@ -29,37 +29,33 @@ PENALTIES = (0.03, 0.01, 0.003, 0.001, 0.0003)
 THRESHOLD = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Name -> column; all are doubles and zero for an empty text."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t).cast("double")
-    words, lines = F.split(F.regexp_replace(t, "[\\n\\t\\r]", " "), " "), F.split(t, "\n")
-    n_words, n_lines = F.size(words).cast("double"), F.size(lines).cast("double")
-
-    def share(what: Column) -> Column:
-        return F.when(n > 0, what / n).otherwise(F.lit(0.0))
-
-    def left(pattern: str) -> Column:
-        return F.length(F.regexp_replace(t, pattern, "")).cast("double")
-
-    def single(char: str) -> Column:
-        return n - F.length(F.replace(t, F.lit(char), F.lit("")))
-    some = n > 0
-    return {
-        "chars": n,
-        "words": F.when(some, n_words).otherwise(0.0),
-        "lines": F.when(some, n_lines).otherwise(0.0),
-        "word_length": F.when(some, n / n_words).otherwise(0.0),
-        "line_words": F.when(some, n_words / n_lines).otherwise(0.0),
-        "distinct_words": F.when(some, F.size(F.array_distinct(words)) / n_words).otherwise(0.0),
-        "distinct_lines": F.when(some, F.size(F.array_distinct(lines)) / n_lines).otherwise(0.0),
-        "upper": share(left("[^\\p{Lu}]+")),
-        "digits": share(left("[^0-9]+")),
-        "symbols": share(left("[^#$%&*|<>{}=~^\\\\@_]+")),
-        "exclaims": share(single("!")),
-        "stops": share(single(".")),
-        "commas": share(single(",")),
-    }
+STATISTICS = ("chars", "words", "lines", "word_length", "line_words", "distinct_words", "distinct_lines", "upper",
+              "digits", "symbols", "exclaims", "stops", "commas")
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """(row: all columns of ``docs``, then one double per name in STATISTICS, zero for an empty text).
+
+    Projections follow one another so that each split of a text is computed once.
+    """
+    t = F.col("text_")
+    counts = {"words": F.size("words_"), "distinct_words": F.size(F.array_distinct("words_")),
+              "lines": F.size("lines_"), "distinct_lines": F.size(F.array_distinct("lines_")), "chars": F.length(t),
+              "upper": F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")),
+              "digits": F.length(F.regexp_replace(t, "[^0-9]+", "")),
+              "symbols": F.length(F.regexp_replace(t, "[^#$%&*|<>{}=~^\\\\@_]+", "")),
+              **{name: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+                 for name, c in (("exclaims", "!"), ("stops", "."), ("commas", ","))}}
+    per = {"word_length": ("chars", "words"), "line_words": ("words", "lines"), "distinct_words": ("distinct_words", "words"),
+           "distinct_lines": ("distinct_lines", "lines"),
+           **{n: (n, "chars") for n in ("upper", "digits", "symbols", "exclaims", "stops", "commas")}}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    parts = (docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text_"))
+             .select("row", "text_", F.split("text_", " ").alias("words_"), F.split("text_", "\n").alias("lines_"))
+             .select("row", *(c.cast("double").alias(n) for n, c in counts.items())))
+    some = F.col("chars") > 0
+    return parts.select("row", *(F.when(some, F.col(per[n][0]) / F.col(per[n][1]) if n in per else F.col(n))
+                                 .otherwise(F.lit(0.0)).alias(n) for n in STATISTICS))
 
 
 @dataclass(frozen=True)
@@ -167,15 +163,17 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 0) -> Ensemb
     keep = np.sort(first)
     a, paths = a[:, keep], [paths[i] for i in keep]
     fold = rng.random(len(y)) < 0.25
-    best, w = (np.inf, PENALTIES[0]), None
+    penalty, w, tried = PENALTIES[0], None, []
     if fold.any() and not fold.all():
         for penalty in PENALTIES:  # along the path, each fit starts from the last
             w = lasso(a[~fold], y[~fold], penalty, w)
             p = np.clip(_sigmoid(a[fold] @ w[:-1] + w[-1]), 1e-6, 1 - 1e-6)
-            loss = -(y[fold] * np.log(p) + (1 - y[fold]) * np.log(1 - p)).mean()
-            best = min(best, (loss, penalty))
-    w = lasso(a, y, best[1], steps=600)
-    rules = tuple(Rule(p, round(float(v), 6)) for p, v in zip(paths, w) if abs(v) > 1e-4)
+            loss = -(y[fold] * np.log(p) + (1 - y[fold]) * np.log(1 - p))
+            tried.append((loss.mean(), loss.std() / np.sqrt(len(loss)), penalty))
+        low, error, _ = min(tried)
+        penalty = max(p for loss, _, p in tried if loss <= low + error)  # the sparsest within one standard error
+    w = lasso(a, y, penalty, steps=600)
+    rules = tuple(Rule(p, round(float(v), 6)) for p, v in zip(paths, w) if abs(v) > 1e-3)
     return Ensemble(rules, round(float(w[-1]), 6))
 
 
@@ -183,21 +181,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on the labelled rows of ``docs`` (doc_id, text) with ``labels`` (doc_id, quality)."""
     some = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
             .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows))
-    stats = statistics(F.col("text"))
     # some: at most sample_rows ids
-    rows = (docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-            .select("doc_id", F.col("quality").cast("double").alias("quality"),
-                    *(c.alias(n) for n, c in stats.items()))
-            .toPandas().sort_values(["doc_id", "quality", *stats], kind="stable"))
-    return fit(rows[list(stats)].to_numpy(float), rows["quality"].to_numpy(float), list(stats))
+    rows = (statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
+            .select("row.doc_id", F.col("row.quality").cast("double").alias("quality"), *STATISTICS)
+            .toPandas().sort_values(["doc_id", "quality", *STATISTICS], kind="stable"))
+    return fit(rows[list(STATISTICS)].to_numpy(float), rows["quality"].to_numpy(float), list(STATISTICS))
 
 
-def scored(docs: DataFrame, model: Ensemble, score: str = "score") -> DataFrame:
-    """``docs`` with its score; the statistics are computed once, in a projection of their own."""
-    stats = statistics(F.col("text"))
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-                         *(c.alias(f"stat_{n}") for n, c in stats.items()))
-    return packed.select("row.*", model.score({n: F.col(f"stat_{n}") for n in stats}).alias(score))
+def scored(docs: DataFrame, model: Ensemble) -> DataFrame:
+    """(row: all columns of ``docs``, score)."""
+    return statistics(docs).select("row", model.score({n: F.col(n) for n in STATISTICS}).alias("score"))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -209,6 +202,6 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = learn(docs, learnable(labels))
-    return scored(docs, model).select(
+    return scored(docs, model).select("row.doc_id", "score").select(
         "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

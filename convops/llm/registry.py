@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from convops.llm import exact_dedup, packing
+from convops.llm import exact_dedup, language_id, packing, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 ORACLE_SQL = {
