@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from convops.llm import exact_dedup, html_extraction, language_id, packing, quality
+from convops.llm import ann, exact_dedup, html_extraction, language_id, packing, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op5_nearest_neighbours": ann.op5_nearest_neighbours,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_language_id": language_id.op9_language_id,
