@@ -7,6 +7,8 @@ summed over the word, then mixed, so equal words have equal hashes wherever they
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -67,26 +69,34 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(starts, at)
 
 
-def shingle_sets(texts: pa.Array, width: int = SHINGLE_WORDS) -> list[np.ndarray]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
+    """Consecutive slices of about ``limit`` bytes of text (one longer text stands alone)."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    s = 0
+    while s < len(texts):
+        e = max(s + 1, int(np.searchsorted(at, at[s] + limit, "right")) - 1)
+        yield texts.slice(s, e - s)
+        s = e
+
+
+def shingle_sets(texts: pa.Array, width: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
     """Per text the sorted distinct hashes of its ``width``-word shingles.
 
     A text with fewer words has its whole word sequence as the only shingle; one without words has none.
     """
-    words, at = word_hashes(texts)
-    n = len(words)
-    grams = np.zeros(n, np.uint64)
-    for k in range(width):
-        grams[:n - k] += words[k:] * _PLACE[k]
-    grams = mix(grams)
-    out = []
-    for s, e in zip(at[:-1], at[1:]):
-        if e - s >= width:
-            out.append(np.unique(grams[s:e - width + 1]))
-        elif e > s:
-            h = np.uint64((int(_PLACE[width]) * int(e - s)) & _MASK)
-            for k in range(e - s):
-                h += words[s + k] * _PLACE[k]
-            out.append(mix(np.array([h], np.uint64)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    for part in slices(texts):
+        words, at = word_hashes(part)
+        n = len(words)
+        grams = np.zeros(n, np.uint64)
+        for k in range(width):
+            grams[:max(0, n - k)] += words[k:] * _PLACE[k]
+        grams = mix(grams)
+        for s, e in zip(at[:-1], at[1:]):
+            if e - s >= width:
+                yield np.unique(grams[s:e - width + 1])
+            elif e > s:
+                tail = np.array([(int(_PLACE[width]) * int(e - s)) & _MASK], np.uint64)
+                yield mix(tail + (words[s:e] * _PLACE[:e - s]).sum(keepdims=True))
+            else:
+                yield np.zeros(0, np.uint64)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from convops.llm import ann, exact_dedup, html_extraction, language_id, packing, quality
+from convops.llm import ann, exact_dedup, html_extraction, language_id, ngram_join, packing, pii, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op3_pii_surrogates": pii.op3_pii_surrogates,
     "op5_nearest_neighbours": ann.op5_nearest_neighbours,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
