@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from convops.llm import ann, exact_dedup, html_extraction, language_id, ngram_join, packing, pii, quality
+from convops.llm import ann, exact_dedup, html_extraction, language_id, masked_lm, ngram_join, packing, pii, quality, sentencepieces
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_pii_surrogates": pii.op3_pii_surrogates,
+    "op4_sentencepieces": sentencepieces.op4_sentencepieces,
     "op5_nearest_neighbours": ann.op5_nearest_neighbours,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_masked_lm": masked_lm.op8_masked_lm,
     "op9_language_id": language_id.op9_language_id,
     "op10_html_extraction": html_extraction.op10_html_extraction,
 }
