@@ -25,7 +25,9 @@ from convops.llm.shared import documents, remainder
 
 SAMPLE_ROWS = 10_000
 TREES, DEPTH, CUTS, RATE = 40, 3, 24, 0.3
-PENALTIES = (0.03, 0.01, 0.003, 0.001, 0.0003)
+PENALTIES = (0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001)
+#: Log loss that may be given up for fewer rules.
+SPARSITY_LOSS = 0.01
 THRESHOLD = 0.3
 
 
@@ -77,10 +79,11 @@ class Ensemble:
     intercept: float
 
     def score(self, stats: dict[str, Column]) -> Column:
-        z = F.lit(self.intercept)
-        for rule in self.rules:
-            z = z + F.when(rule.column(stats), F.lit(rule.weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        terms = [F.lit(self.intercept)] + [F.when(r.column(stats), F.lit(r.weight)).otherwise(F.lit(0.0))
+                                           for r in self.rules]
+        while len(terms) > 1:  # a shallow sum
+            terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -171,7 +174,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 0) -> Ensemb
             loss = -(y[fold] * np.log(p) + (1 - y[fold]) * np.log(1 - p))
             tried.append((loss.mean(), loss.std() / np.sqrt(len(loss)), penalty))
         low, error, _ = min(tried)
-        penalty = max(p for loss, _, p in tried if loss <= low + error)  # the sparsest within one standard error
+        penalty = max(p for loss, _, p in tried if loss <= low + error + SPARSITY_LOSS)  # the sparsest that is near
     w = lasso(a, y, penalty, steps=600)
     rules = tuple(Rule(p, round(float(v), 6)) for p, v in zip(paths, w) if abs(v) > 1e-3)
     return Ensemble(rules, round(float(w[-1]), 6))
