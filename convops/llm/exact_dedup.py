@@ -76,13 +76,17 @@ def stream_state(spark: SparkSession, prints: str, schema, state_dir: str, batch
 
 
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per document: row (all columns of ``docs``), file, at, doc_id, keep_id, group_size, kept.
+    """One row per document: file, at, doc_id, digest, keep_id, group_size, kept.
 
     ``digest`` may be any function of the text: documents whose digests meet but whose bytes differ are grouped
     by their bytes.
     """
-    spark = docs.sparkSession
-    rows = located(docs)
+    return grouped(located(docs), digest)
+
+
+def grouped(rows: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """``dedup`` of rows that have their places (``located``)."""
+    spark = rows.sparkSession
     content = F.coalesce(F.col("row.text"), F.lit(""))
     prints_df = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), digest(content).alias("digest"),
                             "file", "at")
@@ -125,7 +129,7 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows = located(docs)
-    gone = stored(dedup(docs).where(~F.col("kept")).select("file", "at"), "dedup-gone")
+    gone = stored(grouped(rows).where(~F.col("kept")).select("file", "at"), "dedup-gone")
     return without(rows, gone, ["file", "at"]).select("row.*")
 
 
