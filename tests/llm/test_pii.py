@@ -1,0 +1,74 @@
+import re
+
+from convops.llm import pii
+
+LUHN = "4111 1111 1111 1111"
+ROWS = [
+    (1, "Mail Ann.Lee@Example.com or ANN.LEE@EXAMPLE.COM, bob42@example.com."),
+    (2, "Call +1 (469) 555-8958, +1 469 555 8958 or (212) 555-0100."),
+    (3, "Hosts 10.1.2.3, 192.168.7.9 and 87.78.231.111. Version 1.2.3 stays, 999.1.1.1 too."),
+    (4, f"Card {LUHN} or 4111111111111111; order 4115431727187735 and 12345."),
+    (5, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" password=a9ce335683f9772ddc, no password here.'),
+    (6, "Mr. John Smith met Mrs. Ada King and господин Иван Петров. Mr John Smith left."),
+    (7, None), (8, ""), (9, "Nothing personal: 1984, 3.14, page 12-13, a@b."),
+    (1, "Mail Ann.Lee@Example.com or ANN.LEE@EXAMPLE.COM, bob42@example.com."),
+    (None, "87.78.231.111"), (11, "x " * 100_000 + "bob42@example.com"), (12, "123-45-6789"),
+]
+
+
+def run(spark, rows=ROWS, key="k"):
+    docs = spark.createDataFrame([(i, t, "f", 1) for i, t in rows], "doc_id long, text string, file string, found int")
+    return docs, [(r.row.doc_id, r.row.text, r.text, r.entities) for r in pii.replace(docs, key).collect()]
+
+
+def check_luhn(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])
+
+
+def test_types_formats_and_coreference(spark):
+    docs, got = run(spark)
+    assert len(got) == len(ROWS)
+    by_id = {i: (a, b, n) for i, a, b, n in got}
+    a, b, n = by_id[1]
+    mails = re.findall(r"\S+@[\w.]+\w", b)
+    assert n == 3 and mails[0].lower() == mails[1].lower() and mails[1] == mails[1].upper()
+    assert mails[2].split("@")[1] == mails[0].lower().split("@")[1]  # one domain, one surrogate
+    assert re.fullmatch(r"[a-z]{3}\d{2}@[a-z]{7}\.com", mails[2]) and mails[2] != "bob42@example.com"
+    phones = re.fullmatch(r"Call (\+1 \(\d{3}\) \d{3}-\d{4}), (\+1 \d{3} \d{3} \d{4}) or (\(2\d{2}\) \d{3}-\d{4})\.", by_id[2][1])
+    assert re.sub(r"\D", "", phones[1]) == re.sub(r"\D", "", phones[2]) != "14695558958"
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", by_id[3][1])
+    assert ips[0].startswith("10.") and ips[1].startswith("192.168.") and ips[3] == "999.1.1.1"
+    assert "Version 1.2.3 stays" in by_id[3][1] and all(int(o) < 256 for ip in ips[:3] for o in ip.split("."))
+    assert by_id[None][1] == ips[2] != "87.78.231.111"
+    cards = re.fullmatch(r"Card (4\d{3} \d{4} \d{4} \d{4}) or (4\d{15}); order (4\d{15}) and 12345\.", by_id[4][1])
+    assert cards[1].replace(" ", "") == cards[2] != LUHN.replace(" ", "") and check_luhn(cards[2]) % 10 == 0
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" password=[0-9a-f]{18}, no password here\.', by_id[5][1])
+    assert "24be" not in by_id[5][1] and "a9ce" not in by_id[5][1]
+    names = re.fullmatch(r"Mr\. (\w+ \w+) met Mrs\. (\w+ \w+) and господин (\w+ \w+)\. Mr (\w+ \w+) left\.", by_id[6][1])
+    assert names[1] == names[4] != "John Smith"
+    assert names[1].split()[0] in pii.GIVEN["m", "latin"] and names[2].split()[0] in pii.GIVEN["f", "latin"]
+    assert names[3].split()[0] in pii.GIVEN["m", "cyrillic"]
+    assert by_id[7][1] is None and by_id[8][1] == "" and by_id[9][1] == ROWS[8][1] and by_id[9][2] == 0
+    assert by_id[11][1].startswith("x x ") and by_id[11][1].endswith(mails[2])
+    assert re.fullmatch(r"1\d{2}-\d{2}-\d{4}", by_id[12][1]) and by_id[12][1] != "123-45-6789"
+    out = pii.replaced_rows(docs, "k")
+    assert out.columns == docs.columns and out.count() == len(ROWS)
+
+
+def test_same_key_same_surrogates_other_key_others(spark):
+    one, again, other = (sorted((b or "" for *_, b, _ in run(spark, ROWS[:6], k)[1])) for k in ("k", "k", "l"))
+    assert one == again != other
+
+
+def test_collisions_are_drawn_again(spark):
+    # three free digits for 400 values: many draws meet a value or one another
+    entities = spark.createDataFrame([("ssn", f"1{i:03d}") for i in range(400)], "kind string, value string")
+    got = {r.value: r.surrogate for r in pii.surrogates(entities, "k").collect()}
+    assert len(got) == 400 == len(set(got.values())) and not set(got) & set(got.values())
+
+
+def test_hot_entity_and_empty_table(spark):
+    docs = spark.createDataFrame([(i, "bob42@example.com") for i in range(500)], "doc_id long, text string")
+    assert pii.replace(docs).select("text").distinct().count() == 1
+    assert pii.replace(spark.createDataFrame([], "doc_id long, text string")).count() == 0
