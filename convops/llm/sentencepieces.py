@@ -17,7 +17,9 @@ round-trip; repeated rows are encoded row by row; an empty table gives an empty
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from convops.llm.shared import documents
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct words whose ids a task remembers from batch to batch.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 class Bpe:
@@ -39,7 +41,13 @@ class Bpe:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        # how long the pieces are that end like this: only those are tried
+        tails: dict[str, set[int]] = {}
+        for piece in scores:
+            for k in (2, 3, 4):
+                if len(piece) == k or len(piece) >= k == 4:
+                    tails.setdefault(piece[-k:], set()).add(len(piece))
+        self.lengths = {tail: tuple(sorted(n, reverse=True)) for tail, n in tails.items()}
         self.histories: dict[str, tuple | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -97,9 +105,16 @@ class Bpe:
     def extend(self, word: str, i: int, states: list) -> tuple[int, str]:
         """The last piece of word[:i], as (its start, itself), from the states of shorter prefixes."""
         scores, pairs = self.scores, self.pairs
-        for j in range(max(0, i - self.longest), i - 1):
-            piece = word[j:i]
-            if piece in scores:
+        for tail in range(4, 1, -1):
+            if tail > i:
+                continue
+            for n in self.lengths.get(word[i - tail:i], ()):
+                j = i - n
+                if j < 0:
+                    continue
+                piece = word[j:i]
+                if n != tail and piece not in scores:
+                    continue
                 if j == 0:
                     if self.history(piece) is not None:
                         return j, piece
@@ -135,11 +150,9 @@ def segment(words: list[str], model: Bpe | Unigram) -> Iterator[tuple[str, list[
     states: list = [None]
     previous = ""
     for word in words:
-        same = 0
-        for x, y in zip(previous, word):
-            if x != y:
-                break
-            same += 1
+        same = min(len(previous), len(word))
+        while same and previous[:same] != word[:same]:
+            same -= 1
         del states[same + 1:]
         for i in range(same + 1, len(word) + 1):
             states.append(model.extend(word, i, states))
@@ -167,9 +180,10 @@ class Codec:
         self.unknown = sp.unk_id()
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        self.control = {i for i in range(n) if sp.is_control(i)}
         self.model = Bpe({self.pieces[i]: sp.get_score(i) for i in plain})
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if sp.is_control(i)
+                        else " \u2047 ".encode() if i == self.unknown else self.pieces[i].encode() for i in range(n)]
 
     def piece_ids(self, piece: str) -> list[int]:
         i = self.ids.get(piece)
@@ -179,38 +193,30 @@ class Codec:
             return [self.unknown]
         return [self.bytes[b] for b in piece.encode("utf-8", "replace")]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = sorted({w for words in split for w in words} - self.known.keys())
+        new = sorted(set().union(*split) - self.known.keys())
+        ids = self.ids
         for word, pieces in segment(new, self.model):
-            self.known[word] = [i for p in pieces for i in self.piece_ids(p)]
-        known = self.known
-        return [[i for w in words for i in known[w]] for words in split]
+            try:
+                found = [ids[p] for p in pieces]
+            except KeyError:
+                found = [i for p in pieces for i in self.piece_ids(p)]
+            self.known[word] = array("i", found).tobytes()
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in split]
 
     def decode(self, ids: list[int]) -> str:
-        out, pending = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                pending.append(self.byte_of[i])
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending = bytearray()
-            if i == self.unknown:
-                out.append(" ⁇ ")
-            elif i not in self.control:
-                out.append(self.pieces[i])
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out)
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
         return (text[1:] if text.startswith(MARK) else text).replace(MARK, " ")
 
 
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids array<int> of every row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here is cyclic, and looking for cycles among millions of words takes a third of the time
         codec = Codec(model_path)
         for batch in batches:
             at = 0
@@ -223,10 +229,9 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
             .mapInArrow(run, "doc_id long, ids array<int>"))
 
 
-def _lists(ids: list[list[int]]) -> pa.ListArray:
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     at = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-    flat = np.fromiter((i for one in ids for i in one), np.int32, int(at[-1]))
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
 
 def decoded(rows: DataFrame, model_path: str) -> DataFrame:
