@@ -29,9 +29,10 @@ from convops.llm.shared import documents
 CLASSES = 32
 PER_CLASS = 32
 BUCKETS = 256
-DIM, HIDDEN, SIDE = 16, 24, 2
-BATCH = 4096
+DIM, HIDDEN, SIDE = 16, 16, 2
+BATCH = 8192
 RATE = 0.01
+SCORE_LIMIT = 60.0
 WARM_DOCS = 200
 WARM_CHARS = 4000
 #: A task gives its word counts away when it holds this many distinct words.
@@ -116,9 +117,20 @@ class Network:
         return x, np.tanh(x @ w["place"] + w["bias"])
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(-1, keepdims=True)
-        return z - np.log(np.exp(z).sum(-1, keepdims=True))
+    def _chosen(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Log probability of one entry of each row of scores (which are overwritten; no score passes SCORE_LIMIT)."""
+        np.clip(z, -SCORE_LIMIT, SCORE_LIMIT, out=z)
+        own = z[np.arange(len(z)), which]
+        return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+
+    @staticmethod
+    def _error(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Gradient of the negative log probability: the row's probabilities, less one at its entry."""
+        np.clip(z, -SCORE_LIMIT, SCORE_LIMIT, out=z)
+        np.exp(z, out=z)
+        z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+        z[np.arange(len(z)), which] -= 1
+        return z
 
     def _by_class(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         own = ids // self.per_class
@@ -134,34 +146,30 @@ class Network:
         for s in range(0, len(ids), 1 << 15):
             _, h = self.hidden(context[s:s + (1 << 15)])
             own = ids[s:s + (1 << 15)]
-            p = self._log_softmax(h @ w["class"] + w["class_bias"])[np.arange(len(own)), own // self.per_class]
-            p = p.astype(np.float64)
+            p = self._chosen(h @ w["class"] + w["class_bias"], own // self.per_class).astype(np.float64)
             for c, rows in self._by_class(own):
-                z = self._log_softmax(h[rows] @ w["word"][c] + w["word_bias"][c])
-                p[rows] += z[np.arange(len(rows)), own[rows] % self.per_class]
+                p[rows] += self._chosen(h[rows] @ w["word"][c] + w["word_bias"][c], own[rows] % self.per_class)
             out[s:s + (1 << 15)] = p
         return out
 
     def train(self, context: np.ndarray, ids: np.ndarray, rate: float = RATE) -> None:
         w, n = self.weights, len(ids)
         x, h = self.hidden(context)
-        g = np.exp(self._log_softmax(h @ w["class"] + w["class_bias"]))
-        g[np.arange(n), ids // self.per_class] -= 1
+        g = self._error(h @ w["class"] + w["class_bias"], ids // self.per_class)
         grads = {"class": h.T @ g, "class_bias": g.sum(0), "word": np.zeros_like(w["word"]),
                  "word_bias": np.zeros_like(w["word_bias"])}
         dh = g @ w["class"].T
         for c, rows in self._by_class(ids):
-            g = np.exp(self._log_softmax(h[rows] @ w["word"][c] + w["word_bias"][c]))
-            g[np.arange(len(rows)), ids[rows] % self.per_class] -= 1
-            grads["word"][c] = h[rows].T @ g
+            own = h[rows]
+            g = self._error(own @ w["word"][c] + w["word_bias"][c], ids[rows] % self.per_class)
+            grads["word"][c] = own.T @ g
             grads["word_bias"][c] = g.sum(0)
             dh[rows] += g @ w["word"][c].T
         dh *= 1 - h * h
         grads["place"], grads["bias"] = x.T @ dh, dh.sum(0)
         dx = (dh @ w["place"].T).reshape(-1, w["embed"].shape[1])
-        rows, dim = w["embed"].shape
-        at = (context.reshape(-1, 1) * dim + np.arange(dim)).ravel()
-        grads["embed"] = np.bincount(at, dx.ravel(), rows * dim).reshape(rows, dim)
+        at = context.ravel()
+        grads["embed"] = np.stack([np.bincount(at, d, len(w["embed"])) for d in np.ascontiguousarray(dx.T)], 1)
         self.steps += 1
         for name, grad in grads.items():
             grad = (grad / n).astype(np.float32)
