@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from convops.llm.shared import documents, flagged, scratch, stored, without
+from convops.llm.shared import discard, documents, flagged, scratch, stored, without
 
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -93,8 +93,9 @@ def grouped(rows: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
     prints_path = scratch(spark, "dedup-prints")
     prints_df.write.parquet(prints_path)
     prints = spark.read.schema(prints_df.schema).parquet(prints_path)
-    state = stored(stream_state(spark, prints_path, prints_df.schema, scratch(spark, "dedup-state")),
-                   "dedup-groups")
+    state_dir = scratch(spark, "dedup-state")
+    state = stored(stream_state(spark, prints_path, prints_df.schema, state_dir), "dedup-groups")
+    discard(spark, state_dir)
 
     # full bytes on hits: each distinct (digest, text) among the hits against the text at the retained locator
     hit = state.where(F.col("group_size") > 1).select("digest", "stays.file", "stays.at")

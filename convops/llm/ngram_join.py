@@ -178,6 +178,7 @@ def contract(edges: DataFrame) -> DataFrame | None:
 
     Every node goes to its smallest neighbour, the edges are mapped along, until none is left.
     """
+    spark = edges.sparkSession
     edges = stored(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
                    .distinct(), "near-edges")
     roots = None
@@ -185,25 +186,34 @@ def contract(edges: DataFrame) -> DataFrame | None:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("parent"))
                     .withColumn("parent", F.least("node", "parent")), "near-parents")
+        a, b = up.toDF("u", "pu"), up.toDF("v", "pv")
+        fewer = stored(edges.join(a, "u").join(b, "v").where("pu <> pv")
+                       .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(),
+                       "near-edges")
         if roots is None:
-            roots = up.withColumnRenamed("parent", "root")
+            roots, old = stored(up.withColumnRenamed("parent", "root"), "near-roots"), []
         else:
+            old = [roots]
             roots = stored(roots.join(up.withColumnRenamed("node", "root"), "root", "left")
                            .select("node", F.coalesce("parent", "root").alias("root")), "near-roots")
-        a, b = up.toDF("u", "pu"), up.toDF("v", "pv")
-        edges = stored(edges.join(a, "u").join(b, "v").where("pu <> pv")
-                       .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(),
-                       "near-edges")
+        discard(spark, edges, up, *old)
+        edges = fewer
+    discard(spark, edges)
     return roots
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (key, comp) after joining the components (u, v) that ``links`` connect."""
+    """``labels`` (key, comp) after joining the components (u, v) that the stored ``links`` connect; both stored
+    inputs are used up."""
+    spark = labels.sparkSession
     roots = contract(links.select("u", "v"))
     if roots is None:
+        discard(spark, links)
         return labels
-    return stored(labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
-                  .select("key", F.coalesce("root", "comp").alias("comp")), "near-labels")
+    out = stored(labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
+                 .select("key", F.coalesce("root", "comp").alias("comp")), "near-labels")
+    discard(spark, labels, links, roots)
+    return out
 
 
 def pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
@@ -328,6 +338,7 @@ def components(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     large = divided(columns.join(members.where(F.col("size") > SMALL_COLUMN).select("token").distinct(), "token",
                                  "left_semi"), labels)
     labels = relabelled(labels, stored(large_links(large, rows), "near-links"))
+    discard(spark, columns, rows, members)
 
     joined = labels.join(classes.select("key", "rep"), "key")
     lowest = joined.groupBy("comp").agg(F.min("rep").alias("lowest"))

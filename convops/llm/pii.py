@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convops.llm.exact_dedup import located
-from convops.llm.shared import documents, stored
+from convops.llm.shared import discard, documents, stored
 
 KEY = "surrogates-1"
 
@@ -174,6 +174,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         pending = stored(pending.join(won, ["kind", "value"], "left_anti"), "pii-pending")
         attempt += 1
         if not pending.take(1):
+            discard(entities.sparkSession, entities, pending)
             return reduce(DataFrame.unionByName, done)
 
 
