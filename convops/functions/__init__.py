@@ -72,3 +72,8 @@ def hours_between(start: Column, end: Column) -> Column:
 def opt_long(c: Column) -> Column:
     """An optional id typed as text: not a number -> NULL."""
     return F.trim(c.cast("string")).try_cast("long")
+
+
+def no_longer_than(c: Column, n: int) -> Column:
+    """Fits a text column declared with ``n`` characters (NULL fits)."""
+    return F.coalesce(F.length(c) <= n, F.lit(True))

@@ -5,5 +5,5 @@
 * ``dedup``    — first / last request per key with partial aggregation (hot keys collapse map-side)
 * ``ranking``  — running rank within a group that splits hot groups into time buckets
 * ``ids``      — dense new surrogate ids in a global order, without funnelling rows through one task
-* ``sizing``   — broadcast only behind a bounded row-count check
+* ``claims``   — who gets a unique value, request by request, in rounds
 """

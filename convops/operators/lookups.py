@@ -41,16 +41,3 @@ def flag_exists(df: DataFrame, other: DataFrame, on, name: str, *, unique: bool
     joined = df.join(keys, cond, "left")
     return joined.withColumn(name, F.coalesce(F.col(f"__hit_{name}"), F.lit(False))).drop(*tmp, f"__hit_{name}")
 
-
-def lookup(df: DataFrame, other: DataFrame, on, columns: Mapping[str, str] | Sequence[str]) -> DataFrame:
-    """Left-join ``columns`` of ``other`` (a key lookup: ``on`` must be a key of ``other``).
-
-    ``columns`` maps other-column -> new name (or is a list kept as-is).
-    """
-    pairs = _pairs(on)
-    cols = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
-    tmp = [f"__l{i}" for i in range(len(pairs))]
-    right = other.select([F.col(r).alias(k) for (_, r), k in zip(pairs, tmp)]
-                         + [F.col(src).alias(dst) for src, dst in cols.items()])
-    cond = [F.col(left) == F.col(k) for (left, _), k in zip(pairs, tmp)]
-    return df.join(right, cond, "left").drop(*tmp)

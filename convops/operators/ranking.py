@@ -26,14 +26,17 @@ from convops.session import checkpoint_dir
 
 
 def running_rank(df: DataFrame, group: Sequence[str], ts: str, tiebreak: Sequence[str], name: str = "rank",
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, counts_if: str | None = None) -> DataFrame:
+    """``counts_if``: a boolean column; rows where it is false get the rank they would have, but use none up."""
     order = [*group, ts, *tiebreak]
     checkpoint_dir(df.sparkSession)
     ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
     tagged = ranged.withColumn("__p", F.spark_partition_id()).checkpoint(eager=True)
     local = Window.partitionBy("__p", *group).orderBy(F.col(ts), *[F.col(c) for c in tiebreak])
-    ranked = tagged.withColumn("__local", F.row_number().over(local))
-    counts = tagged.groupBy(*group, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    one = F.col(counts_if).cast("int") if counts_if else F.lit(1)
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = tagged.withColumn("__local", F.sum(one).over(upto) + F.lit(1) - one)
+    counts = tagged.groupBy(*group, "__p").agg(F.sum(one).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     out = ranked.join(offsets, [*group, "__p"], "inner")

@@ -38,6 +38,7 @@ FDS: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [
     ("prompt_template", ("template_id",), ("owner_user_id", "name", "text", "category", "visibility", "created_at")),
     ("workspace_prompt_template", ("workspace_id", "template_id"), ("shared_at",)),
     ("support_agent", ("agent_id",), ("name", "email", "specialty", "hired_date")),
+    ("support_agent", ("email",), ("agent_id", "name", "specialty", "hired_date")),
     ("support_ticket", ("ticket_id",), ("user_id", "agent_id", "topic_name", "opened_time", "closed_time", "status")),
 ]
 
@@ -117,7 +118,7 @@ def _row_pass(df: DataFrame, table: str, checks: list[tuple[str, str]]) -> DataF
 
 def _row_audit(t: Tables, rules: set[str]) -> DataFrame:
     frames = []
-    raw_messages = "message_raw" in t.names()
+    raw_messages = "message_raw" in t.names()  # hand-made tables may have no feed; stored and bound ones always do
     for table in TABLES:
         own = rules - {"enum"} if (table == "message" and raw_messages) else rules
         checks = _row_violations(table, own)
@@ -131,13 +132,11 @@ def _row_audit(t: Tables, rules: set[str]) -> DataFrame:
 
 # --- key rules: one aggregation per (table, key set) ---------------------------------------------------------
 def _key_audit(t: Tables, rules: set[str]) -> DataFrame:
-    """Primary keys, unique keys and functional dependencies, one hash aggregate (row count) per (table, key set).
+    """Primary keys, unique keys and functional dependencies, one hash aggregate per (table, key set).
 
-    FD X -> Y can only fail inside an X group of two or more rows, so the dependent columns are compared
-    (min(Y) != max(Y)) only for rows whose X is duplicated: a null-safe semi join against the duplicated keys,
-    then one aggregate over those rows. On clean data that second step reads the table and keeps nothing; the
-    sort-based struct aggregate never sees the bulk of the rows. All aggregates are partial (map-side), so a hot
-    key collapses before its shuffle."""
+    The dependent columns of an FD enter as one 64-bit hash, of which the least and the greatest per key are kept:
+    texts never reach a shuffle, aggregates are fixed-width and partial (map-side), so a hot key collapses first.
+    Each column is wrapped before hashing, so a NULL and a neighbour's value can't change places unnoticed."""
     frames = []
     for table in TABLES:
         key_sets: list[tuple[str, ...]] = []
@@ -149,7 +148,11 @@ def _key_audit(t: Tables, rules: set[str]) -> DataFrame:
         key_sets += [lhs for lhs, _ in fds]
         for ks in dict.fromkeys(key_sets):
             my_fds = [rhs for lhs, rhs in fds if lhs == ks]
-            counts = t[table].groupBy(*ks).agg(F.count(F.lit(1)).alias("__n"))
+            # one fixed-width hash per right side: X -> Y fails iff a group holds two different Y, so two hashes
+            hashed = [F.xxhash64(*(F.struct(F.col(c)) for c in rhs)).alias(f"__y{i}") for i, rhs in enumerate(my_fds)]
+            counts = t[table].select(*ks, *hashed).groupBy(*ks).agg(
+                F.count(F.lit(1)).alias("__n"), *(f(f"__y{i}").alias(f"__{n}{i}") for i in range(len(my_fds))
+                                                  for n, f in (("lo", F.min), ("hi", F.max))))
             any_null = " OR ".join(f"{_q(c)} IS NULL" for c in ks)
             checks: list[tuple[str, str]] = []
             if "primary_key" in rules and ks == PRIMARY_KEYS[table]:
@@ -158,20 +161,10 @@ def _key_audit(t: Tables, rules: set[str]) -> DataFrame:
             if "unique_key" in rules and (table, ks) in UNIQUE_KEYS:
                 checks.append(("unique_key", f"CASE WHEN NOT ({any_null}) AND __n > 1 THEN "
                                              f"concat({_lit(','.join(ks) + ' duplicate x')}, cast(__n as string)) END"))
+            checks += [("fd", f"CASE WHEN __lo{i} <> __hi{i} THEN {_lit(','.join(ks) + ' -> ' + ','.join(rhs))} END")
+                       for i, rhs in enumerate(my_fds)]
             if checks:
                 frames.append(_explode_failures(counts, _key_sql(ks), table, checks))
-            if my_fds:
-                dup = counts.where("__n > 1").selectExpr(*[f"{_q(c)} AS __d{i}" for i, c in enumerate(ks)])
-                cond = " AND ".join(f"{_q(c)} <=> __d{i}" for i, c in enumerate(ks))
-                rows = t[table].join(dup, F.expr(cond), "left_semi")
-                aggs = []
-                for i, rhs in enumerate(my_fds):
-                    y = "struct(" + ", ".join(_q(c) for c in rhs) + ")"
-                    aggs += [F.expr(f"min({y})").alias(f"__lo{i}"), F.expr(f"max({y})").alias(f"__hi{i}")]
-                g = rows.groupBy(*ks).agg(*aggs)
-                fd_checks = [("fd", f"CASE WHEN __lo{i} <> __hi{i} THEN {_lit(','.join(ks) + ' -> ' + ','.join(rhs))} END")
-                             for i, rhs in enumerate(my_fds)]
-                frames.append(_explode_failures(g, _key_sql(ks), table, fd_checks))
     return _union(frames)
 
 
@@ -252,10 +245,10 @@ def audit_workspace_access(t: Tables) -> DataFrame:
 
 def audit_rate_limit(t: Tables) -> DataFrame:
     """User-days whose USER messages exceed the tier's daily limit (counted across all the user's conversations)."""
-    m = t.message.where(F.col("sender_role") == "USER").select("conversation_id", "time_sent")
+    m = (t.message.where(F.col("sender_role") == "USER")
+         .groupBy("conversation_id", F.to_date("time_sent").alias("day")).agg(F.count(F.lit(1)).alias("n")))
     c = t.conversation.select("conversation_id", "user_id")
-    per_day = (m.join(c, "conversation_id").groupBy("user_id", F.to_date("time_sent").alias("day"))
-               .agg(F.count(F.lit(1)).alias("n")))
+    per_day = m.join(c, "conversation_id").groupBy("user_id", "day").agg(F.sum("n").alias("n"))
     lim = t.llm_user.select("user_id", "tier_id").join(t.tier.select("tier_id", "message_limit"), "tier_id")
     bad = per_day.join(lim, "user_id").where(F.col("n") > F.col("message_limit"))
     return _shape(bad, "rate_limit", "message", _key(["user_id", "day"]),

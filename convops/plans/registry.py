@@ -4,6 +4,7 @@ oracle text. ``__spark_entry__`` re-exports these."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from convops.plans import reports as R
 from convops.plans import requests as Q
 from convops.plans import rules as J
 from convops.plans.oracle_rules import rules_sql
+from convops.plans.oracle_versions import VERSION_KEYS
 from convops.plans.oracle_audits import audits_sql
 from convops.plans.oracle_reports import reports_sql
 from convops.sources.binding import bind
@@ -68,12 +70,11 @@ def run_job(t, name: str):
     """Run rule job ``name`` on its request table derived from the bound test tables."""
     req = getattr(Q, name)(t)
     if name == "admit_messages":
-        # replay of the message log: the prior table is the message table without the replayed rows
+        # replay of most of the message log: the prior table holds the messages that are not replayed
         prior = t.message.join(req.select(F.col("req_id").alias("message_id")), "message_id", "left_anti")
         return J.admit_messages(t, req, prior)
     if name == "add_bookmarks":
-        prior = t.message_bookmark.join(req.select("user_id", "message_id"), ["user_id", "message_id"], "left_anti")
-        return J.add_bookmarks(t, req, prior)
+        return J.add_bookmarks(t, req)
     return getattr(J, name)(t, req)
 
 
@@ -104,29 +105,40 @@ def _admit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete_decisions(spark, f"{root}/source", f"{root}/sink")
 
 
+def _facts(df: DataFrame, name: str) -> DataFrame:
+    """One row per column: rows, rows with a value, least and greatest value as text (one aggregate pass, every
+    column read)."""
+    def text(c, kind: str):
+        if kind.startswith("decimal") or kind == "double":
+            return F.format_string("%.2f", c.cast("double"))
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss") if kind.startswith("timestamp") else c.cast("string")
+    columns = [F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("row_count"), F.count(c).alias("filled"),
+                        text(F.min(c), kind).alias("low"), text(F.max(c), kind).alias("high")) for c, kind in df.dtypes]
+    return (df.agg(F.array(*columns).alias("all")).select(F.explode("all").alias("one"))
+            .select(F.lit(name).alias("table"), "one.*"))
+
+
 def _scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed scan of all fifteen platform tables: row count per table (one partial-aggregate pass each)."""
+    """Typed scan of all fifteen platform tables, every column."""
     from convops.sources.schemas import TABLES
     t = bind(spark, sf_dir)
-    counts = [t[name].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table"), "row_count")
-              for name in TABLES]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    return reduce(DataFrame.unionByName, [_facts(t[name], name) for name in TABLES])
 
 
 def _write_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run a rule job, persist its outputs as a new version folder (errorifexists) and read them back typed."""
-    from convops.sources.store import new_version_dir, read_table, write_version
+    """Run a rule job, persist its outputs as a new version folder (errorifexists) and read the completed version."""
+    from convops.sources.store import new_version_dir, read_version, write_version
     t = bind(spark, sf_dir)
-    paths = write_version(run_job(t, "generate_invoices"), new_version_dir(spark, label="generate_invoices"))
-    frames = [read_table(spark, path, name).agg(F.count(F.lit(1)).alias("row_count"))
-              .select(F.lit(name).alias("table"), "row_count") for name, path in sorted(paths.items())]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    folder = new_version_dir(spark, label="generate_invoices")
+    write_version(run_job(t, "generate_invoices"), folder)
+    return reduce(DataFrame.unionByName, [_facts(df, name) for name, df in sorted(read_version(spark, folder).items())])
+
+
+def _version(job: str, table: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_job(bind(spark, sf_dir), job).tables[table]
+    run.__name__ = f"{job}__{table}"
+    return run
 
 
 def rule_queries() -> dict[str, Query]:
@@ -135,6 +147,7 @@ def rule_queries() -> dict[str, Query]:
     out["admit_messages_stream"] = _admit_stream
     out["scan_tables"] = _scan_tables
     out["write_version"] = _write_version
+    out |= {f"{job}__{table}": _version(job, table) for job, table in VERSION_KEYS}
     return out
 
 

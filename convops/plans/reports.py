@@ -4,8 +4,7 @@ Per-id parameters of the reference are optional filters here: by default a repor
 one job, and the id is part of the output. Filters sit directly on the scanned columns so Catalyst pushes them to
 the parquet reader; wide tables are projected to the columns a report uses before any join.
 
-Join strategy: dimension-sized sides (tier) go through ``broadcast_if_small`` (a bounded row-count probe); every
-other join is left to the planner — statistics-based broadcast below ``autoBroadcastJoinThreshold``, sort-merge
+Join strategy: left to the planner — statistics-based broadcast below ``autoBroadcastJoinThreshold``, sort-merge
 above it, re-planned by AQE from actual shuffle sizes. Fact-to-fact joins are preceded by pre-aggregation (feedback
 counts per conversation, AI-message counts per conversation) so the shuffle carries one row per key, not per fact.
 """
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 
 from convops import functions as cf
 from convops.operators.lookups import flag_exists
-from convops.operators.sizing import broadcast_if_small
 from convops.sources.binding import Tables
 from convops.sources.schemas import OPEN_TICKET_STATUSES
 
@@ -144,12 +142,13 @@ def top_personas_by_tier(t: Tables, tier_name: str | None = None, k: int = 3) ->
     WindowGroupLimit, which keeps only k rows per tier in each task *before* the shuffle, so a tier holding most
     personas never lands whole in one task.
     """
-    tier = broadcast_if_small(_eq(t.tier, "tier_name", tier_name).select("tier_id", "tier_name"))
+    tier = _eq(t.tier, "tier_name", tier_name).select("tier_id", "tier_name")
     users = t.llm_user.select("user_id", "tier_id").join(tier, "tier_id")
     conv = t.conversation.where(F.col("persona_id").isNotNull()).select("conversation_id", "user_id", "persona_id")
-    rated = (_ratings_per_conversation(t).join(conv, "conversation_id").join(users, "user_id")
-             .groupBy("tier_name", "persona_id")
-             .agg(F.countDistinct("user_id").alias("tier_user_count"), F.sum("up").alias("up"),
+    by_user = (_ratings_per_conversation(t).join(conv, "conversation_id").groupBy("user_id", "persona_id")
+               .agg(F.sum("up").alias("up"), F.sum("rated").alias("rated")))
+    rated = (by_user.join(users, "user_id").groupBy("tier_name", "persona_id")
+             .agg(F.count(F.lit(1)).alias("tier_user_count"), F.sum("up").alias("up"),
                   F.sum("rated").alias("rated"))
              .where(F.col("rated") > 0))
     owners = (t.persona.select("persona_id", F.col("name").alias("persona_name"), "owner_user_id")
@@ -167,14 +166,14 @@ def top_personas_by_tier(t: Tables, tier_name: str | None = None, k: int = 3) ->
 
 # --- lists ------------------------------------------------------------------------------------------------------
 def list_users(t: Tables) -> DataFrame:
-    tier = broadcast_if_small(t.tier.select("tier_id", "tier_name"))
+    tier = t.tier.select("tier_id", "tier_name")
     return (t.llm_user.join(tier, "tier_id")
             .select("user_id", "name", "email", "tier_name", "language").orderBy("user_id"))
 
 
 def user_invoices(t: Tables, user_id: int | None = None) -> DataFrame:
     """Invoices with the tier *as billed* (the invoice's own tier_id), day only; newest first."""
-    tier = broadcast_if_small(t.tier.select("tier_id", "tier_name"))
+    tier = t.tier.select("tier_id", "tier_name")
     inv = _eq(t.invoice, "user_id", user_id)
     return (inv.join(tier, "tier_id")
             .select("user_id", "invoice_id", "tier_name", cf.day_text(F.col("invoice_date")).alias("invoice_day"),
@@ -241,7 +240,7 @@ def ticket_resolution(t: Tables) -> DataFrame:
 
 def id_exists(t: Tables, ids: DataFrame, table: str, key: str) -> DataFrame:
     """For a set of ids (column ``id``), which exist in ``table.key`` — one probe join for the whole set."""
-    return flag_exists(ids.select("id").distinct(), t[table], {"id": key}, "exists")
+    return flag_exists(ids.select("id").distinct(), t[table], {"id": key}, "exists", unique=True)
 
 
 def missing_bookmarked_messages(t: Tables) -> DataFrame:

@@ -11,7 +11,8 @@ Row-at-a-time effects inside a batch are reproduced exactly with set operations:
 * field updates keep the last accepted request per (row, field) (``last_per_key``), then one left join per table;
 * rate limiting ranks a user's USER messages of a day (``running_rank`` — hot user-days split by range partitioning);
 * new ids follow the sequence order (``assign_ids`` — per-partition offsets, no single-task window).
-Existence probes are joins against key sets; dimension-sized sides go through ``broadcast_if_small``.
+Existence probes are joins against key sets. Text fields are trimmed as typed (blank = NULL); a value longer than its
+column is refused as the insert would be.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convops import functions as cf
+from convops.operators.claims import resolve_claims
 from convops.operators.decide import ACCEPTED, REJECTED, JobResult, with_reason
 from convops.operators.dedup import last_per_key, mark_first
 from convops.operators.ids import assign_ids, max_id
 from convops.operators.lookups import flag_exists
 from convops.operators.ranking import running_rank
-from convops.operators.sizing import broadcast_if_small
 from convops.session import checkpoint_dir
 from convops.sources.binding import Tables
-from convops.sources.schemas import FOREIGN_KEYS, OPEN_TICKET_STATUSES, PRIMARY_KEYS, SCHEMAS, TABLES
+from convops.sources.schemas import FOREIGN_KEYS, LENGTHS, OPEN_TICKET_STATUSES, PRIMARY_KEYS, SCHEMAS, TABLES
 
 ORDER = ["req_ts", "req_id"]
 
@@ -59,8 +60,28 @@ def _with_new_ids(decided: DataFrame, base: Column, id_col: str, eligible: Colum
     return decided.join(ids, "req_id", "left")
 
 
-def _tier_dim(t: Tables) -> DataFrame:
-    return broadcast_if_small(t.tier)
+def _trimmed(df: DataFrame, *cols: str) -> DataFrame:
+    """Text fields as the prompt stores them: trimmed, blank = NULL."""
+    return df.withColumns({c: cf.blank_to_null(F.col(c)) for c in cols})
+
+
+def _fits(table: str, *cols: str) -> Column:
+    limits = {c: n for tb, c, n in LENGTHS if tb == table}
+    return reduce(lambda a, b: a & b, [cf.no_longer_than(F.col(c), limits[c]) for c in cols])
+
+
+def _filled(*cols: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+
+
+def _value_fits(table: str, fields: dict[int, str]) -> Column:
+    """Does ``value`` fit the column that ``field`` names? (columns without a declared length always do)"""
+    limits = {c: n for tb, c, n in LENGTHS if tb == table}
+    out = F.lit(True)
+    for code, c in fields.items():
+        if c in limits:
+            out = F.when(F.col("field") == code, cf.no_longer_than(F.col("value"), limits[c])).otherwise(out)
+    return out
 
 
 def _apply_updates(base: DataFrame, key: str, updates: DataFrame, fields: dict[int, tuple[str, Column]]) -> DataFrame:
@@ -82,7 +103,7 @@ def _apply_updates(base: DataFrame, key: str, updates: DataFrame, fields: dict[i
 def generate_invoices(t: Tables, req: DataFrame) -> JobResult:
     """User must exist; snapshot the user's current tier and its cost; 'Paid' when the cost is 0, else 'Unpaid'."""
     u = t.llm_user.select("user_id", F.col("tier_id").alias("cur_tier"))
-    tier = _tier_dim(t).select(F.col("tier_id").alias("cur_tier"), "cost")
+    tier = t.tier.select(F.col("tier_id").alias("cur_tier"), "cost")
     d = req.join(u, "user_id", "left").join(tier, "cur_tier", "left")
     d = with_reason(d, [("no_user", F.col("cur_tier").isNotNull()), ("no_tier", F.col("cost").isNotNull())])
     d = _with_new_ids(d, max_id(t.invoice, "invoice_id"), "invoice_id")
@@ -106,15 +127,17 @@ def mark_paid(t: Tables, req: DataFrame) -> JobResult:
 
 # --- conversations --------------------------------------------------------------------------------------------
 def start_conversations(t: Tables, req: DataFrame) -> JobResult:
-    """User must exist; an unknown persona means no persona; an unknown workspace rejects; snapshots are copied."""
-    d = flag_exists(req, t.llm_user, "user_id", "user_ok", unique=True)
+    """User must exist; an unknown persona means no persona; an unknown workspace rejects; an optional id that is not
+    a number means none; snapshots are copied."""
+    d = _trimmed(req, "title").withColumns({c: cf.opt_long(F.col(c)) for c in ("persona_id", "workspace_id")})
+    d = flag_exists(d, t.llm_user, "user_id", "user_ok", unique=True)
     p = t.persona.select(F.col("persona_id").alias("__pid"), F.col("name").alias("persona_name_snapshot"),
                          F.col("instructions").alias("persona_instr_snapshot"))
     d = d.join(p, F.col("persona_id") == F.col("__pid"), "left").withColumn("persona_id", F.col("__pid")).drop("__pid")
     d = flag_exists(d, t.workspace, "workspace_id", "ws_ok", unique=True)
     d = with_reason(d, [("no_user", F.col("user_ok")),
                         ("no_workspace", F.col("workspace_id").isNull() | F.col("ws_ok")),
-                        ("null", cf.blank_to_null(F.col("title")).isNotNull())])
+                        ("null", F.col("title").isNotNull()), ("too_long", _fits("conversation", "title"))])
     d = _with_new_ids(d, max_id(t.conversation, "conversation_id"), "conversation_id")
     new_rows = d.where(_acc()).select("conversation_id", "user_id", "workspace_id", "persona_id", "title",
                                    F.col("req_ts").alias("start_time"), F.lit("ACTIVE").alias("status"),
@@ -126,32 +149,40 @@ def start_conversations(t: Tables, req: DataFrame) -> JobResult:
     return JobResult(decisions, {"conversation": t.conversation.unionByName(_typed(new_rows, "conversation"))})
 
 
+def owner_days(messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """owner_id, day, n: USER messages, counted per conversation and day before they meet the conversation."""
+    per_conversation = (messages.where(F.col("sender_role") == "USER")
+                        .groupBy("conversation_id", F.to_date("time_sent").alias("day")).agg(F.count(F.lit(1)).alias("n")))
+    return (per_conversation.join(conversations, "conversation_id")
+            .groupBy("owner_id", "day").agg(F.sum("n").alias("n")))
+
+
 def admit_messages(t: Tables, req: DataFrame, prior: DataFrame | None = None) -> JobResult:
     """Conversation must exist; code 1 = USER, else AI. A USER message is rejected once the conversation owner's
     USER messages of that calendar day — across all conversations, prior ones included — reached the tier limit.
     AI messages are never limited; an owner without a tier has no limit.
 
     accepted <=> prior_count(owner, day) + rank within the batch(owner, day) <= limit (rejected ones never count).
+    A message without text is refused after the limit was tested and uses up none of it.
     """
     prior = t.message if prior is None else prior
     conv = t.conversation.select("conversation_id", F.col("user_id").alias("owner_id"))
     lim = (t.llm_user.select(F.col("user_id").alias("owner_id"), "tier_id")
-           .join(_tier_dim(t).select("tier_id", "message_limit"), "tier_id").drop("tier_id"))
-    d = (req.withColumn("sender_role", cf.role_from_code(F.col("role_code")))
-            .withColumn("day", F.to_date("req_ts"))
-            .join(conv, "conversation_id", "left")
-            .join(lim, "owner_id", "left"))
-    prior_counts = (prior.where(F.col("sender_role") == "USER").select("conversation_id", "time_sent")
-                    .join(conv, "conversation_id")
-                    .groupBy("owner_id", F.to_date("time_sent").alias("day")).agg(F.count(F.lit(1)).alias("prior_n")))
-    counted = F.col("owner_id").isNotNull() & (F.col("sender_role") == "USER")
-    # rank on a narrow projection (no message text), then attach to the requests by the unique req_id
-    ranks = running_rank(d.where(counted).select("req_id", "req_ts", "owner_id", "day"), ["owner_id", "day"],
-                         "req_ts", ["req_id"], "day_rank").select("req_id", "owner_id", "day", "day_rank")
-    d = (d.join(ranks.join(prior_counts, ["owner_id", "day"], "left").drop("owner_id", "day"), "req_id", "left"))
-    within = (F.col("sender_role") != "USER") | F.col("message_limit").isNull() | \
-             (F.coalesce(F.col("prior_n"), F.lit(0)) + F.col("day_rank") <= F.col("message_limit"))
-    d = with_reason(d, [("no_conversation", F.col("owner_id").isNotNull()), ("rate_limit", within)])
+           .join(t.tier.select("tier_id", "message_limit"), "tier_id").drop("tier_id"))
+    d = (_trimmed(req, "content").withColumn("sender_role", cf.role_from_code(F.col("role_code")))
+            .join(conv, "conversation_id", "left"))
+    prior_counts = owner_days(prior, conv).withColumnRenamed("n", "prior_n")
+    # limits are looked at on a narrow projection (no message text), then attached by the unique req_id
+    counted = (d.where(F.col("owner_id").isNotNull() & (F.col("sender_role") == "USER"))
+               .select("req_id", "req_ts", "owner_id", F.to_date("req_ts").alias("day"),
+                       F.col("content").isNotNull().alias("written")))
+    ranks = running_rank(counted, ["owner_id", "day"], "req_ts", ["req_id"], "day_rank", counts_if="written")
+    over = (ranks.join(prior_counts, ["owner_id", "day"], "left").join(lim, "owner_id")
+            .where(F.coalesce(F.col("prior_n"), F.lit(0)) + F.col("day_rank") > F.col("message_limit"))
+            .select("req_id", F.lit(True).alias("over")))
+    d = d.join(over, "req_id", "left")
+    d = with_reason(d, [("no_conversation", F.col("owner_id").isNotNull()), ("rate_limit", F.col("over").isNull()),
+                        ("null", F.col("content").isNotNull())])
     d = _with_new_ids(d, max_id(prior, "message_id"), "message_id")
     new_rows = d.where(_acc()).select("message_id", "conversation_id", "sender_role", F.col("req_ts").alias("time_sent"),
                                    "content")
@@ -162,31 +193,27 @@ def admit_messages(t: Tables, req: DataFrame, prior: DataFrame | None = None) ->
 def upsert_feedback(t: Tables, req: DataFrame) -> JobResult:
     """Message must exist and be AI. Code 1 = Thumbs Up, else Thumbs Down; blank comment = NULL. Existing feedback
     is overwritten (rating, comment, time; id kept), otherwise inserted; later requests on a message win."""
-    m = t.message.select("message_id", "sender_role")
-    d = req.join(m, "message_id", "left")
+    checkpoint_dir(t.spark)
+    d = req.join(t.message.select("message_id", "sender_role"), "message_id", "left")
     d = with_reason(d, [("no_message", F.col("sender_role").isNotNull()), ("not_ai", F.col("sender_role") == "AI")])
     d = (d.withColumn("rating", cf.rating_from_code(F.col("rating_code")))
           .withColumn("comment_text", cf.blank_to_null(F.col("comment"))))
-    existing = t.message_feedback.select("message_id", F.col("feedback_id").alias("existing_id"))
-    acc = d.where(_acc()).join(existing, "message_id", "left")
-    acc = mark_first(acc, ["message_id"], ORDER, "is_first")
-    acc = acc.withColumn("action", F.when(F.col("is_first") & F.col("existing_id").isNull(), "insert")
-                         .otherwise("update"))
-    firsts = _with_new_ids(acc, max_id(t.message_feedback, "feedback_id"), "new_id",
-                           eligible=F.col("action") == "insert")
-    new_ids = firsts.where(F.col("new_id").isNotNull()).select("message_id", "new_id")
-    acc = (acc.join(new_ids, "message_id", "left")
-              .withColumn("feedback_id", F.coalesce("existing_id", "new_id")).drop("new_id", "existing_id", "is_first"))
-    rej = (d.where(~_acc()).withColumn("action", F.lit(None).cast("string"))
-            .withColumn("feedback_id", F.lit(None).cast("long")))
-    all_d = acc.unionByName(rej)
-    decisions = all_d.select("req_id", "message_id", "status", "reason", "action", "feedback_id",
-                             _when_acc(F.col("rating")).alias("rating"),
-                             _when_acc(F.col("comment_text")).alias("comment_text"))
-    final = last_per_key(acc.select("message_id", "feedback_id", "rating", "comment_text", "req_ts", "req_id"),
-                         ["message_id"], ORDER)
-    final = final.select("feedback_id", "message_id", "rating", "comment_text", F.col("req_ts").alias("submitted_at"))
-    kept = t.message_feedback.join(final.select("message_id"), "message_id", "left_anti")
+    # one row per message: its first accepted request (which inserts), its last one (whose values stay)
+    per = (d.where(_acc()).groupBy("message_id")
+           .agg(F.min(F.struct("req_ts", "req_id")).alias("first"),
+                F.max(F.struct("req_ts", "req_id", "rating", "comment_text")).alias("last")))
+    per = per.join(t.message_feedback.select("message_id", F.col("feedback_id").alias("existing_id")), "message_id", "left")
+    fresh = per.where(F.col("existing_id").isNull()).select("message_id", "first.req_ts", "first.req_id")
+    new_ids = assign_ids(fresh, ORDER, max_id(t.message_feedback, "feedback_id"), "new_id").select("message_id", "new_id")
+    per = per.join(new_ids, "message_id", "left").withColumn("feedback_id", F.coalesce("existing_id", "new_id")).checkpoint()
+    ids = per.select("message_id", "feedback_id", F.when(F.col("existing_id").isNull(), F.col("first.req_id")).alias("inserts"))
+    d = d.join(ids, "message_id", "left")
+    decisions = d.select("req_id", "message_id", "status", "reason",
+                         _when_acc(F.when(F.col("inserts") == F.col("req_id"), "insert").otherwise("update")).alias("action"),
+                         _when_acc(F.col("feedback_id")).alias("feedback_id"), _when_acc(F.col("rating")).alias("rating"),
+                         _when_acc(F.col("comment_text")).alias("comment_text"))
+    final = per.select("feedback_id", "message_id", "last.rating", "last.comment_text", F.col("last.req_ts").alias("submitted_at"))
+    kept = t.message_feedback.join(per.select("message_id"), "message_id", "left_anti")
     return JobResult(decisions, {"message_feedback": _typed(kept, "message_feedback")
                                  .unionByName(_typed(final, "message_feedback"))})
 
@@ -226,8 +253,8 @@ def move_conversations(t: Tables, req: DataFrame) -> JobResult:
     d = with_reason(d, [("no_conversation", F.col("owner_id").isNotNull()), ("no_workspace", F.col("ws_ok")),
                         ("not_member", F.col("member"))])
     decisions = d.select("req_id", "conversation_id", "workspace_id", "status", "reason")
-    last = last_per_key(decisions.where(_acc()).join(req.select("req_id", "req_ts"), "req_id")
-                        .select("conversation_id", "workspace_id", "req_ts", "req_id"), ["conversation_id"], ORDER)
+    last = last_per_key(d.where(_acc()).select("conversation_id", "workspace_id", "req_ts", "req_id"),
+                        ["conversation_id"], ORDER)
     moved = (t.conversation.join(last.select("conversation_id", F.col("workspace_id").alias("__to")),
                                  "conversation_id", "left")
              .withColumn("workspace_id", F.coalesce(F.col("__to"), F.col("workspace_id"))).drop("__to"))
@@ -237,27 +264,35 @@ def move_conversations(t: Tables, req: DataFrame) -> JobResult:
 # --- users ----------------------------------------------------------------------------------------------------
 def add_users(t: Tables, req: DataFrame) -> JobResult:
     """Mandatory fields not blank; tier must exist; email unique (against the table and earlier requests).
-    Inserts the user and, as a second write, the billing record (skipped when its fields are blank)."""
-    d = (req.withColumn("name", cf.blank_to_null(F.col("name"))).withColumn("email", cf.blank_to_null(F.col("email")))
-            .withColumn("language", cf.blank_to_null(F.col("language"))))
+    Inserts the user and, as a second write, the billing record (skipped when its fields are blank or too long)."""
+    d = _trimmed(req, "name", "email", "language", "payment_method", "billing_address")
     d = flag_exists(d, t.tier, "tier_id", "tier_ok", unique=True)
     d = flag_exists(d, t.llm_user, "email", "email_taken")
-    filled = F.col("name").isNotNull() & F.col("email").isNotNull() & F.col("language").isNotNull()
-    pre = filled & F.col("tier_ok")
-    d = mark_first(d.withColumn("__pre", pre), ["__pre", "email"], ORDER, "is_first")
-    d = with_reason(d, [("null", filled), ("no_tier", F.col("tier_ok")),
+    filled, fits = _filled("name", "email", "language"), _fits("llm_user", "name", "email", "language")
+    d = mark_first(d.withColumn("__pre", filled & fits & F.col("tier_ok")), ["__pre", "email"], ORDER, "is_first")
+    d = with_reason(d, [("null", filled), ("too_long", fits), ("no_tier", F.col("tier_ok")),
                         ("duplicate_email", ~F.col("email_taken") & F.col("is_first"))])
     d = _with_new_ids(d, max_id(t.llm_user, "user_id"), "user_id")
     acc = d.where(_acc())
     users = acc.select("user_id", "tier_id", "name", "email", F.col("req_ts").alias("creation_date"), "language")
-    billing = (acc.where(cf.blank_to_null(F.col("payment_method")).isNotNull()
-                         & cf.blank_to_null(F.col("billing_address")).isNotNull())
+    billing = (acc.where(_filled("payment_method", "billing_address")
+                         & _fits("billing_record", "payment_method", "billing_address"))
                .select("user_id", "payment_method", "billing_address"))
     decisions = d.select("req_id", "status", "reason", "user_id", "email", _when_acc(F.col("tier_id")).alias("tier_id"))
     return JobResult(decisions, {"llm_user": t.llm_user.unionByName(_typed(users, "llm_user")),
                                  "billing_record": t.billing_record.unionByName(_typed(billing, "billing_record"))})
 
 
+def _with_grants(d: DataFrame, asks: Column, owner: str, value: Column, holders: DataFrame) -> DataFrame:
+    """Column ``granted``: the outcome of the requests that ask for a unique value; true for the others, which are
+    passed by."""
+    asked = d.withColumn("__asks", F.coalesce(asks, F.lit(False)))
+    claims = asked.where("__asks")
+    grants = resolve_claims(claims.select("req_id", "req_ts", F.col(owner).alias("owner"), value.alias("value")), holders)
+    return (asked.where(~F.col("__asks")).withColumn("granted", F.lit(True))
+            .unionByName(claims.join(grants, "req_id"))).drop("__asks")
+
+
 USER_FIELDS = {1: "tier_id", 2: "name", 3: "email", 4: "language"}
 
 
@@ -265,31 +300,21 @@ def update_users(t: Tables, req: DataFrame) -> JobResult:
     """User must exist; field 1 tier (must exist), 2 name, 3 email (unique), 4 language; other codes change
     nothing (rejected as invalid_field). Blank values are NULL and rejected.
 
-    Email uniqueness is checked against other users' current emails and against earlier accepted requests in the
-    batch that claimed the same email for a different user (an email freed by a change in the same batch is still
-    treated as taken)."""
+    An email is refused when another user holds it at that moment: changes earlier in the batch count, both the
+    emails they took and those they freed (``resolve_claims``; only email requests go through it)."""
     u = t.llm_user.select("user_id", F.col("email").alias("cur_email"))
-    d = req.withColumn("value", cf.blank_to_null(F.col("value"))).join(u, "user_id", "left")
+    d = _trimmed(req, "value").join(u, "user_id", "left")
     d = d.withColumn("tier_val", F.when(F.col("field") == 1, F.col("value").try_cast("long")))
     d = flag_exists(d, t.tier, {"tier_val": "tier_id"}, "tier_ok", unique=True)
-    # an email held by any *other* user (a per-email aggregate, so the join adds no rows)
-    holders = t.llm_user.groupBy(F.col("email").alias("__e")).agg(F.count(F.lit(1)).alias("__n"),
-                                                                   F.min("user_id").alias("__o"))
-    d = (d.join(holders, (F.col("field") == 3) & (F.col("value") == F.col("__e")), "left")
-          .withColumn("email_taken", F.col("__e").isNotNull() & ((F.col("__n") > 1) | (F.col("__o") != F.col("user_id"))))
-          .drop("__e", "__n", "__o"))
-    claims = d.withColumn("__claim", (F.col("field") == 3) & F.col("cur_email").isNotNull() & F.col("value").isNotNull()
-                          & ~F.col("email_taken"))
-    first_claim = (claims.where("__claim").groupBy(F.col("value").alias("__v"))
-                   .agg(F.min(F.struct(*ORDER, "user_id")).alias("__w")))
-    d = (claims.join(first_claim, F.col("__claim") & (F.col("value") == F.col("__v")), "left")
-               .withColumn("batch_taken", F.coalesce(F.col("__w.user_id") != F.col("user_id"), F.lit(False)))
-               .drop("__v", "__w", "__claim"))
+    fits = _value_fits("llm_user", USER_FIELDS)
+    asks = (F.col("field") == 3) & F.col("cur_email").isNotNull() & F.col("value").isNotNull() & fits
+    d = _with_grants(d, asks, "user_id", F.col("value"), t.llm_user.select(F.col("user_id").alias("owner"),
+                                                                           F.col("email").alias("value")))
     d = with_reason(d, [("no_user", F.col("cur_email").isNotNull()),
                         ("invalid_field", F.col("field").between(1, 4)),
-                        ("null", F.col("value").isNotNull()),
+                        ("null", F.col("value").isNotNull()), ("too_long", fits),
                         ("no_tier", (F.col("field") != 1) | F.col("tier_ok")),
-                        ("duplicate_email", (F.col("field") != 3) | (~F.col("email_taken") & ~F.col("batch_taken")))])
+                        ("duplicate_email", F.col("granted"))])
     decisions = d.select("req_id", "user_id", "field", "status", "reason")
     updates = d.where(_acc()).select("user_id", "field", "value", "req_ts", "req_id")
     new_users = _apply_updates(t.llm_user, "user_id", updates, {
@@ -401,9 +426,10 @@ def cascade_summary(t: Tables, new_tables: dict[str, DataFrame]) -> DataFrame:
 # --- workspaces -----------------------------------------------------------------------------------------------
 def create_workspaces(t: Tables, req: DataFrame) -> JobResult:
     """Owner must exist; code 2 = SHARED else PRIVATE; the owner also gets an OWNER membership."""
-    d = flag_exists(req, t.llm_user, {"owner_id": "user_id"}, "owner_ok", unique=True)
+    d = flag_exists(_trimmed(req, "name"), t.llm_user, {"owner_id": "user_id"}, "owner_ok", unique=True)
     d = d.withColumn("visibility", cf.visibility_from_code(F.col("visibility_code")))
-    d = with_reason(d, [("no_user", F.col("owner_ok")), ("null", cf.blank_to_null(F.col("name")).isNotNull())])
+    d = with_reason(d, [("no_user", F.col("owner_ok")), ("null", F.col("name").isNotNull()),
+                        ("too_long", _fits("workspace", "name"))])
     d = _with_new_ids(d, max_id(t.workspace, "workspace_id"), "workspace_id")
     acc = d.where(_acc())
     ws = acc.select("workspace_id", "owner_id", "name", "visibility", F.col("req_ts").alias("created_at"))
@@ -421,7 +447,8 @@ def modify_workspaces(t: Tables, req: DataFrame) -> JobResult:
     d = d.withColumn("field", F.when(F.col("field") == 1, 1).otherwise(2))
     d = d.withColumn("value", F.when(F.col("field") == 1, cf.blank_to_null(F.col("name")))
                      .otherwise(cf.visibility_from_code(F.col("visibility_code"))))
-    d = with_reason(d, [("no_workspace", F.col("ws_ok")), ("null", F.col("value").isNotNull())])
+    d = with_reason(d, [("no_workspace", F.col("ws_ok")), ("null", F.col("value").isNotNull()),
+                        ("too_long", _value_fits("workspace", {1: "name", 2: "visibility"}))])
     decisions = d.select("req_id", "workspace_id", "field", "status", "reason")
     updates = d.where(_acc()).select("workspace_id", "field", "value", "req_ts", "req_id")
     ws = _apply_updates(t.workspace, "workspace_id", updates,
@@ -445,14 +472,13 @@ def add_members(t: Tables, req: DataFrame) -> JobResult:
 # --- personas -------------------------------------------------------------------------------------------------
 def create_personas(t: Tables, req: DataFrame) -> JobResult:
     """Owner must exist; name and instructions not blank; (owner, name) unique, earlier requests included."""
-    d = (req.withColumn("name", cf.blank_to_null(F.col("name")))
-            .withColumn("instructions", cf.blank_to_null(F.col("instructions"))))
+    d = _trimmed(req, "name", "instructions")
     d = flag_exists(d, t.llm_user, {"owner_user_id": "user_id"}, "owner_ok", unique=True)
     d = flag_exists(d, t.persona, ["owner_user_id", "name"], "taken")
-    filled = F.col("name").isNotNull() & F.col("instructions").isNotNull()
-    d = mark_first(d.withColumn("__pre", F.col("owner_ok") & filled), ["__pre", "owner_user_id", "name"], ORDER,
+    filled, fits = _filled("name", "instructions"), _fits("persona", "name")
+    d = mark_first(d.withColumn("__pre", F.col("owner_ok") & filled & fits), ["__pre", "owner_user_id", "name"], ORDER,
                    "is_first")
-    d = with_reason(d, [("no_user", F.col("owner_ok")), ("null", filled),
+    d = with_reason(d, [("no_user", F.col("owner_ok")), ("null", filled), ("too_long", fits),
                         ("duplicate_name", ~F.col("taken") & F.col("is_first"))])
     d = _with_new_ids(d, max_id(t.persona, "persona_id"), "persona_id")
     rows = d.where(_acc()).select("persona_id", "owner_user_id", "name", "instructions", F.col("req_ts").alias("created_at"))
@@ -466,23 +492,15 @@ def update_personas(t: Tables, req: DataFrame) -> JobResult:
     p = t.persona.select("persona_id", "owner_user_id")
     d = req.withColumn("field", F.when(F.col("field") == 1, 1).otherwise(2)) \
            .withColumn("value", cf.blank_to_null(F.col("value"))).join(p, "persona_id", "left")
-    # a name held by another persona of the same owner (per-(owner, name) aggregate: the join adds no rows)
-    holders = (t.persona.groupBy(F.col("owner_user_id").alias("__o"), F.col("name").alias("__n"))
-               .agg(F.count(F.lit(1)).alias("__c"), F.min("persona_id").alias("__p")))
-    d = (d.join(holders, (F.col("field") == 1) & (F.col("owner_user_id") == F.col("__o"))
-                & (F.col("value") == F.col("__n")), "left")
-          .withColumn("taken", F.col("__o").isNotNull() & ((F.col("__c") > 1) | (F.col("__p") != F.col("persona_id"))))
-          .drop("__o", "__n", "__c", "__p"))
-    claims = d.withColumn("__claim", (F.col("field") == 1) & F.col("owner_user_id").isNotNull()
-                          & F.col("value").isNotNull() & ~F.col("taken"))
-    first = (claims.where("__claim").groupBy(F.col("owner_user_id").alias("__o"), F.col("value").alias("__v"))
-             .agg(F.min(F.struct(*ORDER, "persona_id")).alias("__w")))
-    d = (claims.join(first, F.col("__claim") & (F.col("owner_user_id") == F.col("__o")) & (F.col("value") == F.col("__v")),
-                     "left")
-               .withColumn("batch_taken", F.coalesce(F.col("__w.persona_id") != F.col("persona_id"), F.lit(False)))
-               .drop("__o", "__v", "__w", "__claim"))
+    fits = _value_fits("persona", {1: "name"})
+    asks = (F.col("field") == 1) & F.col("owner_user_id").isNotNull() & F.col("value").isNotNull() & fits
+
+    def named(name: str) -> Column:
+        return F.concat(F.col("owner_user_id").cast("string"), F.lit(":"), F.col(name))
+    d = _with_grants(d, asks, "persona_id", named("value"),
+                     t.persona.select(F.col("persona_id").alias("owner"), named("name").alias("value")))
     d = with_reason(d, [("no_persona", F.col("owner_user_id").isNotNull()), ("null", F.col("value").isNotNull()),
-                        ("duplicate_name", ~F.col("taken") & ~F.col("batch_taken"))])
+                        ("too_long", fits), ("duplicate_name", F.col("granted"))])
     decisions = d.select("req_id", "persona_id", "field", "status", "reason")
     updates = d.where(_acc()).select("persona_id", "field", "value", "req_ts", "req_id")
     personas = _apply_updates(t.persona, "persona_id", updates,
@@ -509,10 +527,11 @@ def delete_personas(t: Tables, req: DataFrame) -> JobResult:
 # --- prompt templates -----------------------------------------------------------------------------------------
 def add_templates(t: Tables, req: DataFrame) -> JobResult:
     """Owner must exist; name, text and category not blank; code 2 = SHARED else PRIVATE."""
-    d = flag_exists(req, t.llm_user, {"owner_user_id": "user_id"}, "owner_ok", unique=True)
-    filled = reduce(lambda a, b: a & b, [cf.blank_to_null(F.col(c)).isNotNull() for c in ("name", "text", "category")])
+    d = flag_exists(_trimmed(req, "name", "text", "category"), t.llm_user, {"owner_user_id": "user_id"}, "owner_ok",
+                    unique=True)
     d = d.withColumn("visibility", cf.visibility_from_code(F.col("visibility_code")))
-    d = with_reason(d, [("no_user", F.col("owner_ok")), ("null", filled)])
+    d = with_reason(d, [("no_user", F.col("owner_ok")), ("null", _filled("name", "text", "category")),
+                        ("too_long", _fits("prompt_template", "name", "category"))])
     d = _with_new_ids(d, max_id(t.prompt_template, "template_id"), "template_id")
     rows = d.where(_acc()).select("template_id", "owner_user_id", "name", "text", "category", "visibility",
                                F.col("req_ts").alias("created_at"))
@@ -525,10 +544,11 @@ def update_templates(t: Tables, req: DataFrame) -> JobResult:
     """Template must exist; field 1 name, 2 text, 3 category, 4 visibility (value code 2 = SHARED); any other code
     is rejected. Turning a SHARED template PRIVATE leaves its shares in place (the audit reports them)."""
     d = flag_exists(req, t.prompt_template, "template_id", "found", unique=True)
-    d = d.withColumn("value", F.when(F.col("field") == 4, cf.visibility_from_code(F.col("value").try_cast("int")))
+    d = d.withColumn("value", F.when(F.col("field") == 4, cf.visibility_from_code(cf.opt_long(F.col("value"))))
                      .otherwise(cf.blank_to_null(F.col("value"))))
     d = with_reason(d, [("no_template", F.col("found")), ("invalid_field", F.col("field").between(1, 4)),
-                        ("null", F.col("value").isNotNull())])
+                        ("null", F.col("value").isNotNull()),
+                        ("too_long", _value_fits("prompt_template", {1: "name", 3: "category"}))])
     decisions = d.select("req_id", "template_id", "field", "status", "reason")
     updates = d.where(_acc()).select("template_id", "field", "value", "req_ts", "req_id")
     tmpl = _apply_updates(t.prompt_template, "template_id", updates,

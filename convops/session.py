@@ -27,25 +27,6 @@ BASE_CONF = {
 }
 
 
-def cluster_conf(input_bytes: int, total_cores: int, shuffle_fraction: float = 0.1,
-                 reducer_bytes: int = 256 * 1024 ** 2, max_partitions: int = 100_000) -> dict:
-    """Shuffle sizing for a cluster run over ``input_bytes`` of parquet.
-
-    The largest shuffle carries only the pruned key and value columns — ``shuffle_fraction`` of the input is the
-    planning assumption. Reducers are sized to ``reducer_bytes`` each (at least 3 waves of tasks, at most
-    ``max_partitions`` so map x reduce shuffle blocks stay manageable); AQE coalesces small partitions and splits
-    skewed ones at runtime. E.g. 100 TB on 1000 executors x 8 cores -> 40,960 shuffle partitions (~5 waves).
-    Scans read ``maxPartitionBytes`` splits (128 MB) so map tasks stay small and spill-free.
-    """
-    parts = int(min(max_partitions, max(3 * total_cores, -(-int(input_bytes * shuffle_fraction) // reducer_bytes))))
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.files.maxPartitionBytes": str(128 * 1024 ** 2),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(reducer_bytes // 2),
-    }
-
-
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "convops", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)

@@ -81,6 +81,41 @@ def _raw(t: Tables, name: str) -> DataFrame:
     return t.spark.read.parquet(os.path.join(t._sf_dir, f"{name}.parquet"))  # type: ignore[attr-defined]
 
 
+def scalar(t: Tables, raw: str, value: Column) -> Column:
+    """An aggregate over a raw table as a one-row subquery, usable as a column."""
+    return _raw(t, raw).agg(value.alias("v")).scalar()
+
+
+def users_span(t: Tables) -> Column:
+    return scalar(t, "customer", F.max("c_custkey") + 1)
+
+
+def regions_span(t: Tables) -> Column:
+    return scalar(t, "region", F.max("r_regionkey").cast("long") + 1)
+
+
+def nations_span(t: Tables) -> Column:
+    return scalar(t, "nation", F.max("n_nationkey").cast("long") + 1)
+
+
+def agents_span(t: Tables) -> Column:
+    return scalar(t, "supplier", F.max("s_suppkey") + 1)
+
+
+def turns_span(t: Tables) -> Column:
+    return scalar(t, "conversations", F.max("turn").cast("long") + 1)
+
+
+def messages_span(t: Tables) -> Column:
+    """One more than the largest message id: conversations times turns."""
+    return scalar(t, "conversations", (F.max("conv_id") + 1) * (F.max("turn").cast("long") + 1))
+
+
+def talkers_span(t: Tables) -> Column:
+    """About a quarter of the conversations: so many users have some."""
+    return scalar(t, "conversations", F.greatest(F.lit(1).cast("long"), F.floor((F.max("conv_id") + 1) / 4)))
+
+
 def _segment_tier() -> Column:
     """Tier of a customer by market segment (FIXTURES.md §3)."""
     return (F.when(F.col("c_mktsegment").isin("MACHINERY", "HOUSEHOLD"), 1)
@@ -88,13 +123,16 @@ def _segment_tier() -> Column:
 
 
 def _tier(t: Tables) -> DataFrame:
-    # fixed values: the three tiers (id, name, cost, daily USER-message limit, pro access). Limits are lowered from
-    # the seed's 100/1000 so the rate limit fires on the test data.
-    rows = [(1, "Free", 0, 3, "N"), (2, "Plus", 20, 6, "Y"), (3, "Enterprise", 100, 99999, "Y")]
-    attrs = t.spark.createDataFrame(rows, "tier_id long, tier_name string, cost int, message_limit long, pro_access string")
-    # the dimension holds the tiers the customers are on: derived from the customer table (a distinct over it)
-    in_use = _raw(t, "customer").select(_segment_tier().cast("long").alias("tier_id")).distinct()
-    return _typed(attrs.join(in_use, "tier_id", "left_semi"), "tier")
+    """One tier per region, used by customers or not. Limits are low, so that the rate limit fires on the test data."""
+    k = F.col("r_regionkey")
+    df = _raw(t, "region").select(
+        (k + 1).alias("tier_id"),
+        F.when(k == 0, "Free").when(k == 1, "Plus").when(k == 2, "Enterprise")
+         .otherwise(F.concat(F.lit("Regional "), F.col("r_name"))).alias("tier_name"),
+        F.when(k == 0, 0).when(k == 1, 20).when(k == 2, 100).otherwise(k * 50).alias("cost"),
+        F.when(k == 0, 3).when(k == 1, 6).when(k == 2, 99999).otherwise(k * 10).alias("message_limit"),
+        F.when(k == 0, "N").otherwise("Y").alias("pro_access"))
+    return _typed(df, "tier")
 
 
 def _customer_nation(t: Tables) -> DataFrame:
@@ -137,7 +175,7 @@ def _invoice(t: Tables) -> DataFrame:
 def _persona(t: Tables) -> DataFrame:
     n = _raw(t, "nation")
     df = n.select(
-        F.col("n_nationkey").alias("persona_id"), F.col("n_nationkey").alias("owner_user_id"),
+        F.col("n_nationkey").alias("persona_id"), F.col("n_regionkey").alias("owner_user_id"),
         F.col("n_name").alias("name"), F.concat(F.lit("you are "), F.lower("n_name")).alias("instructions"),
         minutes_after(epoch(), F.col("n_nationkey")).alias("created_at"))
     return _typed(df, "persona")
@@ -146,12 +184,15 @@ def _persona(t: Tables) -> DataFrame:
 def _conversation(t: Tables) -> DataFrame:
     ids = _raw(t, "conversations").select("conv_id").distinct()
     cid = F.col("conv_id")
+    talkers, regions, nations = talkers_span(t), regions_span(t), nations_span(t)
+    day = F.floor((cid % talkers) / 10) + F.floor(F.floor(cid / talkers) / 2)
     base = ids.select(
-        cid.alias("conversation_id"), (cid % 37).alias("user_id"),
-        F.when(cid % 6 == 5, F.lit(None)).otherwise(cid % 6).alias("workspace_id"),
-        F.when(cid % 4 == 3, F.lit(None)).otherwise(cid % 10).alias("persona_id"),
+        cid.alias("conversation_id"), (cid % talkers).alias("user_id"),
+        F.when(cid % (regions + 1) != regions, cid % (regions + 1)).alias("workspace_id"),
+        # squares: some personas have many conversations, some none
+        F.when(cid % 4 != 3, (cid % nations) * (cid % nations) % nations).alias("persona_id"),
         F.concat(F.lit("conversation "), cid.cast("string")).alias("title"),
-        minutes_after(epoch(), (F.floor(cid / 37) % 2) * 1440 + cid % 600).alias("start_time"),
+        minutes_after(epoch(), day * 1440 + cid % 600).alias("start_time"),
         F.when(cid % 3 == 0, "ARCHIVED").otherwise("ACTIVE").alias("status"))
     p = t.persona.select("persona_id", F.col("name").alias("p_name"), F.col("instructions").alias("p_instr"))
     # persona is a dimension of bounded size (one row per nation here); the planner broadcasts it by its stats
@@ -170,7 +211,7 @@ def _message_raw(t: Tables) -> DataFrame:
     role = (F.when(F.col("role") == "user", "USER").when(F.col("role") == "assistant", "AI")
             .otherwise(F.upper("role")))
     return m.join(c, "conv_id").select(
-        (F.col("conv_id") * 8 + F.col("turn")).alias("message_id"), F.col("conv_id").alias("conversation_id"),
+        (F.col("conv_id") * turns_span(t) + F.col("turn")).alias("message_id"), F.col("conv_id").alias("conversation_id"),
         role.alias("sender_role"), minutes_after(F.col("start_time"), F.col("turn")).alias("time_sent"),
         F.col("text").alias("content"))
 
@@ -192,7 +233,7 @@ def _message_feedback(t: Tables) -> DataFrame:
 
 def _message_bookmark(t: Tables) -> DataFrame:
     e = _raw(t, "events").where(F.col("event_type") == "click")
-    df = (e.groupBy("user_id", (F.col("event_id") % 160).alias("message_id"))
+    df = (e.groupBy("user_id", (F.col("event_id") % messages_span(t)).alias("message_id"))
           .agg(F.min(F.col("ts").cast("timestamp_ntz")).alias("bookmarked_time")))
     return _typed(df, "message_bookmark")
 
@@ -219,7 +260,7 @@ def _workspace_member(t: Tables) -> DataFrame:
 def _prompt_template(t: Tables) -> DataFrame:
     p = _raw(t, "part")
     df = p.select(
-        F.col("p_partkey").alias("template_id"), (F.col("p_partkey") % 37).alias("owner_user_id"),
+        F.col("p_partkey").alias("template_id"), (F.col("p_partkey") % users_span(t)).alias("owner_user_id"),
         F.col("p_name").alias("name"), F.col("p_brand").alias("text"), F.col("p_type").alias("category"),
         F.when(F.col("p_size") % 2 == 0, "SHARED").otherwise("PRIVATE").alias("visibility"),
         minutes_after(epoch(), F.col("p_partkey") % 40000).alias("created_at"))
@@ -229,7 +270,7 @@ def _prompt_template(t: Tables) -> DataFrame:
 def _workspace_prompt_template(t: Tables) -> DataFrame:
     p = _raw(t, "part").where(F.col("p_partkey") % 3 == 0)
     df = p.select(
-        (F.col("p_partkey") % 5).alias("workspace_id"), F.col("p_partkey").alias("template_id"),
+        (F.col("p_partkey") % regions_span(t)).alias("workspace_id"), F.col("p_partkey").alias("template_id"),
         minutes_after(epoch(), F.col("p_partkey") % 40000).alias("shared_at"))
     return _typed(df, "workspace_prompt_template")
 
@@ -256,7 +297,7 @@ def _support_ticket(t: Tables) -> DataFrame:
               .otherwise("Escalated"))
     df = e.select(
         eid.alias("ticket_id"), (F.col("user_id") * 10 + eid % 10).alias("user_id"),
-        F.when(eid % 4 == 0, F.lit(None)).otherwise(eid % 10).alias("agent_id"), topic.alias("topic_name"),
+        F.when(eid % 4 != 0, eid % agents_span(t)).alias("agent_id"), topic.alias("topic_name"),
         ts.alias("opened_time"),
         F.when(eid % 4 >= 2, minutes_after(ts, F.floor(F.col("value") * 10))).alias("closed_time"),
         status.alias("status"))
@@ -304,8 +345,7 @@ def load(spark: SparkSession, platform_dir: str, raw_dir: str | None = None) ->
     additionally exposes the raw tables (``raw_<name>``) from which request tables are derived."""
     builders = {name: (lambda n: (lambda tt: spark.read.schema(SCHEMAS[n]).parquet(os.path.join(platform_dir, n))))(name)
                 for name in TABLES}
-    if os.path.exists(os.path.join(platform_dir, "message_raw")):
-        builders["message_raw"] = lambda tt: spark.read.parquet(os.path.join(platform_dir, "message_raw"))
+    builders["message_raw"] = lambda tt: spark.read.parquet(os.path.join(platform_dir, "message_raw"))
     t = Tables(spark, builders)
     if raw_dir:
         t._sf_dir = raw_dir  # type: ignore[attr-defined]

@@ -78,12 +78,11 @@ def materialize(t, out_dir: str) -> dict[str, str]:
 
     Each table is range-partitioned and sorted on its primary key before writing, so files hold disjoint key
     ranges and parquet min/max statistics let point and range filters on the key skip files and row groups.
-    ``message_raw`` (the feed before the role filter, read by the enum audit) is stored when present.
+    ``message_raw`` (the feed before the role filter, read by the enum audit) belongs to every stored copy.
     """
     frames = {}
     for name in TABLES:
         pk = list(PRIMARY_KEYS[name])
         frames[name] = t[name].repartitionByRange(*pk).sortWithinPartitions(*pk)
-    if "message_raw" in t.names():
-        frames["message_raw"] = t.message_raw.repartitionByRange("message_id").sortWithinPartitions("message_id")
+    frames["message_raw"] = t.message_raw.repartitionByRange("message_id").sortWithinPartitions("message_id")
     return write_tables(frames, out_dir)

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convops import functions as cf
+from convops.plans.rules import owner_days
 from convops.sources.binding import Tables
 
 REQUEST_SCHEMA = T.StructType([
@@ -68,18 +69,28 @@ def _decide_group(lateness_ms: int):
                 state.remove()
             return
         accepted = state.get[0] if state.exists else None
-        top = None  # running top-k rows of this micro-batch in (req_ts, req_id) order
+        top = None  # running top-k rows with text of this micro-batch in (req_ts, req_id) order
         k = None
+        blank: list[pd.DataFrame] = []  # rows without text: refused, but only after the limit was tested
         for chunk in chunks:
             if accepted is None:
                 accepted = int(chunk["prior_n"].iloc[0]) if pd.notna(chunk["prior_n"].iloc[0]) else 0
             if k is None:
                 k = max(0, int(chunk["message_limit"].iloc[0]) - accepted)
+            blank.append(chunk.loc[~chunk["written"], [*cols, "req_ts"]])
+            chunk = chunk[chunk["written"]]
             pool = chunk if top is None else pd.concat([top, chunk], ignore_index=True)
             pool = pool.sort_values(["req_ts", "req_id"], kind="mergesort")
             top, spill = pool.iloc[:k], pool.iloc[k:]
             if len(spill):
                 yield spill[cols].assign(status="rejected", reason="rate_limit")
+        if blank and sum(map(len, blank)):
+            rows = pd.concat(blank, ignore_index=True)
+            full = pd.Series(k == 0, index=rows.index)
+            if k and len(top) == k:  # the limit is reached with the k-th row
+                ts, rid = top["req_ts"].iloc[-1], top["req_id"].iloc[-1]
+                full = (rows["req_ts"] > ts) | ((rows["req_ts"] == ts) & (rows["req_id"] > rid))
+            yield rows[cols].assign(status="rejected", reason=full.map({True: "rate_limit", False: "null"}))
         if top is not None and len(top):
             yield top[cols].assign(status="accepted", reason=None)
             accepted += len(top)
@@ -100,11 +111,9 @@ def admit_stream(t: Tables, requests: DataFrame, prior: DataFrame | None = None,
     # static sides of the stream-static joins: derived once and kept (memory, spilling to disk) instead of being
     # re-derived by every micro-batch; lost blocks are recomputed from lineage
     lookup = conv.join(lim, "owner_id", "left").persist(StorageLevel.MEMORY_AND_DISK)
-    prior_counts = (prior.where(F.col("sender_role") == "USER").select("conversation_id", "time_sent")
-                    .join(conv, "conversation_id")
-                    .groupBy("owner_id", F.to_date("time_sent").alias("day")).agg(F.count(F.lit(1)).alias("prior_n"))
-                    .persist(StorageLevel.MEMORY_AND_DISK))
-    d = (requests.withColumn("sender_role", cf.role_from_code(F.col("role_code")))
+    prior_counts = owner_days(prior, conv).withColumnRenamed("n", "prior_n").persist(StorageLevel.MEMORY_AND_DISK)
+    d = (requests.withColumn("written", cf.blank_to_null(F.col("content")).isNotNull())
+                 .withColumn("sender_role", cf.role_from_code(F.col("role_code")))
                  .withColumn("day", F.to_date("req_ts"))
                  .withColumn("event_time", F.col("req_ts").cast("timestamp"))
                  .withWatermark("event_time", lateness)
@@ -112,11 +121,11 @@ def admit_stream(t: Tables, requests: DataFrame, prior: DataFrame | None = None,
     limited = F.col("owner_id").isNotNull() & (F.col("sender_role") == "USER") & F.col("message_limit").isNotNull()
     free = d.where(~limited).select(
         "req_id", "conversation_id", "sender_role",
-        F.when(F.col("owner_id").isNull(), "rejected").otherwise("accepted").alias("status"),
-        F.when(F.col("owner_id").isNull(), "no_conversation").alias("reason"))
+        F.when(F.col("owner_id").isNull() | ~F.col("written"), "rejected").otherwise("accepted").alias("status"),
+        F.when(F.col("owner_id").isNull(), "no_conversation").when(~F.col("written"), "null").alias("reason"))
     stateful = (d.where(limited).join(prior_counts, ["owner_id", "day"], "left")
                  .select("owner_id", "day", "req_id", "req_ts", "conversation_id", "sender_role", "message_limit",
-                         "prior_n", "event_time")
+                         "prior_n", "written", "event_time")
                  .groupBy("owner_id", "day")
                  .applyInPandasWithState(_decide_group(lateness_ms), OUTPUT_SCHEMA, STATE_SCHEMA,
                                          "append", GroupStateTimeout.EventTimeTimeout))

@@ -100,7 +100,7 @@ def test_stream_reports_late_rows(spark, t01):
     req = Q.admit_messages(t)
     prior = t.message.join(req.select(F.col("req_id").alias("message_id")), "message_id", "left_anti")
     root = os.path.join(checkpoint_dir(spark), f"stream-late-{uuid.uuid4().hex[:8]}")
-    user_rows = req.where("role_code = 1")
+    user_rows = req.where("role_code = 1 AND conversation_id >= 0")
     first_day = user_rows.agg(F.min(F.to_date("req_ts"))).first()[0]
     early = user_rows.where(F.to_date("req_ts") == F.lit(first_day))
     rest = req.join(early.select("req_id"), "req_id", "left_anti")

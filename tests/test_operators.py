@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from convops.operators.dedup import last_per_key, mark_first
 from convops.operators.ids import assign_ids
 from convops.operators.ranking import running_rank
-from convops.operators.sizing import broadcast_if_small, fits
 from tests.conftest import rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -76,12 +75,6 @@ def test_assign_ids_dense_in_order(spark):
     assert rows(got, "req_id", "new_id") == rows(brute, "req_id", "new_id")
 
 
-def test_broadcast_only_when_bounded(spark):
-    small = spark.range(10)
-    assert fits(small, 10) and not fits(small, 9)
-    assert broadcast_if_small(spark.range(100), 50) is not None
-
-
 def test_mark_first_ignores_session_time_zone(spark):
     # wall-clock (timestamp_ntz) order must not depend on the session zone, not even across a DST fall-back hour
     before = spark.conf.get("spark.sql.session.timeZone")
