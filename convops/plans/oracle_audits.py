@@ -1,13 +1,55 @@
-"""DuckDB oracle SQL for the audits. The repetitive per-table rules are spelled out from the same fixed metadata
-(keys, enums, lengths, FKs), but with different SQL formulations than the Spark side (NOT EXISTS instead of anti
-joins, COUNT(DISTINCT) instead of min/max for FDs, one UNION ALL branch per column)."""
+"""DuckDB SQL for the audits. The rules are stated here again, as text of their own, and checked by other
+formulations than on the Spark side (NOT EXISTS instead of anti joins, COUNT(DISTINCT) for FDs, one branch per
+column)."""
 
 from __future__ import annotations
 
+import re
+
 from convops.oracle import with_binding
-from convops.plans.audits import FDS
-from convops.sources.schemas import (ENUMS, FOREIGN_KEYS, LENGTHS, PRIMARY_KEYS, TABLES, UNIQUE_KEYS,
-                                     not_null_columns, text_columns)
+from convops.plans.oracle_rules import COLUMNS
+
+# --- fixed values: keys, NOT NULL columns, value sets, lengths, references and dependencies of the platform tables
+KEYS = {"tier": "tier_id", "support_agent": "agent_id", "llm_user": "user_id", "billing_record": "user_id",
+        "invoice": "invoice_id", "workspace": "workspace_id", "workspace_member": "workspace_id user_id",
+        "persona": "persona_id", "conversation": "conversation_id", "message": "message_id",
+        "message_feedback": "feedback_id", "message_bookmark": "user_id message_id", "prompt_template": "template_id",
+        "workspace_prompt_template": "workspace_id template_id", "support_ticket": "ticket_id"}
+UNIQUE = [("tier", "tier_name"), ("support_agent", "email"), ("llm_user", "email"), ("persona", "owner_user_id name"),
+          ("message_feedback", "message_id")]
+NULLABLE = {"conversation": "workspace_id persona_id persona_name_snapshot persona_instr_snapshot",
+            "message_feedback": "comment_text", "support_ticket": "agent_id closed_time"}
+TEXTS = {"tier": "tier_name pro_access", "support_agent": "name email specialty", "llm_user": "name email language",
+         "billing_record": "payment_method billing_address", "invoice": "payment_status", "workspace": "name visibility",
+         "workspace_member": "role", "persona": "name instructions", "conversation": "title status",
+         "message": "sender_role content", "message_feedback": "rating", "prompt_template": "name text category visibility",
+         "support_ticket": "topic_name status"}
+VALUES = [("tier", "pro_access", "Y|N"), ("invoice", "payment_status", "Paid|Unpaid|Overdue"),
+          ("workspace", "visibility", "PRIVATE|SHARED"), ("workspace_member", "role", "OWNER|MEMBER"),
+          ("conversation", "status", "ACTIVE|ARCHIVED"), ("message", "sender_role", "USER|AI"),
+          ("message_feedback", "rating", "Thumbs Up|Thumbs Down"), ("prompt_template", "visibility", "PRIVATE|SHARED"),
+          ("support_ticket", "topic_name", "Billing|Model Error|Account|Feature Request|Other"),
+          ("support_ticket", "status", "Open|In Progress|Resolved|Escalated")]
+LIMITS = [("tier", "tier_name 50 pro_access 1"), ("support_agent", "name 100 email 150 specialty 100"),
+          ("llm_user", "name 100 email 150 language 50"), ("billing_record", "payment_method 50 billing_address 300"),
+          ("invoice", "payment_status 20"), ("workspace", "name 150 visibility 20"), ("workspace_member", "role 20"),
+          ("persona", "name 150"), ("conversation", "title 300 status 20 persona_name_snapshot 150"),
+          ("message", "sender_role 10"), ("message_feedback", "rating 20"),
+          ("prompt_template", "name 150 category 100 visibility 20"), ("support_ticket", "topic_name 50 status 20")]
+REFERENCES = [("llm_user", "tier_id", "tier", "tier_id"), ("billing_record", "user_id", "llm_user", "user_id"),
+              ("invoice", "user_id", "llm_user", "user_id"), ("invoice", "tier_id", "tier", "tier_id"),
+              ("workspace", "owner_id", "llm_user", "user_id"),
+              ("workspace_member", "workspace_id", "workspace", "workspace_id"),
+              ("workspace_member", "user_id", "llm_user", "user_id"), ("persona", "owner_user_id", "llm_user", "user_id"),
+              ("conversation", "user_id", "llm_user", "user_id"), ("conversation", "workspace_id", "workspace", "workspace_id"),
+              ("conversation", "persona_id", "persona", "persona_id"),
+              ("message", "conversation_id", "conversation", "conversation_id"),
+              ("message_feedback", "message_id", "message", "message_id"),
+              ("message_bookmark", "user_id", "llm_user", "user_id"), ("message_bookmark", "message_id", "message", "message_id"),
+              ("prompt_template", "owner_user_id", "llm_user", "user_id"),
+              ("workspace_prompt_template", "workspace_id", "workspace", "workspace_id"),
+              ("workspace_prompt_template", "template_id", "prompt_template", "template_id"),
+              ("support_ticket", "user_id", "llm_user", "user_id"), ("support_ticket", "agent_id", "support_agent", "agent_id")]
 
 
 def _key(cols, alias=None) -> str:
@@ -21,19 +63,19 @@ def _sel(rule, table, key, detail) -> str:
 
 def _pk() -> str:
     parts = []
-    for t in TABLES:
-        pk = PRIMARY_KEYS[t]
+    for t, key in KEYS.items():
+        pk = key.split()
         nulls = " or ".join(f"{c} is null" for c in pk)
-        cols = ", ".join(pk)
         parts.append(_sel("primary_key", t, _key(pk),
                           f"case when {nulls} then 'null key' else 'duplicate x' || cast(count(*) as varchar) end")
-                     + f" from {t} group by {cols} having count(*) > 1 or {nulls}")
+                     + f" from {t} group by {', '.join(pk)} having count(*) > 1 or {nulls}")
     return "\nunion all\n".join(parts)
 
 
 def _uk() -> str:
     parts = []
-    for t, cols in UNIQUE_KEYS:
+    for t, key in UNIQUE:
+        cols = key.split()
         where = " and ".join(f"{c} is not null" for c in cols)
         parts.append(_sel("unique_key", t, _key(cols), f"'{','.join(cols)} duplicate x' || cast(count(*) as varchar)")
                      + f" from {t} where {where} group by {', '.join(cols)} having count(*) > 1")
@@ -42,47 +84,45 @@ def _uk() -> str:
 
 def _nn() -> str:
     parts = []
-    for t in TABLES:
-        texts = text_columns(t)
-        for c in not_null_columns(t):
-            cond = f"{c} is null" + (f" or trim({c}) = ''" if c in texts else "")
-            parts.append(_sel("not_null", t, _key(PRIMARY_KEYS[t]), f"'{c}'") + f" from {t} where {cond}")
+    for t, cols in COLUMNS.items():
+        for c in cols:
+            if c not in NULLABLE.get(t, "").split():
+                cond = f"{c} is null" + (f" or trim({c}) = ''" if c in TEXTS.get(t, "").split() else "")
+                parts.append(_sel("not_null", t, _key(KEYS[t].split()), f"'{c}'") + f" from {t} where {cond}")
     return "\nunion all\n".join(parts)
 
 
 def _enum() -> str:
     parts = []
-    for t, c, allowed in ENUMS:
-        src = "message_raw" if t == "message" else t
-        vals = ", ".join(f"'{v}'" for v in allowed)
-        parts.append(_sel("enum", t, _key(PRIMARY_KEYS[t]), f"'{c}=' || {c}")
-                     + f" from {src} where {c} is not null and {c} not in ({vals})")
+    for t, c, allowed in VALUES:
+        parts.append(_sel("enum", t, _key(KEYS[t].split()), f"'{c}=' || {c}")
+                     + f" from {'message_raw' if t == 'message' else t} where {c} not in (select unnest(string_split('{allowed}', '|')))")
     return "\nunion all\n".join(parts)
 
 
 def _fk() -> str:
-    parts = []
-    for fk in FOREIGN_KEYS:
-        present = " and ".join(f"c.{x} is not null" for x in fk.columns)
-        match = " and ".join(f"p.{pc} = c.{cc}" for cc, pc in zip(fk.columns, fk.parent_columns))
-        parts.append(_sel("foreign_key", fk.child, _key(PRIMARY_KEYS[fk.child], "c"),
-                          f"'{','.join(fk.columns)} -> {fk.parent}'")
-                     + f" from {fk.child} c where {present} and not exists (select 1 from {fk.parent} p where {match})")
-    return "\nunion all\n".join(parts)
+    return "\nunion all\n".join(
+        _sel("foreign_key", t, _key(KEYS[t].split(), "c"), f"'{c} -> {parent}'")
+        + f" from {t} c where c.{c} is not null and not exists (select 1 from {parent} p where p.{key} = c.{c})"
+        for t, c, parent, key in REFERENCES)
 
 
 def _len() -> str:
     parts = []
-    for t, c, n in LENGTHS:
-        parts.append(_sel("length", t, _key(PRIMARY_KEYS[t]),
-                          f"'{c} length ' || cast(length({c}) as varchar) || ' > {n}'")
-                     + f" from {t} where length({c}) > {n}")
+    for t, limits in LIMITS:
+        words = limits.split()
+        for c, n in zip(words[::2], words[1::2]):
+            parts.append(_sel("length", t, _key(KEYS[t].split()), f"'{c} length ' || cast(length({c}) as varchar) || ' > {n}'")
+                         + f" from {t} where length({c}) > {n}")
     return "\nunion all\n".join(parts)
 
 
 def _fd() -> str:
+    """A primary or unique key determines all other columns of its table."""
     parts = []
-    for t, lhs, rhs in FDS:
+    for t, key in [*((t, k) for t, k in KEYS.items()), *UNIQUE]:
+        lhs = key.split()
+        rhs = [c for c in COLUMNS[t] if c not in lhs]
         parts.append(_sel("fd", t, _key(lhs), f"'{','.join(lhs)} -> {','.join(rhs)}'")
                      + f" from {t} group by {', '.join(lhs)} having count(distinct row({', '.join(rhs)})) > 1")
     return "\nunion all\n".join(parts)
@@ -133,7 +173,39 @@ AUDITS_SQL: dict[str, str] = {
 }
 
 
+# The audited tables with some rows damaged, or added, in every way that the bound tables never are.
+DAMAGED: dict[str, str] = {
+    "llm_user": """select * from {0} union all by name select * replace (name || ' II' as name) from {0} where user_id % 50 = 7
+        union all by name select * replace (-1 - user_id as user_id, repeat('n', 101) as name, ' ' as language)
+        from {0} where user_id % 60 = 9""",
+    "workspace": """select * from {0} union all by name
+        select * replace (-1 - workspace_id as workspace_id, repeat('w', 151) as name) from {0}""",
+    "persona": "select * from {0} union all by name select * replace (persona_id + 1000 as persona_id) from {0} where persona_id % 6 = 1",
+    "support_ticket": """select * from {0} union all by name
+        select * replace (-1 - ticket_id as ticket_id, if(closed_time is null, opened_time, null) as closed_time)
+        from {0} where ticket_id % 9 = 4""",
+    "message_feedback": """select * from {0} union all by name
+        select -1 - message_id as feedback_id, message_id, 'Thumbs Up' as rating, null as comment_text, time_sent as submitted_at
+        from message where sender_role = 'USER' and message_id % 3 = 1""",
+    "invoice": "select * from {0} union all by name select * replace (null as amount) from {0} where invoice_id % 500 = 3",
+}
+
+
+def _damaged(body: str) -> str:
+    """``body`` over the damaged tables, which carry names of their own."""
+    ctes = [(f"whole_{t}", f"select * from {t}") for t in DAMAGED]
+    ctes += [(f"bad_{t}", sql.format(f"whole_{t}")) for t, sql in DAMAGED.items()]
+    for t in DAMAGED:
+        body = re.sub(rf"(from|join) {t}\b", rf"\1 bad_{t}", body)
+    return with_binding(body, ctes)
+
+
 def audits_sql() -> dict[str, str]:
     out = {k: with_binding(v) for k, v in AUDITS_SQL.items()}
     out["audit_all"] = with_binding("\nunion all\n".join(f"select * from ({v})" for v in AUDITS_SQL.values()))
+    out |= {f"{k}__damaged": _damaged(AUDITS_SQL[k]) for k in DAMAGED_AUDITS}
     return out
+
+
+DAMAGED_AUDITS = ["audit_primary_keys", "audit_unique_keys", "audit_not_null", "audit_ticket_closed", "audit_lengths",
+                  "audit_feedback_role", "audit_workspace_owner", "audit_fds", "audit_foreign_keys"]

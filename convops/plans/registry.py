@@ -15,7 +15,7 @@ from convops.plans import requests as Q
 from convops.plans import rules as J
 from convops.plans.oracle_rules import rules_sql
 from convops.plans.oracle_versions import VERSION_KEYS
-from convops.plans.oracle_audits import audits_sql
+from convops.plans.oracle_audits import DAMAGED_AUDITS, audits_sql
 from convops.plans.oracle_reports import reports_sql
 from convops.sources.binding import bind
 
@@ -56,9 +56,40 @@ def report_queries() -> dict[str, Query]:
 def audit_queries() -> dict[str, Query]:
     out = {name: _on_bound(fn) for name, fn in A.AUDITS.items()}
     out["audit_all"] = _on_bound(A.audit_all)
+    out |= {f"{name}__damaged": _on_damaged(A.AUDITS[name]) for name in DAMAGED_AUDITS}
     return out
 
 
+def damaged(t):
+    """The bound tables with rows added that break rules which the bound tables keep."""
+    def more(table: str, where: str, /, **changes) -> DataFrame:
+        rows = t[table].where(where)
+        return rows.withColumns({c: e.cast(rows.schema[c].dataType) for c, e in changes.items()})
+    c = F.col
+    spoken = t.message.where("sender_role = 'USER' AND message_id % 3 = 1").select(
+        (-c("message_id") - 1).alias("feedback_id"), "message_id", F.lit("Thumbs Up").alias("rating"),
+        F.lit(None).cast("string").alias("comment_text"), c("time_sent").alias("submitted_at"))
+    return t.replace(
+        llm_user=t.llm_user.unionByName(more("llm_user", "user_id % 50 = 7", name=F.concat(c("name"), F.lit(" II"))))
+        .unionByName(more("llm_user", "user_id % 60 = 9", user_id=-c("user_id") - 1, name=F.repeat(F.lit("n"), 101),
+                          language=F.lit(" "))),
+        workspace=t.workspace.unionByName(more("workspace", "true", workspace_id=-c("workspace_id") - 1,
+                                               name=F.repeat(F.lit("w"), 151))),
+        persona=t.persona.unionByName(more("persona", "persona_id % 6 = 1", persona_id=c("persona_id") + 1000)),
+        support_ticket=t.support_ticket.unionByName(more(
+            "support_ticket", "ticket_id % 9 = 4", ticket_id=-c("ticket_id") - 1,
+            closed_time=F.when(c("closed_time").isNull(), c("opened_time")))),
+        message_feedback=t.message_feedback.unionByName(spoken),
+        invoice=t.invoice.unionByName(more("invoice", "invoice_id % 500 = 3", amount=F.lit(None))))
+
+
+def _on_damaged(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(damaged(bind(spark, sf_dir)))
+    run.__name__ = fn.__name__
+    return run
+
+
 RULE_JOBS = ["generate_invoices", "mark_paid", "start_conversations", "upsert_feedback", "archive_conversations",
              "move_conversations", "add_users", "update_users", "delete_users", "create_workspaces",
              "modify_workspaces", "add_members", "create_personas", "update_personas", "delete_personas",

@@ -56,7 +56,11 @@ class Tables:
         return getattr(self, name)
 
     def replace(self, **new_versions: DataFrame) -> "Tables":
-        """A new Tables object where the given tables are swapped for new versions (e.g. a rule job's output)."""
+        """A new Tables object where the given tables are swapped for new versions (e.g. a rule job's output); the
+        others stay as they are, also those that are derived from a swapped one."""
+        for name in TABLES:
+            if name in self._builders:
+                self[name]
         builders = dict(self._builders)
         cache = dict(self._cache)
         for name, df in new_versions.items():
