@@ -250,3 +250,51 @@ def test_optional_id_that_is_not_a_number_is_none(spark):
     from convops import functions as cf
     df = spark.createDataFrame([(" 12 ",), ("x",), ("",), (None,)], "v string")
     assert [r[0] for r in df.select(cf.opt_long(F.col("v"))).collect()] == [12, None, None, None]
+
+
+def test_messages_without_text_are_refused_after_the_limit_and_use_none_of_it(spark):
+    tiers = [(1, "Free", D(0), 2, "N")] + SEED_ROWS["tier"][1:]
+    t = _with(spark, tier=tiers)
+    day = dt.datetime(2024, 7, 25, 15, 0)
+    texts = [" a ", "  ", None, "b", "", "c"]
+    req = _req(spark, "req_id long, req_ts timestamp_ntz, conversation_id long, role_code long, content string",
+               [(i, day + dt.timedelta(minutes=i), 2, 1, x) for i, x in enumerate(texts)] + [(9, day, 2, 2, " ")])
+    res = J.admit_messages(t, req)
+    assert rows(res.decisions, "req_id", "reason") == [(0, None), (1, "null"), (2, "null"), (3, None), (4, "rate_limit"),
+                                                       (5, "rate_limit"), (9, "null")]
+    new = res.tables["message"].where("message_id > 6")
+    assert [r[0] for r in rows(new, "content")] == ["a", "b"]
+
+
+def test_optional_ids_that_are_not_numbers_mean_none(spark, seed):
+    req = _req(spark, "req_id long, req_ts timestamp_ntz, user_id long, title string, persona_id string, workspace_id string",
+               [(1, T0, 3, "  Talk ", " 1 ", "none"), (2, T0, 3, "x", "", None), (3, T0, 3, "t" * 301, "1", "1")])
+    res = J.start_conversations(seed, req)
+    assert rows(res.decisions, "req_id", "reason", "persona_id", "workspace_id") == [
+        (1, None, 1, None), (2, None, None, None), (3, "too_long", None, None)]
+    assert ("Talk",) in rows(res.tables["conversation"], "title")
+
+
+def test_stored_values_are_trimmed_and_overlong_ones_refused(spark, seed):
+    req = _req(spark, "req_id long, req_ts timestamp_ntz, owner_id long, name string, visibility_code long",
+               [(1, T0, 3, "  my ws ", 1), (2, T0, 3, "w" * 151, 1), (3, T0, 3, "w" * 150, 1)])
+    res = J.create_workspaces(seed, req)
+    assert rows(res.decisions, "req_id", "reason") == [(1, None), (2, "too_long"), (3, None)]
+    assert ("my ws",) in rows(res.tables["workspace"], "name")
+
+
+def test_an_email_freed_earlier_in_the_batch_can_be_taken(spark, seed):
+    req = _req(spark, "req_id long, req_ts timestamp_ntz, user_id long, field long, value string",
+               [(1, T0, 1, 3, "free@example.com"), (2, T0, 2, 3, " carol@example.com "), (3, T0, 1, 3, "carol@example.com"),
+                (4, T0, 3, 3, "dave@example.com"), (5, T0, 3, 3, "free@example.com")])
+    res = J.update_users(seed, req)
+    assert rows(res.decisions, "req_id", "reason") == [(1, None), (2, None), (3, "duplicate_email"), (4, None),
+                                                       (5, "duplicate_email")]
+    assert rows(res.tables["llm_user"], "user_id", "email") == [
+        (1, "free@example.com"), (2, "carol@example.com"), (3, "dave@example.com")]
+
+
+def test_every_tier_is_listed_with_or_without_customers(spark):
+    from convops.sources.binding import bind
+    from tests.conftest import SF001
+    assert R.list_tiers(bind(spark, SF001)).count() == spark.read.parquet(f"{SF001}/region.parquet").count()

@@ -53,3 +53,15 @@ def test_stored_tables_answer_like_views(spark):
         assert rows(R.unpaid_invoices(bind(spark, SF001))) == rows(R.unpaid_invoices(t))
     finally:
         _MATERIALIZED.pop(key, None)
+
+
+def test_a_stored_copy_gives_the_same_findings_by_path_and_by_uri(spark, tmp_path):
+    from convops.plans.audits import audit_enums
+    from convops.sources.binding import bind, load
+    from convops.sources.store import materialize
+    from tests.conftest import SF001
+    folder = str(tmp_path / "platform")
+    t = bind(spark, SF001)
+    materialize(t, folder)
+    want = rows(audit_enums(t))
+    assert want and rows(audit_enums(load(spark, folder))) == rows(audit_enums(load(spark, f"file://{folder}"))) == want
