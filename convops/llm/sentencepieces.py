@@ -182,8 +182,9 @@ class Codec:
         self.ids = {self.pieces[i]: i for i in plain}
         self.model = Bpe({self.pieces[i]: sp.get_score(i) for i in plain})
         self.known: dict[str, bytes] = {}
-        self.spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if sp.is_control(i)
-                        else " \u2047 ".encode() if i == self.unknown else self.pieces[i].encode() for i in range(n)]
+        self.spelled = np.array([bytes([self.byte_of[i]]) if i in self.byte_of else b"" if sp.is_control(i)
+                                 else " \u2047 ".encode() if i == self.unknown else self.pieces[i].encode()
+                                 for i in range(n)], object)
 
     def piece_ids(self, piece: str) -> list[int]:
         i = self.ids.get(piece)
@@ -193,23 +194,30 @@ class Codec:
             return [self.unknown]
         return [self.bytes[b] for b in piece.encode("utf-8", "replace")]
 
+    def words(self, text: str) -> list[str]:
+        """The text's marked words, a lone leading mark left away."""
+        if MARK not in text and "  " not in text and not text.startswith(" "):
+            return text.split(" ") if text else []
+        marked = _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+        return [w if MARK in w[1:] else w[1:] for w in marked]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [self.words(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = sorted(set().union(*split) - self.known.keys())
+        new = sorted(w if MARK in w else MARK + w for w in set().union(*split) - self.known.keys())
         ids = self.ids
         for word, pieces in segment(new, self.model):
             try:
                 found = [ids[p] for p in pieces]
             except KeyError:
                 found = [i for p in pieces for i in self.piece_ids(p)]
-            self.known[word] = array("i", found).tobytes()
+            self.known[word if MARK in word[1:] else word[1:]] = array("i", found).tobytes()
         known = self.known.__getitem__
         return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in split]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(self.spelled[ids].tolist()).decode("utf-8", "replace")
         return (text[1:] if text.startswith(MARK) else text).replace(MARK, " ")
 
 
@@ -237,11 +245,14 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
 def decoded(rows: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids, text of every row of ``rows`` (doc_id, ids)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
         codec = Codec(model_path)
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)
-                texts = [codec.decode(i) for i in part.column(1).to_pylist()]
+                ids = part.column(1)
+                at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+                texts = [codec.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  ["doc_id", "ids", "text"])
     return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")
