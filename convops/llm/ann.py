@@ -165,7 +165,10 @@ def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, rec
         return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
 
     def hashed(frame: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-        some = frame.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(n).collect()
+        """n vectors of different ids, in the order of a hash of the ids; only they reach the driver."""
+        ids = frame.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
+        some = sorted(frame.join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.max("vector").alias("vector"))
+                      .collect(), key=lambda r: r["vec_id"])
         return np.array([r["vec_id"] for r in some], np.int64), matrix([bytes(r["vector"]) for r in some])
     is_query = F.pmod("vec_id", F.lit(query_step)) == 0
     index = Index(*hashed(table, SAMPLE), facts["rows"], facts["norm"])

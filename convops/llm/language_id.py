@@ -48,11 +48,12 @@ def dictionaries(learned: DataFrame) -> dict[str, bytes]:
     """Language -> learned content, most frequent language first, from (doc_id, text, lang)."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = learned.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    some = (known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
+    some = (known.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= SAMPLE_DOCS))
-    # at most SAMPLE_DOCS ids a language
+    # at most SAMPLE_DOCS ids a language; of several texts under one id the greatest is learned
     texts = known.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    sample = texts.join(F.broadcast(some), ["doc_id", "lang"]).select("lang", "rank", "text").collect()
+    sample = (texts.join(F.broadcast(some), ["doc_id", "lang"]).groupBy("lang", "rank")
+              .agg(F.max("text").alias("text")).collect())
     size = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     return content_of([(r["lang"], r["text"]) for r in sorted(sample, key=lambda r: (r["rank"], r["text"]))], size)
 

@@ -193,16 +193,18 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
     """Vocabulary and averaged weights from all of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     top = CLASSES * PER_CLASS - BUCKETS
-    frequent = word_counts(docs).orderBy(F.desc("n"), "word").limit(top).collect()
+    # the filter makes the last step an exchange to one task; else every task would send its own best to the driver
+    frequent = word_counts(docs).orderBy(F.desc("n"), "word").limit(top).where("n > 0").collect()
     vocabulary = Vocabulary([r["word"] for r in frequent])
     counts = np.zeros(vocabulary.size)
     counts[:len(frequent)] = [r["n"] for r in frequent]
     counts[vocabulary.size - BUCKETS:] = max(1.0, counts.sum() / 4 / BUCKETS)
     network = Network(vocabulary, counts)
-    warm = (docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
-            .select(F.substring("text", 1, WARM_CHARS).alias("text")).toPandas()["text"])
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
+    warm = (docs.select("doc_id", F.substring("text", 1, WARM_CHARS).alias("text"))
+            .join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).collect())
     for _ in range(3):
-        for part in slices(pa.array(list(warm), pa.string())):
+        for part in slices(pa.array([r["text"] for r in sorted(warm, key=lambda r: r["doc_id"])], pa.string())):
             for context, ids in _batches(vocabulary, part):
                 network.train(context, ids)
     network.moments, network.steps = {}, 0

@@ -9,7 +9,7 @@ ids. Scoring reads every row and whole text.
 
 Defined cases: null text scores as empty text, and an empty text has statistics of its own (all zero), so it gets a
 score like any other; labels that are null or belong to no document are not learned from, a document with several
-labels is learned from once per label; without any labels, or with one class only, every score is the share of
+labels is learned from once per label, and of several texts under one id the greatest; without any labels, or with one class only, every score is the share of
 label 1 (0.5 without labels); other columns are ignored.
 """
 
@@ -185,7 +185,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     some = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
             .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows))
     # some: at most sample_rows ids
-    rows = (statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
+    sample = (docs.select("doc_id", "text").join(F.broadcast(some.distinct()), "doc_id")
+              .groupBy("doc_id", "quality").agg(F.max("text").alias("text")))
+    rows = (statistics(sample)
             .select("row.doc_id", F.col("row.quality").cast("double").alias("quality"), *STATISTICS)
             .toPandas().sort_values(["doc_id", "quality", *STATISTICS], kind="stable"))
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["quality"].to_numpy(float), list(STATISTICS))
