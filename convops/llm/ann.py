@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convops.llm.shared import stored
+from convops.llm.shared import broadcast_value, received, stored
 
 K = 20
 QUERY_STEP = 20
@@ -172,10 +172,10 @@ def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, rec
         return np.array([r["vec_id"] for r in some], np.int64), matrix([bytes(r["vector"]) for r in some])
     is_query = F.pmod("vec_id", F.lit(query_step)) == 0
     index = Index(*hashed(table, SAMPLE), facts["rows"], facts["norm"])
-    shared = spark.sparkContext.broadcast(index)
+    shared = broadcast_value(spark, index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = received(shared)
         for batch in batches:
             if batch.num_rows:
                 x = index.lifted(matrix(batch.column(1).to_pylist()))
@@ -208,7 +208,7 @@ def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, rec
         place = np.argsort(index.by_nearness(trial), 1, kind="stable")
         ranks = np.sort([place[r["q"], r["list"]] for r in near]) if near else np.zeros(1, int)
         index.visits = int(ranks[min(len(ranks) - 1, int(recall * len(ranks)))]) + 1
-    shared = spark.sparkContext.broadcast(index)
+    shared = broadcast_value(spark, index)
 
     # cells: at most about CELL_ROWS vectors by CELL_ROWS queries; a hot list has many
     queries = lists.where(is_query)
@@ -218,7 +218,7 @@ def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, rec
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query, with its bound, to the cells of its lists."""
-        index = shared.value
+        index = received(shared)
         for batch in batches:
             ids = np.asarray(batch.column(0))
             if not len(ids):
@@ -244,7 +244,7 @@ def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, rec
              .select("vec_id", "vector", "list", "part", "chunk"))
 
     def search(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        index = shared.value
+        index = received(shared)
         if not len(vectors) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, q = matrix(vectors.vector), matrix(queries.vector)
@@ -264,7 +264,7 @@ def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, rec
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sample's own best, as found."""
-        index = shared.value
+        index = received(shared)
         for batch in batches:
             ids = np.asarray(batch.column(0))
             if len(ids):

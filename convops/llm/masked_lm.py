@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convops.llm.hashing import mix, slices, word_hashes
-from convops.llm.shared import documents
+from convops.llm.shared import broadcast_value, documents, received
 
 CLASSES = 32
 PER_CLASS = 32
@@ -208,10 +208,10 @@ def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
             for context, ids in _batches(vocabulary, part):
                 network.train(context, ids)
     network.moments, network.steps = {}, 0
-    shared = spark.sparkContext.broadcast((vocabulary, network))
+    shared = broadcast_value(spark, (vocabulary, network))
 
     def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, start = shared.value
+        vocabulary, start = received(shared)
         network = Network(vocabulary)
         network.load(start.flat())
         seen = 0
@@ -239,10 +239,10 @@ def _batches(vocabulary: Vocabulary, part: pa.Array) -> Iterator[tuple[np.ndarra
 
 def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
     """doc_id, n_words, log_probability, pseudo_perplexity of every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network))
+    shared = broadcast_value(docs.sparkSession, (vocabulary, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, network = shared.value
+        vocabulary, network = received(shared)
         for batch in batches:
             n, total = [], []
             for part in slices(batch.column(1), 2 << 20):

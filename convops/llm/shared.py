@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,15 @@ def discard(spark: SparkSession, *what: DataFrame | str) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def broadcast_value(spark: SparkSession, value):
+    """A broadcast of any value, classes of this subpackage included; ``received`` reads it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared):
+    return pickle.loads(shared.value)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
