@@ -1,6 +1,6 @@
 """Personal data replaced by keyed surrogates, with DataFrame functions only.
 
-Entities (email, phone, IPv4 address, card number, social security number, secret, titled name) are found by regular
+Entities (email, phone, IPv4 address, card number, social security number, secret, access key, titled name) are found by regular
 expressions. Each distinct entity of the corpus, in a canonical form that joins its spellings, gets a surrogate of
 its own type: a keyed hash chosen character by character in the entity's format (letters for letters, hex for hex,
 digits for digits, valid octets, a check digit where the original has one; names by the title's gender and by
@@ -43,17 +43,21 @@ _NAME = "(?:%s)\\.? \\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)?" % "|".join(sorted(TITL
 _PATTERNS = {
     "secret": "(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key)\\s{0,3}[=:]\\s{0,3}[\"']?"
               "[A-Za-z0-9_/+=.~!@#$%^&*-]{8,}",
+    # keys that show by their own form
+    "key": "(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}"
+           "|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{5,})(?![A-Za-z0-9])",
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+",
     "name": "\\b" + _NAME,
     "ip": "(?<![\\d.])(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)(?!\\d|\\.\\d)",
     "ssn": "(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])",
-    "phone": "\\+\\d{1,3}[ .-]?(?:\\(\\d{1,4}\\)|\\d{1,4})(?:[ .-]?\\d{2,4}){2,4}(?!\\d)"
+    "phone": "\\+1[ .-]?(?:\\(\\d{3}\\)|\\d{3})[ .-]?\\d{3}[ .-]?\\d{4}(?!\\d)"
+             "|\\+(?!1[ (.-])\\d{1,3}[ -]?(?:\\(\\d{1,4}\\)|\\d{1,4})(?:[ -]?\\d{2,4}){2,4}(?![\\d.]\\d|\\d)"
              "|(?<![\\d.])\\(\\d{3}\\) ?\\d{3}[ .-]\\d{4}(?!\\d)|(?<![\\d.-])\\d{3}[.-]\\d{3}[.-]\\d{4}(?![\\d.-]\\d)",
     "card": "(?<![\\d.-])\\d{4}(?:[ -]?\\d{4}){2}[ -]?\\d{1,7}(?!\\d)",
 }
 ENTITY = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: No text without a match has an entity; one pass over a character class and the titles.
-_HINT = "[0-9@]|(?i:passw|pwd|token|secret|[_-]?key)|" + "|".join(sorted(TITLES))
+_HINT = "[0-9@]|(?i:passw|pwd|token|secret|[_-]?key)|AKIA|ASIA|gh[pousr]_|sk-|xox|eyJ|" + "|".join(sorted(TITLES))
 _VALUE = "^(.*?[=:]\\s{0,3}[\"']?)(.*)$"
 
 
@@ -63,7 +67,7 @@ def has_entity(text: Column) -> Column:
 
 def entity_type(mention: Column) -> Column:
     out = F.lit("card")
-    for name in ("phone", "ssn", "ip", "name", "email", "secret"):
+    for name in ("phone", "ssn", "ip", "name", "email", "key", "secret"):
         out = F.when(mention.rlike(f"^(?:{_PATTERNS[name]})$"), F.lit(name)).otherwise(out)
     return out
 
@@ -132,6 +136,7 @@ def candidate(kind: Column, value: Column, attempt: int, key: str) -> Column:
     ip = F.concat_ws(".", first, second, *((_draw(s, F.lit(i), 254) + 1).cast("string") for i in (2, 3)))
     hexed = F.substring(F.concat(s, F.sha2(s, 512), F.sha2(F.sha2(s, 512), 512)), F.lit(1), F.length(value))
     secret = F.when(value.rlike("^[0-9a-f]{8,384}$"), hexed).otherwise(_spelled(value, s))
+    own_key = F.concat(F.substring(value, 1, 4), _spelled(F.substring(value, 5, 1 << 20), s))
     words = F.size(F.split(F.substring_index(value, ":", -1), " "))
 
     def person(group: tuple[str, str]) -> Column:
@@ -142,7 +147,7 @@ def candidate(kind: Column, value: Column, attempt: int, key: str) -> Column:
     name = reduce(lambda rest, g: F.when(value.startswith("/".join(g) + ":"), F.concat(
         F.lit("/".join(g) + ":"), F.lower(person(g)))).otherwise(rest), GIVEN, value)
     return (F.when(kind == "email", email).when(kind.isin("phone", "ssn"), drawn).when(kind == "card", card)
-            .when(kind == "ip", ip).when(kind == "secret", secret).otherwise(name))
+            .when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "key", own_key).otherwise(name))
 
 
 def render(kind: Column, mention: Column, surrogate: Column) -> Column:
