@@ -72,17 +72,17 @@ def flagged(df: DataFrame, keys: DataFrame, on: list[str], flag: str = "maybe")
         return F.pmod(F.xxhash64(*(frame[c] for c in on)), F.lit(FILTER_BITS))
     bits = (keys.select(slot(keys).alias("slot"))
             .groupBy(F.shiftright("slot", 15).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bitmap")))
+            .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("__bitmap")))
     return (df.withColumn("__slot", slot(df)).withColumn("__bucket", F.shiftright("__slot", 15))
             .join(F.broadcast(bits.withColumnRenamed("bucket", "__bucket")), "__bucket", "left")
             .withColumn(flag, F.coalesce(
-                F.expr("shiftright(cast(conv(hex(substring(bitmap, cast(((__slot & 32767) >> 3) + 1 AS int), 1)), 16, 10)"
+                F.expr("shiftright(cast(conv(hex(substring(__bitmap, cast(((__slot & 32767) >> 3) + 1 AS int), 1)), 16, 10)"
                        " AS int), cast(__slot & 7 AS int)) & 1 = 1"), F.lit(False)))
-            .drop("__slot", "__bucket", "bitmap"))
+            .drop("__slot", "__bucket", "__bitmap"))
 
 
 def without(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The rows of ``df`` whose ``on`` columns don't occur in ``keys``; only rows that the filter flags are shuffled."""
-    marked = flagged(df, keys, on)
-    return (marked.where(~F.col("maybe")).drop("maybe")
-            .unionByName(marked.where("maybe").drop("maybe").join(keys.select(*on), on, "left_anti")))
+    marked = flagged(df, keys, on, "__maybe")
+    return (marked.where(~F.col("__maybe")).drop("__maybe")
+            .unionByName(marked.where("__maybe").drop("__maybe").join(keys.select(*on), on, "left_anti")))

@@ -81,7 +81,8 @@ def test_every_token_is_packed_once(spark, stages):
 
 
 def test_stages_take_empty_docs_and_extra_columns(spark, stages):
-    docs = stages[0].selectExpr("*", "1 AS row", "'x' AS at", "2.0 AS score", "'k' AS key").limit(12)
+    docs = stages[0].selectExpr("*", "1 AS row", "'x' AS at", "2.0 AS score", "'k' AS key", "3 AS maybe", "4 AS bitmap",
+                                 "5 AS file", "'t' AS text_").limit(12)
     for empty in (False, True):
         df = stored(docs.limit(0) if empty else docs, "test-extra")
         for _, stage in C.STAGES[:-1]:
