@@ -29,7 +29,6 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +37,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from convops import functions as cf
 from convops.plans.rules import owner_days
 from convops.sources.binding import Tables
+from convops.sources.store import new_version_dir
 
 REQUEST_SCHEMA = T.StructType([
     T.StructField("req_id", T.LongType(), False),
@@ -100,6 +100,12 @@ def _decide_group(lateness_ms: int):
     return fn
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    path = new_version_dir(df.sparkSession, label=label)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def admit_stream(t: Tables, requests: DataFrame, prior: DataFrame | None = None, lateness: str = "1 hour",
                  lateness_ms: int = 3_600_000) -> DataFrame:
     """Decisions for a streaming request frame (``requests.isStreaming``); same columns as the batch decisions
@@ -108,10 +114,10 @@ def admit_stream(t: Tables, requests: DataFrame, prior: DataFrame | None = None,
     conv = t.conversation.select("conversation_id", F.col("user_id").alias("owner_id"))
     lim = (t.llm_user.select(F.col("user_id").alias("owner_id"), "tier_id")
            .join(t.tier.select("tier_id", "message_limit"), "tier_id").drop("tier_id"))
-    # static sides of the stream-static joins: derived once and kept (memory, spilling to disk) instead of being
-    # re-derived by every micro-batch; lost blocks are recomputed from lineage
-    lookup = conv.join(lim, "owner_id", "left").persist(StorageLevel.MEMORY_AND_DISK)
-    prior_counts = owner_days(prior, conv).withColumnRenamed("n", "prior_n").persist(StorageLevel.MEMORY_AND_DISK)
+    # static sides of the stream-static joins: written once to the shared folder, instead of being re-derived by every
+    # micro-batch or kept on executors' own disks
+    lookup = _kept(conv.join(lim, "owner_id", "left"), "stream-lookup")
+    prior_counts = _kept(owner_days(prior, conv).withColumnRenamed("n", "prior_n"), "stream-prior")
     d = (requests.withColumn("written", cf.blank_to_null(F.col("content")).isNotNull())
                  .withColumn("sender_role", cf.role_from_code(F.col("role_code")))
                  .withColumn("day", F.to_date("req_ts"))
