@@ -44,11 +44,6 @@ CELL_ENTRIES = 1 << 20
 _HALF = np.uint64(1 << 63)
 
 
-def required(n: Column) -> Column:
-    """Overlap that a class of n shingles needs with any other: ceil(t n)."""
-    return F.ceil(n * PER_CENT / 100.0 - 1e-9)
-
-
 def probing(n: Column) -> Column:
     return n - F.expr(f"({PER_CENT} * n + 99) div 100") + 1
 
