@@ -27,7 +27,7 @@ _ROCKSDB = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # all stores of an executor share this memory; what doesn't fit is on its disk
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     # a store is closed when its task ends: memory and local files are those of the tasks that run
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }

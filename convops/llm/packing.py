@@ -44,19 +44,26 @@ def encoder(vocabulary: str, ranks: str):
     ``tokenizers`` turns into its id, go through ``tokenizers`` itself.
     """
     import base64
+    import json
+    from functools import cache
 
     import tiktoken
-    from tokenizers import Tokenizer
 
-    reference = Tokenizer.from_file(vocabulary)
-    special = [t.content for t in reference.get_added_tokens_decoder().values()]
+    with open(vocabulary, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
 
+    @cache
+    def reference():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(vocabulary)
+
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(reference.encode(text, add_special_tokens=False).ids, "<u4")
+            return np.array(reference().encode(text, add_special_tokens=False).ids, "<u4")
         return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), "<u4")
     return encode
 
