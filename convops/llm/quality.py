@@ -198,6 +198,16 @@ def scored(docs: DataFrame, model: Ensemble) -> DataFrame:
     return statistics(docs).select("row", model.score({n: F.col(n) for n in STATISTICS}).alias("score"))
 
 
+def accepted(docs: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``.
+
+    The condition also looks at a column that is not deterministic, and so is not pushed below the projections: there
+    every use of a statistic would measure the text again.
+    """
+    out = scored(docs, model).withColumn("at", F.monotonically_increasing_id())
+    return out.where((F.col("score") >= threshold) & (F.col("at") >= 0)).select("row.*")
+
+
 def learnable(labels: DataFrame) -> DataFrame:
     """The labels of documents outside the held-out fold."""
     return labels.where(remainder("doc_id", 5) != 0)

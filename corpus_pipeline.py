@@ -19,9 +19,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the classifier, learned from the labels of ``sf_dir``, scores below its threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.learn(docs, quality.learnable(labels))
-    # the id column is not deterministic, so the filter stays above it and each text is measured once
-    scored = quality.scored(docs, model).withColumn("at", F.monotonically_increasing_id())
-    return scored.where(F.col("score") >= quality.THRESHOLD).select("row.*")
+    return quality.accepted(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
