@@ -2,12 +2,19 @@
 
 Every word is predicted from the words on both sides of it, two on each, and a document's score is the sum of the log
 probabilities of all its words. The network (numpy): an embedding per word id, one matrix per position, a tanh layer
-with a bias, and a two-level softmax (class, then word in its class). Words outside the vocabulary share hash buckets.
+with a bias, and a two-level softmax (class, then word in its class). The network's ids are the most frequent words and
+hash buckets for all others; the bucket is the third level of the softmax for these: log P(word | bucket) is that of the
+word's count among the bucket's. The counts are those of all words of all documents, so this part of the model grows
+with the corpus; they stay in Spark and are joined to the words of the documents. A word never counted has the share of
+one occurrence more, so the probabilities of a bucket's counted words and of one such word sum to 1.
 
-Word counts come from all documents; the most frequent words are the vocabulary, of fixed size. Training goes over all
-documents too: after a short warm start on a bounded sample, which puts all tasks in one basin, every task runs one
-epoch over the documents it reads, and the weights are averaged in Spark, weighted by words. Neither the counts nor the
-tasks' weights pass through the driver, only the vocabulary and the averaged weights, both of fixed size.
+Training goes over all documents: after a short warm start on a bounded number of whole texts, which puts all tasks in
+one basin, every task runs one epoch over the documents it reads, and the weights are averaged in Spark, weighted by
+words. Neither the counts nor texts nor the tasks' weights pass through the driver, only the frequent words, the
+buckets' totals and the averaged weights, all of fixed size.
+
+Scoring writes, for every chunk of texts, each bucketed word once with the places of its texts. Joined with the counts
+and brought together by chunk, they add their log P(word | bucket) to the texts' sums.
 
 Defined cases: null text is empty; a text without words has no words, log probability 0 and null perplexity; at a
 text's edges the context is a pad id; repeated rows are scored (and learned from) row by row; without any words the
@@ -16,25 +23,28 @@ untrained network's uniform guess scores nothing; an empty table gives an empty
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convops.llm.hashing import mix, slices, word_hashes
-from convops.llm.shared import broadcast_value, documents, received
+from convops.llm.shared import broadcast_value, discard, documents, received, stored
 
 CLASSES = 32
 PER_CLASS = 32
 BUCKETS = 256
-DIM, HIDDEN, SIDE = 16, 16, 2
+DIM, HIDDEN, SIDE = 16, 24, 2
 BATCH = 8192
 RATE = 0.01
 SCORE_LIMIT = 60.0
 WARM_DOCS = 200
-WARM_CHARS = 4000
+#: Bytes of the texts whose bucketed words are written together.
+CHUNK_BYTES = 16 << 20
 #: A task gives its word counts away when it holds this many distinct words.
 HELD_WORDS = 1 << 20
 
@@ -74,6 +84,9 @@ class Vocabulary:
             out[known] = self.order[at[known]]
         return out
 
+    def bucketed(self, ids: np.ndarray) -> np.ndarray:
+        return ids >= self.size - self.buckets
+
     def windows(self, words: np.ndarray, at: np.ndarray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
         """(contexts, ids) of all words; a text's neighbours lie within the text, else they are the pad."""
         ids = self.ids(words)
@@ -189,25 +202,39 @@ class Network:
             at += n
 
 
-def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
-    """Vocabulary and averaged weights from all of ``docs`` (doc_id, text)."""
+def _warm(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> None:
+    """Three passes over the whole texts of WARM_DOCS documents, in a task that holds one batch of them at a time."""
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
+    texts = stored(docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "lm-warm")
+    for _ in range(3):
+        shared = broadcast_value(docs.sparkSession, (vocabulary, network))
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, network = received(shared)
+            for batch in batches:
+                for part in slices(batch.column(0)):
+                    for context, ids in _batches(vocabulary, part):
+                        network.train(context, ids)
+            state = pickle.dumps((network.weights, network.moments, network.steps))
+            yield pa.RecordBatch.from_arrays([pa.array([state], pa.binary())], ["state"])
+        for row in texts.coalesce(1).sortWithinPartitions("doc_id").select("text").mapInArrow(learn, "state binary").collect():
+            network.weights, network.moments, network.steps = pickle.loads(row["state"])
+    network.moments, network.steps = {}, 0
+    discard(docs.sparkSession, texts)
+
+
+def fit(docs: DataFrame, counted: DataFrame | None = None) -> tuple[Vocabulary, Network]:
+    """Vocabulary and averaged weights from all of ``docs`` (doc_id, text); ``counted``: its word_counts, if at hand."""
     spark = docs.sparkSession
     top = CLASSES * PER_CLASS - BUCKETS
     # the filter makes the last step an exchange to one task; else every task would send its own best to the driver
-    frequent = word_counts(docs).orderBy(F.desc("n"), "word").limit(top).where("n > 0").collect()
+    frequent = (word_counts(docs) if counted is None else counted).orderBy(F.desc("n"), "word").limit(top).where("n > 0").collect()
     vocabulary = Vocabulary([r["word"] for r in frequent])
     counts = np.zeros(vocabulary.size)
     counts[:len(frequent)] = [r["n"] for r in frequent]
     counts[vocabulary.size - BUCKETS:] = max(1.0, counts.sum() / 4 / BUCKETS)
     network = Network(vocabulary, counts)
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS)
-    warm = (docs.select("doc_id", F.substring("text", 1, WARM_CHARS).alias("text"))
-            .join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).collect())
-    for _ in range(3):
-        for part in slices(pa.array([r["text"] for r in sorted(warm, key=lambda r: r["doc_id"])], pa.string())):
-            for context, ids in _batches(vocabulary, part):
-                network.train(context, ids)
-    network.moments, network.steps = {}, 0
+    _warm(docs, vocabulary, network)
     shared = broadcast_value(spark, (vocabulary, network))
 
     def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,24 +264,112 @@ def _batches(vocabulary: Vocabulary, part: pa.Array) -> Iterator[tuple[np.ndarra
         yield context[s:s + BATCH], ids[s:s + BATCH]
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
-    """doc_id, n_words, log_probability, pseudo_perplexity of every row of ``docs`` (doc_id, text)."""
-    shared = broadcast_value(docs.sparkSession, (vocabulary, network))
+def bucket_totals(counted: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """Occurrences of each bucket's words."""
+    shared = broadcast_value(counted.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, network = received(shared)
+        vocabulary = received(shared)
+        total = np.zeros(vocabulary.size, np.int64)
+        for batch in batches:
+            ids = vocabulary.ids(batch.column(0).to_numpy().view(np.uint64))
+            np.add.at(total, ids, batch.column(1).to_numpy())
+        first = vocabulary.size - vocabulary.buckets
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(vocabulary.buckets, dtype=np.int32)),
+                                          pa.array(total[first:])], ["bucket", "n"])
+    out = np.zeros(vocabulary.buckets)
+    sums = counted.select("word", "n").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for row in sums.collect():
+        out[row["bucket"]] = row["n"]
+    return out
+
+
+_SCORED = "doc_id array<long>, n_words array<long>, log_probability array<double>"
+
+
+def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, counted: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, log_probability, pseudo_perplexity of every row of ``docs`` (doc_id, text).
+
+    ``counted``: the word_counts of the corpus that was learned; those of ``docs`` if not given.
+    """
+    spark = docs.sparkSession
+    counted = stored(word_counts(docs), "lm-counts") if counted is None else counted
+    shared = broadcast_value(spark, (vocabulary, network, np.log(bucket_totals(counted, vocabulary) + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, network, log_total = received(shared)
+        names = ["chunk", "word", "at", "doc_id", "n_words", "log_probability"]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()),
+                 pa.list_(pa.float64())]
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            row = 0
+            for part in slices(batch.column(1), CHUNK_BYTES):
+                n, total, rare, place, done = [], [], [], [], 0
+                for piece in slices(part, 2 << 20):
+                    words, at = word_hashes(piece)
+                    context, ids = vocabulary.windows(words, at)
+                    p = network.log_probability(context, ids)
+                    own = vocabulary.bucketed(ids)
+                    p[own] -= log_total[ids[own] - (vocabulary.size - vocabulary.buckets)]
+                    sums = np.concatenate([[0.0], np.cumsum(p)])
+                    n.append(np.diff(at))
+                    total.append(np.where(np.diff(at) > 0, sums[at[1:]] - sums[at[:-1]], 0.0))
+                    rare.append(words[own])
+                    place.append(np.repeat(np.arange(done, done + len(piece), dtype=np.int32), np.diff(at))[own])
+                    done += len(piece)
+                ids = batch.column(0).slice(row, done)
+                row += done
+                lists = [pa.array([v], k) for v, k in zip((ids.to_pylist(), np.concatenate(n), np.concatenate(total)), kinds[3:])]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.nulls(1, k) for k in kinds[1:3]), *lists], names)
+                rare, place = np.concatenate(rare), np.concatenate(place)
+                order = np.argsort(rare, kind="stable")
+                words, first = np.unique(rare[order], return_index=True)
+                at = pa.ListArray.from_arrays(pa.array(np.append(first, len(rare)).astype(np.int32)), pa.array(place[order]))
+                if len(words):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(words), chunk)), pa.array(words.view(np.int64)), at,
+                         *(pa.nulls(len(words), k) for k in kinds[3:])], names)
+                chunk += 1
+    scored = stored(docs.select("doc_id", "text").mapInArrow(run, f"chunk long, word long, at array<int>, {_SCORED}"),
+                    "lm-scored")
+    # the logarithm of a word counted once, or never, is 0 and adds nothing
+    shares = (scored.where("word IS NOT NULL").select("chunk", "word", "at")
+              .join(counted.where("n > 1").select("word", F.log("n").alias("log_n")), "word"))
+    texts = scored.where("word IS NULL").drop("at").withColumn("log_n", F.lit(None).cast("double"))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_words", "log_probability"]
+        head, more, of = None, None, None  # the chunk's row of texts comes first
+
+        def finished() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([head[0], head[1], pa.array(head[2] + more)], names)
         for batch in batches:
-            n, total = [], []
-            for part in slices(batch.column(1), 2 << 20):
-                words, at = word_hashes(part)
-                p = network.log_probability(*vocabulary.windows(words, at))
-                sums = np.concatenate([[0.0], np.cumsum(p)])
-                n.append(np.diff(at))
-                total.append(np.where(np.diff(at) > 0, sums[at[1:]] - sums[at[:-1]], 0.0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(n or [np.zeros(0, np.int64)]), pa.int64()),
-                 pa.array(np.concatenate(total or [np.zeros(0)]))], ["doc_id", "n_words", "log_probability"])
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_probability double")
+            chunks = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if e == s:
+                    continue
+                part = batch.slice(s, e - s)
+                if chunks[s] != of:
+                    if head is not None:
+                        yield finished()
+                    of = chunks[s]
+                    one = [part.column(k).slice(0, 1).flatten() for k in (3, 4, 5)]
+                    head = (one[0], one[1], one[2].to_numpy(zero_copy_only=False))
+                    more = np.zeros(len(head[2]))
+                    part = part.slice(1)
+                if len(part):
+                    lists = part.column(1)
+                    weights = np.repeat(part.column(2).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy())
+                    more += np.bincount(lists.flatten().to_numpy(), weights, len(more))
+        if head is not None:
+            yield finished()
+    both = (texts.select("chunk", F.lit(None).cast("array<int>").alias("at"), "log_n", "doc_id", "n_words",
+                         "log_probability", "word")
+            .unionByName(shares.select("chunk", "at", "log_n", "word"), allowMissingColumns=True)
+            .repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_first("word")).drop("word"))
+    out = both.mapInArrow(together, "doc_id long, n_words long, log_probability double")
     return out.withColumn("pseudo_perplexity", F.when(
         F.col("n_words") > 0, F.exp(-F.col("log_probability") / F.col("n_words"))))
 
@@ -262,4 +377,5 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
 def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"),
                                            F.col("text").cast("string").alias("text"))
-    return score(docs, *fit(docs))
+    counted = stored(word_counts(docs), "lm-counts")
+    return score(docs, *fit(docs, counted), counted)

@@ -88,3 +88,39 @@ def test_counts_are_those_of_all_documents(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert M.score(docs, *M.fit(docs)).count() == 0
+
+
+def test_bucketed_words_have_their_own_share_of_the_bucket(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK_BYTES", 3000)
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(names[:rng.choice((5, 900, 3000))]) for _ in range(rng.randint(0, 200))) for _ in range(90)]
+    rows = [*enumerate(texts), (None, "w1 w2999 w2"), (3, texts[3]), (200, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    vocabulary = M.Vocabulary([], 8, 8, 32)
+    net = M.Network(vocabulary, seed=5)
+    counts = {}
+    for _, t in rows:
+        for w in word_hashes(pa.array([t]))[0].tolist():
+            counts[w] = counts.get(w, 0) + 1
+    bucket = dict(zip(counts, vocabulary.ids(np.array(list(counts), np.uint64)).tolist()))
+    total = {b: sum(n for w, n in counts.items() if bucket[w] == b) for b in set(bucket.values())}
+
+    def want(t):
+        words, at = word_hashes(pa.array([t]))
+        p = net.log_probability(*vocabulary.windows(words, at)).sum() if len(words) else 0.0
+        return p + sum(math.log(counts.get(w, 1) / (total[bucket[w]] + 1)) for w in words.tolist())
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_words, r.log_probability)
+                  for r in M.score(docs, vocabulary, net).collect()))
+    expected = sorted((-1 if i is None else i, len((t or "").split()), want(t)) for i, t in rows)
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert max(abs(g[2] - e[2]) for g, e in zip(got, expected)) < 1e-4  # float32 network
+
+
+def test_warm_start_learns_whole_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x " * 3000 + "y z " * 3000)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(M, "stored", lambda df, name: seen.append((name, df.collect())) or df)
+    monkeypatch.setattr(M, "discard", lambda *a: None)
+    M.fit(docs)
+    assert [len(r.text) for name, rows in seen if name == "lm-warm" for r in rows] == [18000]
