@@ -9,7 +9,10 @@ gets this by doing one after the other; here every round decides all requests wh
 * it is granted when nobody else may hold the value and it is the first undecided one of its value and of its owner.
 
 The earliest undecided request is always certain, so rounds end; refusals of a popular value fall in one round. Once
-at most ``loop_rows`` requests are left, a plain loop finishes them (a constant bound, whatever the input).
+at most ``loop_rows`` requests are left, one more round refuses in Spark what is certain and a plain loop finishes the
+rest. The loop needs nothing but these requests and what their owners hold at that moment: a closed interval, or what
+an owner without an undecided request holds, either refuses a request for certain or never matters to it. So the driver
+gets at most ``loop_rows`` requests and as many holders, one a requesting owner, whatever the input.
 """
 
 from __future__ import annotations
@@ -63,10 +66,7 @@ def resolve_claims(requests: DataFrame, holders: DataFrame, loop_rows: int = LOO
     decided: list[DataFrame] = []
     while True:
         left = undecided.count()
-        if left <= loop_rows:
-            done = grant_in_order([(r["at"], r["req_id"], r["owner"], r["value"]) for r in undecided.collect()],
-                                  [tuple(r) for r in held.collect()] if left else ())
-            decided.append(spark.createDataFrame(list(done.items()), "req_id long, granted boolean"))
+        if not left:
             break
         first_of_owner = undecided.groupBy("owner").agg(F.min("at").alias("owner_at"))
         first_of_value = undecided.groupBy("value").agg(F.min("at").alias("value_at"))
@@ -83,6 +83,14 @@ def resolve_claims(requests: DataFrame, holders: DataFrame, loop_rows: int = LOO
                               .when(F.col("sure").isNull() & (F.col("at") == F.col("owner_at"))
                                     & (F.col("at") == F.col("value_at")), True))
                   .select("req_id", "owner", "value", "at", "granted").checkpoint())
+        if left <= loop_rows:
+            decided.append(judged.where("NOT granted").select("req_id", "granted"))
+            rest = judged.where("granted IS NULL OR granted").collect()
+            own = held.where("until IS NULL").join(first_of_owner.select("owner"), "owner", "left_semi")
+            done = grant_in_order([(r["at"], r["req_id"], r["owner"], r["value"]) for r in rest],
+                                  [tuple(r) for r in own.select("value", "owner", "since", "until").collect()] if rest else ())
+            decided.append(spark.createDataFrame(list(done.items()), "req_id long, granted boolean"))
+            break
         decided.append(judged.where("granted IS NOT NULL").select("req_id", "granted"))
         got = judged.where("granted").select("owner", F.col("value").alias("new_value"), F.col("at").alias("got_at"))
         moves = held.join(got, "owner", "left")
@@ -96,7 +104,7 @@ def resolve_claims(requests: DataFrame, holders: DataFrame, loop_rows: int = LOO
             F.lit(None).cast(moment).alias("until"))
         held = kept.unionByName(fresh).checkpoint()
         undecided = judged.where("granted IS NULL").select("req_id", "owner", "value", "at").checkpoint()
-    out = decided[0]
-    for d in decided[1:]:
+    out = spark.createDataFrame([], "req_id long, granted boolean")
+    for d in decided:
         out = out.unionByName(d)
     return out

@@ -10,7 +10,8 @@ req_id):
 * USER rows with a limit go through ``applyInPandasWithState`` keyed by (owner, day). State = USER messages
   accepted so far that day, kept in the RocksDB state store (off-heap, incremental checkpoints). Inside a micro-batch the group's rows are taken in (req_ts, req_id) order; the function
   keeps only a running top-k (k = remaining allowance) while it reads the group's Arrow chunks, so a hot user-day
-  costs O(k + chunk) memory, never the whole group.
+  costs O(k + chunk) memory, never the whole group. Rows without text, whose reason depends on the last of the k rows,
+  wait in a temporary file of the task and are decided chunk by chunk.
 
 Lateness (the reference has no notion of it): a watermark on req_ts with delay ``lateness``. A user-day is
 *closed* once the watermark passes its end plus ``lateness``; its state is then removed by an event-time timeout.
@@ -26,6 +27,8 @@ the stream equals the batch job whenever files arrive in time order (tested with
 from __future__ import annotations
 
 import datetime as dt
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,26 +74,32 @@ def _decide_group(lateness_ms: int):
         accepted = state.get[0] if state.exists else None
         top = None  # running top-k rows with text of this micro-batch in (req_ts, req_id) order
         k = None
-        blank: list[pd.DataFrame] = []  # rows without text: refused, but only after the limit was tested
+        # rows without text: refused, but only after the limit was tested
+        blank, waiting = tempfile.TemporaryFile(), 0
         for chunk in chunks:
             if accepted is None:
                 accepted = int(chunk["prior_n"].iloc[0]) if pd.notna(chunk["prior_n"].iloc[0]) else 0
             if k is None:
                 k = max(0, int(chunk["message_limit"].iloc[0]) - accepted)
-            blank.append(chunk.loc[~chunk["written"], [*cols, "req_ts"]])
+            empty = chunk.loc[~chunk["written"], [*cols, "req_ts"]]
+            if len(empty):
+                pickle.dump(empty, blank)
+                waiting += 1
             chunk = chunk[chunk["written"]]
             pool = chunk if top is None else pd.concat([top, chunk], ignore_index=True)
             pool = pool.sort_values(["req_ts", "req_id"], kind="mergesort")
             top, spill = pool.iloc[:k], pool.iloc[k:]
             if len(spill):
                 yield spill[cols].assign(status="rejected", reason="rate_limit")
-        if blank and sum(map(len, blank)):
-            rows = pd.concat(blank, ignore_index=True)
+        blank.seek(0)
+        for _ in range(waiting):
+            rows = pickle.load(blank)
             full = pd.Series(k == 0, index=rows.index)
             if k and len(top) == k:  # the limit is reached with the k-th row
                 ts, rid = top["req_ts"].iloc[-1], top["req_id"].iloc[-1]
                 full = (rows["req_ts"] > ts) | ((rows["req_ts"] == ts) & (rows["req_id"] > rid))
             yield rows[cols].assign(status="rejected", reason=full.map({True: "rate_limit", False: "null"}))
+        blank.close()
         if top is not None and len(top):
             yield top[cols].assign(status="accepted", reason=None)
             accepted += len(top)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
+from convops.operators import claims
 from convops.operators.claims import resolve_claims
+from convops.streaming.admit_stream import _decide_group
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -40,3 +43,44 @@ def test_no_requests(spark):
     df = spark.createDataFrame([], "req_id long, req_ts timestamp_ntz, owner long, value string")
     holders = spark.createDataFrame([(1, "a")], "owner long, value string")
     assert resolve_claims(df, holders).count() == resolve_claims(df, holders, 0).count() == 0
+
+
+def test_driver_gets_only_what_the_undecided_need(spark, monkeypatch):
+    given = []
+
+    def spy(requests, held):
+        given.append((list(requests), list(held)))
+        return grant_in_order(*given[-1])
+    grant_in_order = claims.grant_in_order
+    monkeypatch.setattr(claims, "grant_in_order", spy)
+    holders = [(o, f"v{o}") for o in range(80)]
+    # 0 and 1 swap over a free value; 2..21 ask for what others hold who ask for nothing
+    requests = [(T0, 1, 0, "free"), (T0, 2, 1, "v0"), (T0, 3, 0, "v1")] + [(T0, 10 + o, o, f"v{o + 40}") for o in range(2, 22)]
+    df = spark.createDataFrame([(i, ts, o, v) for ts, i, o, v in requests],
+                               "req_id long, req_ts timestamp_ntz, owner long, value string")
+    got = resolve_claims(df, spark.createDataFrame(holders, "owner long, value string"))
+    assert {r.req_id: r.granted for r in got.collect()} == one_by_one(requests, holders)
+    (asked, held), = given
+    assert len(asked) == 3 and len(held) <= len({o for _, _, o, _ in requests})
+
+
+def test_blank_rows_of_a_user_day_are_decided_chunk_by_chunk():
+    class State:
+        exists = hasTimedOut = False
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutTimestamp(self, ms):
+            pass
+    rows = [(i, 1, "USER", T0 + dt.timedelta(seconds=i), 3, 0, i % 4 == 0) for i in range(40)]
+    names = ["req_id", "conversation_id", "sender_role", "req_ts", "message_limit", "prior_n", "written"]
+    chunks = [pd.DataFrame(rows[s:s + 10], columns=names) for s in (20, 0, 30, 10)]
+    state = State()
+    out = list(_decide_group(0)((1, T0.date()), iter(chunks), state))
+    assert max(map(len, out)) <= 10 and state.value == (3,)
+    got = {r.req_id: (r.status, r.reason) for r in pd.concat(out).itertuples()}
+    assert got == {i: ("accepted", None) if i in (0, 4, 8) else ("rejected", "null" if i < 8 else "rate_limit") for i in range(40)}
