@@ -336,7 +336,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, counted: Da
     # the logarithm of a word counted once, or never, is 0 and adds nothing
     shares = (scored.where("word IS NOT NULL").select("chunk", "word", "at")
               .join(counted.where("n > 1").select("word", F.log("n").alias("log_n")), "word"))
-    texts = scored.where("word IS NULL").drop("at").withColumn("log_n", F.lit(None).cast("double"))
+    # empty lists, not null ones: Spark's Arrow writer goes back over all null lists of a batch at every row
+    texts = scored.where("word IS NULL").withColumn("log_n", F.lit(0.0))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "log_probability"]
@@ -365,9 +366,10 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, counted: Da
                     more += np.bincount(lists.flatten().to_numpy(), weights, len(more))
         if head is not None:
             yield finished()
-    both = (texts.select("chunk", F.lit(None).cast("array<int>").alias("at"), "log_n", "doc_id", "n_words",
+    empty = [F.array().cast(kind).alias(name) for name, kind in (c.split() for c in _SCORED.split(", "))]
+    both = (texts.select("chunk", F.array().cast("array<int>").alias("at"), "log_n", "doc_id", "n_words",
                          "log_probability", "word")
-            .unionByName(shares.select("chunk", "at", "log_n", "word"), allowMissingColumns=True)
+            .unionByName(shares.select("chunk", "at", "log_n", *empty, "word"))
             .repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_first("word")).drop("word"))
     out = both.mapInArrow(together, "doc_id long, n_words long, log_probability double")
     return out.withColumn("pseudo_perplexity", F.when(
