@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from convops.llm import ann, exact_dedup, html_extraction, language_id, masked_lm, ngram_join, packing, pii, quality, sentencepieces
+from convops.llm import (
+    ann, centroids, exact_dedup, html_extraction, language_id, masked_lm, ngram_join, packing, pii, quality, sentencepieces,
+    token_alignment,
+)
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,8 +18,11 @@ QUERIES = {
     "op8_masked_lm": masked_lm.op8_masked_lm,
     "op9_language_id": language_id.op9_language_id,
     "op10_html_extraction": html_extraction.op10_html_extraction,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op13_centroid_clusters": centroids.op13_centroid_clusters,
 }
 
 ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_centroid_clusters": centroids.ORACLE_SQL,
 }
