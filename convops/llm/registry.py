@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from convops.llm import (
     ann, centroids, exact_dedup, html_extraction, language_id, masked_lm, ngram_join, packing, pii, quality, sentencepieces,
-    token_alignment,
+    token_alignment, toxicity,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_html_extraction": html_extraction.op10_html_extraction,
     "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_centroid_clusters": centroids.op13_centroid_clusters,
 }
 
