@@ -37,6 +37,8 @@ HOT_PAIRS = 1 << 18
 #: Characters of distinct units that a task remembers, and text that it works on at a time.
 REMEMBERED_CHARS = 3 << 20
 SLICE_BYTES = 2 << 20
+#: Units encoded in one call.
+TOGETHER = 1000
 #: Stored elements that a product expands at a time.
 BLOCK = 1 << 20
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -145,44 +147,51 @@ class Tokenizers:
             return []
         return _UNIT_END.split(text) if self.splits else [text]
 
-    def encode_a(self, unit: str) -> np.ndarray:
+    def encode_a(self, text: str) -> np.ndarray:
         try:
-            return self.fast.encode_to_numpy(" " + unit, disallowed_special=())
+            return self.fast.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
         except ValueError:  # a run of white space too long for its pattern
             if self.reference is None:
                 from tokenizers import Tokenizer
 
                 self.reference = Tokenizer.from_file(self.vocabulary)
                 self.reference.encode_special_tokens = True
-            return np.array(self.reference.encode(" " + unit, add_special_tokens=False).ids, np.uint32)
-
-    def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """Ids of A and of B for each unit, and whether both give back its bytes."""
-        a = [self.encode_a(u) for u in units]
-        b = [np.array(ids, np.int64) for ids in self.sp.encode(units, num_threads=1)] if units else []
-        ok = np.ones(len(units), bool)
-
-        def joined(table: np.ndarray, ids: list[np.ndarray]) -> bytes:
-            return b"".join(table[np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)].tolist())
-        whole = "".join(" " + u for u in units).encode()
-        if joined(self.a_bytes, a) != whole or joined(self.b_bytes, b) != whole:
-            for i, u in enumerate(units):
-                own = (" " + u).encode()
-                ok[i] = joined(self.a_bytes, a[i:i + 1]) == own and joined(self.b_bytes, b[i:i + 1]) == own
-        return a, b, ok
+            return np.array(self.reference.encode(" " + text, add_special_tokens=False).ids, np.int64)
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of all units that both give back byte for byte, end to end, and which units those are.
+
+        Units without white space at their ends are encoded together, as nothing crosses the blanks between them; where
+        the bytes differ, the halves are tried.
+        """
+        ok = np.zeros(len(units), bool)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        alone = [i for i, u in enumerate(units) if u[0].isspace() or u[-1].isspace()]
+        cuts = sorted({*range(0, len(units), TOGETHER), len(units), *alone, *(i + 1 for i in alone)})
+        runs = [*zip(cuts[:-1], cuts[1:])][::-1]
+        while runs:
+            s, e = runs.pop()
+            text = " ".join(units[s:e])
+            own_a, own_b = self.encode_a(text), np.array(self.sp.encode(text, num_threads=1), np.int64)
+            whole = (" " + text).encode()
+            if b"".join(self.a_bytes[own_a].tolist()) == whole == b"".join(self.b_bytes[own_b].tolist()):
+                ok[s:e] = True
+                a.append(own_a)
+                b.append(own_b)
+            elif e - s > 1:
+                runs += [((s + e) // 2, e), (s, (s + e) // 2)]
+        return np.concatenate(a), np.concatenate(b), ok
 
 
 class Aligned:
-    """Alignments of some units that both tokenizers give back: one block-diagonal product for all of them."""
-
-    def __init__(self, tokenizers: Tokenizers, a: list[np.ndarray], b: list[np.ndarray]):
-        self.units = len(a)
-        self.a_ids = np.concatenate([np.zeros(0, np.int64), *a]).astype(np.int64)
-        self.b_ids = np.concatenate([np.zeros(0, np.int64), *b]).astype(np.int64)
-        self.a_unit = np.repeat(np.arange(len(a)), [len(i) for i in a])
-        self.b_unit = np.repeat(np.arange(len(b)), [len(i) for i in b])
-        a_end = np.cumsum(tokenizers.a_length[self.a_ids])
-        b_end = np.cumsum(tokenizers.b_length[self.b_ids])
+    """Alignments of units that both tokenizers give back, from their ids end to end: one block-diagonal product."""
+
+    def __init__(self, tokenizers: Tokenizers, units: list[str], a_ids: np.ndarray, b_ids: np.ndarray):
+        self.units = len(units)
+        self.a_ids, self.b_ids = a_ids, b_ids
+        a_end, b_end = np.cumsum(tokenizers.a_length[a_ids]), np.cumsum(tokenizers.b_length[b_ids])
+        unit_end = np.cumsum([len(u.encode()) + 1 for u in units])
+        self.a_unit, self.b_unit = np.searchsorted(unit_end, a_end), np.searchsorted(unit_end, b_end)
         size = int(a_end[-1]) if len(a_end) else 0
         shared = a_end[np.isin(a_end, b_end)]
         self.groups = len(shared)
@@ -231,7 +240,7 @@ class Seen:
         if fresh:
             a, b, ok = self.tok.encode(fresh)
             good = np.flatnonzero(ok)
-            block = Aligned(self.tok, [a[i] for i in good], [b[i] for i in good])
+            block = Aligned(self.tok, [fresh[i] for i in good], a, b)
             base = len(self.whole)
             for row, column, _ in block.overlaps():
                 self.links.append((base + good[block.a_unit[row]], (block.a_ids[row] << 32) + block.b_ids[column]))
@@ -324,7 +333,7 @@ class Known:
     def add(self, units: list[str]) -> None:
         a, b, ok = self.tok.encode(units)
         good = np.flatnonzero(ok)
-        block = Aligned(self.tok, [a[i] for i in good], [b[i] for i in good])
+        block = Aligned(self.tok, [units[i] for i in good], a, b)
         base = len(self.text)
         own = np.zeros((len(units), len(_VALUES)), np.int64)
         sums = np.zeros((len(_VALUES), len(good)), np.int64)
@@ -339,9 +348,11 @@ class Known:
             np.add.at(sums[5], unit[hot], self.best[place[hot]].astype(np.int64))
             np.add.at(sums[6], unit[hot], self.n[place[hot]])
             unit, key = base + good[unit[~hot]], key[~hot]
-            cuts = np.flatnonzero(np.diff(unit)) + 1
-            for u, k in zip(unit[np.concatenate([[0], cuts])].tolist() if len(unit) else [], np.split(key, cuts)):
-                self.cold[u] = np.concatenate([self.cold[u], k]) if u in self.cold else k
+            cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if e > s:
+                    u = int(unit[s])
+                    self.cold[u] = np.concatenate([self.cold[u], key[s:e]]) if u in self.cold else key[s:e].copy()
         for row, _, _ in block.together():
             sums[4] += block.per_unit(block.a_unit[row])
         own[good] = sums.T
@@ -434,7 +445,7 @@ def links(docs: DataFrame, paths: dict[str, str]) -> DataFrame:
                 a, b, ok = tok.encode(units)
                 if not ok.all():
                     continue
-                block = Aligned(tok, a, b)
+                block = Aligned(tok, units, a, b)
                 for kind, found in (("overlap", block.overlaps()), ("group", block.together())):
                     for row, column, value in found:
                         yield pa.RecordBatch.from_arrays(
