@@ -40,15 +40,17 @@ def sha256(text: Column) -> Column:
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` as (row, file, at): each row with the place of its content in a stored file.
 
-    A frame that isn't read from files, or whose plan hides the files, is written to the shared folder first.
+    A frame that isn't read from files, whose plan hides the files, or that has a column named like the place's own is
+    written to the shared folder first.
     """
-    def places(df: DataFrame) -> DataFrame:
-        return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"),
-                         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    try:
-        return places(docs)
-    except AnalysisException:
-        return places(stored(docs, "dedup-docs"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+    if "_metadata" not in map(str.lower, docs.columns):
+        try:
+            return docs.select(row, *place)
+        except AnalysisException:
+            pass
+    return stored(docs.select(row), "dedup-docs").select("row", *place)
 
 
 def stream_state(spark: SparkSession, prints: str, schema, state_dir: str, batch_bytes: int = 16 << 30) -> DataFrame:

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from convops.llm.exact_dedup import located
 from convops.llm.hashing import shingle_sets
 from convops.llm.shared import discard, documents, flagged, stored, without
 
@@ -60,7 +61,8 @@ def _key(row: np.ndarray, salt: int) -> tuple[int, bytes]:
 
 
 def class_rows(docs: DataFrame, salt: int) -> DataFrame:
-    """doc_id, n, key, digest, early: the shingle set's size, identity and number of columns of the first half."""
+    """doc_id, n, key, digest, early and the columns of ``docs`` after the text: the shingle set's size, identity and
+    number of columns of the first half."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -70,9 +72,11 @@ def class_rows(docs: DataFrame, salt: int) -> DataFrame:
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)] + [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(),
-                                                                           pa.int64()))],
-                ["doc_id", "n", "key", "digest", "early"])
-    return docs.mapInArrow(run, "doc_id long, n long, key long, digest binary, early long")
+                                                                           pa.int64()))] + batch.columns[2:],
+                ["doc_id", "n", "key", "digest", "early", *carried])
+    carried = docs.columns[2:]
+    schema = "doc_id long, n long, key long, digest binary, early long"
+    return docs.mapInArrow(run, ", ".join([schema, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)]))
 
 
 def entries(docs: DataFrame, salt: int) -> DataFrame:
@@ -299,8 +303,17 @@ def large_links(members: DataFrame, rows: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return labelled(docs, rounds).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, component and what else ``docs`` (doc_id, text, ...) has, for each of its rows.
+
+    component: one number for all rows of a component, null without shingles (ids may be null or repeated).
+    """
+    spark = docs.sparkSession
+    carried = docs.columns[2:]
     salt = 0
     while True:
         table = stored(class_rows(docs, salt), "near-docs")
@@ -309,6 +322,7 @@ def components(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if not clash.take(1):
             break
         salt += 1  # two different rows with one 64-bit key: other keys
+    docs = docs.select("doc_id", "text")
     classes = stored(table.where("key IS NOT NULL").groupBy("key")
                      .agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("early").alias("early")),
                      "near-classes")
@@ -337,18 +351,30 @@ def components(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     joined = labels.join(classes.select("key", "rep"), "key")
     lowest = joined.groupBy("comp").agg(F.min("rep").alias("lowest"))
-    named_classes = (classes.select("key", "rep").join(labels.join(lowest, "comp").select("key", "lowest"), "key", "left")
-                     .select("key", F.coalesce("lowest", "rep").alias("component_id")))
-    some = table.where("key IS NOT NULL").join(named_classes, "key").select("doc_id", "n", "component_id")
-    none = table.where("key IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    named_classes = (classes.select("key", "rep")
+                     .join(labels.join(lowest, "comp").select("key", "comp", "lowest"), "key", "left")
+                     .select("key", F.coalesce("lowest", "rep").alias("component_id"),
+                             F.coalesce("comp", "key").alias("component")))
+    some = (table.where("key IS NOT NULL").join(named_classes, "key")
+            .select("doc_id", "n", "component_id", "component", *carried))
+    none = table.where("key IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"),
+                                             F.lit(None).cast("long").alias("component"), *carried)
     return some.unionByName(none).withColumnRenamed("n", "n_shingles")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without those documents whose component has a smaller id (rows with null ids stay)."""
-    gone = stored(components(docs).where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct(),
+    """``docs`` with one row of each component: the one with the smallest id (null ids last), of equal ids the one
+    earliest in storage. Rows without words all stay."""
+    rows = located(docs)
+    found = stored(labelled(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"),
+                                        F.col("row.text").cast("string").alias("text"), "file", "at"))
+                   .where("component IS NOT NULL").select("component", "doc_id", "file", "at"), "near-found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "at")
+    groups = (found.groupBy("component").agg(F.min(order).alias("stays"), F.count(F.lit(1)).alias("n"))
+              .where("n > 1").select("component", F.col("stays.file").alias("first"), F.col("stays.at").alias("first_at")))
+    gone = stored(found.join(groups, "component").where("file <> first OR at <> first_at").select("file", "at"),
                   "near-gone")
-    return without(docs, gone, ["doc_id"])
+    return without(rows, gone, ["file", "at"]).select("row.*")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,21 +68,29 @@ def flagged(df: DataFrame, keys: DataFrame, on: list[str], flag: str = "maybe")
     A hashed bitmap of fixed size, built in Spark, goes to all tasks, so a join that follows needs to shuffle the
     flagged rows only. With very many keys it flags everything and costs nothing but its own pass.
     """
-    def slot(frame: DataFrame):
-        return F.pmod(F.xxhash64(*(frame[c] for c in on)), F.lit(FILTER_BITS))
-    bits = (keys.select(slot(keys).alias("slot"))
+    def slot(columns):
+        return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+
+    def named(c: str):
+        return F.col(f"`{c}`")
+    bits = (keys.select(slot([named(c) for c in on]).alias("slot"))
             .groupBy(F.shiftright("slot", 15).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("__bitmap")))
-    return (df.withColumn("__slot", slot(df)).withColumn("__bucket", F.shiftright("__slot", 15))
-            .join(F.broadcast(bits.withColumnRenamed("bucket", "__bucket")), "__bucket", "left")
-            .withColumn(flag, F.coalesce(
-                F.expr("shiftright(cast(conv(hex(substring(__bitmap, cast(((__slot & 32767) >> 3) + 1 AS int), 1)), 16, 10)"
-                       " AS int), cast(__slot & 7 AS int)) & 1 = 1"), F.lit(False)))
-            .drop("__slot", "__bucket", "__bitmap"))
+            .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits")))
+    rows = (df.select(F.struct(*(named(c) for c in df.columns)).alias("row"), slot([named(c) for c in on]).alias("slot"))
+            .withColumn("bucket", F.shiftright("slot", 15)))
+    return (rows.join(F.broadcast(bits), "bucket", "left")
+            .withColumn("maybe", F.coalesce(
+                F.expr("shiftright(cast(conv(hex(substring(bits, cast(((slot & 32767) >> 3) + 1 AS int), 1)), 16, 10)"
+                       " AS int), cast(slot & 7 AS int)) & 1 = 1"), F.lit(False)))
+            .select("row.*", F.col("maybe").alias(flag)))
 
 
 def without(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The rows of ``df`` whose ``on`` columns don't occur in ``keys``; only rows that the filter flags are shuffled."""
-    marked = flagged(df, keys, on, "__maybe")
-    return (marked.where(~F.col("__maybe")).drop("__maybe")
-            .unionByName(marked.where("__maybe").drop("__maybe").join(keys.select(*on), on, "left_anti")))
+    names = [f"key{i}" for i in range(len(on))]
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"),
+                     *(F.col(f"`{c}`").alias(n) for c, n in zip(on, names)))
+    gone = keys.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(on, names)))
+    marked = flagged(rows, gone, names)
+    return (marked.where(~F.col("maybe")).select("row.*")
+            .unionByName(marked.where("maybe").join(gone, names, "left_anti").select("row.*")))

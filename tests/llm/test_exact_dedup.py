@@ -4,6 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from convops.llm import exact_dedup as X
+from convops.llm.shared import without
 
 SCHEMA = "doc_id long, text string, digest string, file int, at int, kept string, row int"
 ROWS = [(1, "a"), (2, "b"), (3, "a"), (3, "a"), (4, None), (5, ""), (None, "b"), (None, "z"), (None, "z"),
@@ -69,3 +70,13 @@ def test_empty_table(spark):
     docs = frame(spark, [])
     assert X.dedup(docs).count() == 0
     assert X.kept_rows(docs).count() == 0
+
+
+def test_columns_with_the_names_used_inside(spark):
+    rows = [(1, "a", "m", "s", 1, True), (2, "a", "m2", "s2", 2, False), (3, "b", "m3", "s3", 3, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_metadata` string, `__slot` string, at int, maybe boolean")
+    out = X.kept_rows(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows[1:]
+    kept = {"keep": [5, 6]}
+    left = without(docs, spark.createDataFrame([(i,) for i in kept["keep"] + [1]], "doc_id long"), ["doc_id"])
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == rows[1:]

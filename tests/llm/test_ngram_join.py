@@ -101,3 +101,15 @@ def test_hashed_shingles_are_the_sets(monkeypatch):
         for j in range(0, len(texts), 5):
             assert len(set(got[i].tolist()) & set(got[j].tolist())) == len(shingles(texts[i]) & shingles(texts[j]))
     assert [len(s) for s in slices(pa.array(["ab", None, "c" * 50, "d"]), 3)] == [2, 1, 1]
+
+
+def test_rows_decide_not_ids(spark):
+    a, b = "one two three four five six seven eight nine ten eleven", "quite another text with other words in it today"
+    near = a + " twelve"
+    rows = [(1, a), (2, near), (2, b), (None, a), (None, near), (7, None), (7, ""), (9, b), (9, b)]
+    docs = (spark.createDataFrame([(i, t, f"s{k}", k, "b", "m", "f", 1) for k, (i, t) in enumerate(rows)],
+                                  "doc_id long, text string, `__slot` string, row int, `__bitmap` string, "
+                                  "`_metadata` string, file string, at int").coalesce(1))
+    out = N.without_near_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["row"], r["__slot"]) for r in out.collect()) == [(0, "s0"), (2, "s2"), (5, "s5"), (6, "s6")]
