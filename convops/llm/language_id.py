@@ -7,7 +7,9 @@ text, whose letter frequencies then count too. A text whose two best languages s
 unreliable.
 
 The dictionaries are the classifier: they come from a bounded sample (at most ``SAMPLE_DOCS`` documents a language,
-taken in the order of a hash of their ids, at most ``DICTIONARY_BYTES`` in all). Every text is read whole.
+taken in the order of a hash of their ids, at most ``DICTIONARY_BYTES`` in all), which leaves a long text a share of
+``PIECES`` pieces of ``PIECE_CHARS`` characters spread evenly from its start to its end. The ``LANGUAGES`` most frequent
+values are learned. Every text is judged whole.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and not reliable; languages whose
 dictionaries tie are ordered by the learned documents' number, then by name; with nothing to learn from every text is ``und``; null languages and null ids
@@ -21,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convops.llm.shared import documents, remainder
 
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 1500
+PIECES, PIECE_CHARS = 6, 250
+LANGUAGES = 1000
 DICTIONARY_BYTES = 160_000
 BLOCK = 8192
 #: Learned text before a text that is looked at again; not part of the dictionary.
@@ -46,18 +49,31 @@ def letters(text: str | None) -> str:
 
 def dictionaries(learned: DataFrame) -> dict[str, bytes]:
     """Language -> learned content, most frequent language first, from (doc_id, text, lang)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = learned.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    some = (known.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= SAMPLE_DOCS))
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    size = {r["lang"]: r["count"] for r in sizes.collect()}
+    counts = known.sparkSession.createDataFrame(list(size.items()), "lang string, n long")  # at most LANGUAGES rows
+    # a language's smallest hashes: those below a bound that about twice as many as are taken lie under come together
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    some = (known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(counts), "lang")
+            .where(F.col("place").cast("double") * F.col("n") < F.lit(float(2 * SAMPLE_DOCS << 40)))
+            .select("doc_id", "lang", "place").distinct().withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= SAMPLE_DOCS).select("doc_id", "lang", "rank"))
     # at most SAMPLE_DOCS ids a language; of several texts under one id the greatest is learned
-    texts = known.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    sample = (texts.join(F.broadcast(some), ["doc_id", "lang"]).groupBy("lang", "rank")
-              .agg(F.max("text").alias("text")).collect())
-    size = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"])
+    sample = (texts.groupBy("lang", "rank").agg(F.max("text").alias("text"))
+              .select("lang", "rank", spread("text").alias("text")).collect())
     return content_of([(r["lang"], r["text"]) for r in sorted(sample, key=lambda r: (r["rank"], r["text"]))], size)
 
 
+def spread(c: str) -> Column:
+    """The text, or of one longer than PIECES * PIECE_CHARS as many pieces as that, evenly spread over all of it."""
+    step = (F.length(c) - PIECE_CHARS) / F.lit(PIECES - 1)
+    pieces = [F.substring(F.col(c), F.floor(step * i).cast("int") + 1, F.lit(PIECE_CHARS)) for i in range(PIECES)]
+    return F.when(F.length(c) <= PIECES * PIECE_CHARS, F.col(c)).otherwise(F.concat_ws(" ", *pieces))
+
+
 def content_of(sample: list[tuple[str, str]], size: dict[str, int]) -> dict[str, bytes]:
     out: dict[str, bytes] = {k: b"" for k in sorted(size, key=lambda k: (-size[k], k))}
     for lang, text in sample:

@@ -25,9 +25,7 @@ from convops.llm.shared import documents, remainder
 
 SAMPLE_ROWS = 10_000
 TREES, DEPTH, CUTS, RATE = 40, 3, 24, 0.3
-PENALTIES = (0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001)
-#: Log loss that may be given up for fewer rules.
-SPARSITY_LOSS = 0.01
+PENALTIES = (0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001, 0.0005, 0.0003)
 THRESHOLD = 0.3
 
 
@@ -172,9 +170,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 0) -> Ensemb
             w = lasso(a[~fold], y[~fold], penalty, w)
             p = np.clip(_sigmoid(a[fold] @ w[:-1] + w[-1]), 1e-6, 1 - 1e-6)
             loss = -(y[fold] * np.log(p) + (1 - y[fold]) * np.log(1 - p))
-            tried.append((loss.mean(), loss.std() / np.sqrt(len(loss)), penalty))
-        low, error, _ = min(tried)
-        penalty = max(p for loss, _, p in tried if loss <= low + error + SPARSITY_LOSS)  # the sparsest that is near
+            tried.append((float(loss.mean()), penalty))
+        penalty = min(tried)[1]
     w = lasso(a, y, penalty, steps=600)
     rules = tuple(Rule(p, round(float(v), 6)) for p, v in zip(paths, w) if abs(v) > 1e-3)
     return Ensemble(rules, round(float(w[-1]), 6))

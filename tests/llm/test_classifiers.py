@@ -112,3 +112,23 @@ def test_smallest_compressed_size_wins():
     judge = L.classifier({k: (v + " ").encode() * 40 for k, v in WORDS.items()})
     assert judge("this water and that stone")[0] == "en"
     assert not judge("zq")[2]  # a narrow margin is rejected
+
+
+def test_long_texts_are_learned_from_start_to_end(spark):
+    text = "".join(f"[{i:05d}]" for i in range(4000))
+    df = spark.createDataFrame([(text,), ("short",), ("",)], "text string")
+    got = [r[0] for r in df.select(L.spread("text")).collect()]
+    assert got[1:] == ["short", ""]
+    pieces = got[0].split(" ")
+    assert len(pieces) == L.PIECES and all(len(p) == L.PIECE_CHARS for p in pieces)
+    assert pieces[0] == text[:L.PIECE_CHARS] and pieces[-1] == text[-L.PIECE_CHARS:]
+    assert all(p in text for p in pieces)
+
+
+def test_ties_go_to_the_more_frequent_language_then_the_name():
+    same = [("b", "the very same words are learned here"), ("a", "the very same words are learned here"),
+            ("c", "the very same words are learned here")]
+    judge = L.classifier(L.content_of(same, {"a": 1, "b": 1, "c": 2}))
+    assert judge("the very same words")[::2] == ("c", False)
+    judge = L.classifier(L.content_of(same, {"a": 1, "b": 1, "c": 1}))
+    assert judge("the very same words")[0] == "a"

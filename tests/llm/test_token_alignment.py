@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 from collections import Counter
 
@@ -81,10 +82,10 @@ def by_hand(rows, plain):
             continue
         a, b, ra, rb = f
         cuts = sorted({e for _, e in ra} & {e for _, e in rb})
-        groups, s = [], 0
-        for cut in cuts:
-            groups.append(([i for i, (x, _) in zip(a, ra) if s <= x < cut], [i for i, (x, _) in zip(b, rb) if s <= x < cut]))
-            s = cut
+        groups = [([], []) for _ in cuts]
+        for ids, ranges, side in ((a, ra, 0), (b, rb, 1)):
+            for i, (x, _) in zip(ids, ranges):
+                groups[bisect.bisect_right(cuts, x)][side].append(i)
         text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
         out.append((doc_id, len(a), len(b), len(groups), len(pairs), sum(counts[p] == top[p[1]] for p in pairs),
                     sum(counts[p] for p in pairs), hashlib.sha256(text.encode()).hexdigest(),
