@@ -1,10 +1,15 @@
+import math
+import re
+from collections import defaultdict
+
 from convops.llm import html_extraction as H
+from tests.conftest import SF01
 
 SCHEMA = "page_id long, url string, html string, text string, host int"
 
 
 def text(page):
-    return "\n\n".join(t for t, _ in H.blocks(page))
+    return "\n\n".join(b.text for b in H.chosen(H.blocks(page)))
 
 
 def run(spark, rows):
@@ -45,8 +50,57 @@ def test_subtrees_that_recur_on_a_host_go(spark):
 
 
 def test_passages_that_articles_share_stay(spark):
-    rows = [(i, "http://a.example/", f"<article><p>shared</p><div><p>note</p></div><p>own {i}</p></article>") for i in range(8)]
-    assert run(spark, rows)[2] == "shared\n\nown 2"
+    """At other places than a notice, which stands at the same one everywhere."""
+    rows = []
+    for i in range(20):
+        paragraphs = [f"<p>own {i} {k}</p>" for k in range(6)]
+        paragraphs.insert(1 + i % 5, "<p>shared</p>")
+        rows.append((i, "http://a.example/", f"<article>{''.join(paragraphs)}<p>Subscribe to our newsletter today</p></article>"))
+    got = run(spark, rows)
+    assert all("shared" in t and "Subscribe" not in t and f"own {i} 5" in t for i, t in got.items())
+
+
+def test_a_block_on_some_pages_of_a_host_goes(spark):
+    """A tenth of 100 pages; copies of one page are one page and lose nothing."""
+    rows = [(i, "http://a.example/", "<article>" + ("<div><p>Vote now</p></div>" if i % 10 == 0 else "")
+             + f"<p>story {i}</p></article>") for i in range(100)]
+    rows += [(200 + i, "http://b.example/", "<article><div><p>Copied</p></div><p>again</p></article>") for i in range(60)]
+    rows += [(300 + i, "http://b.example/", f"<article><p>page {i}</p></article>") for i in range(20)]
+    got = run(spark, rows)
+    assert [got[i] for i in (0, 10, 11)] == ["story 0", "story 10", "story 11"]
+    assert got[200] == got[259] == "Copied\n\nagain" and got[303] == "page 3"
+
+
+def test_all_articles_and_words_in_names():
+    assert text("<article><p>short</p></article><div><article><p>a much longer article</p></article></div><p>out</p>") \
+        == "short\n\na much longer article"
+    page = ("<article><p class='ad notice-period'>Legal notice period</p><div id='social-history'><p>Social history of "
+            "Rome</p></div><div class='cookie-notice x'>We use cookies</div><p>a <span class=share>tweet</span> b</p></article>")
+    assert text(page) == "Legal notice period\n\nSocial history of Rome\n\na b"
+
+
+def test_counts_equal_a_plain_recount(spark):
+    """All subtrees of the given pages, counted again without Spark."""
+    pages = spark.read.parquet(f"{SF01}/pages.parquet")
+    seen, prints = defaultdict(set), defaultdict(set)
+    rows = pages.select("url", "html").collect()
+    for r in rows:
+        host = re.match(r"\w+://(?:[^/?#@]*@)?([^/?#:]+)", r["url"])[1].lower()
+        found = H.blocks(r["html"])
+        whole = tuple(b.text for b in H.chosen(found))
+        prints[host].add(whole)
+        for b in found:
+            for n in b.within():
+                seen[host, n].add(whole)
+    want = defaultdict(set)
+    for (host, n), on in seen.items():
+        total = len(prints[host])
+        root = math.sqrt(total)
+        if len(on) >= max(5, min(total / 2, 4 * root) if n & 1 else min(total / 5, root)):
+            want[host].add(n)
+    assert len(seen) > len(rows)  # subtrees are hashed on every page
+    got = {r["host"]: set(r["template"]) for r in H.templates(pages).collect()}
+    assert got == dict(want)
 
 
 def test_few_pages_are_no_template_and_empty_table(spark):
