@@ -78,3 +78,78 @@ def test_hot_entity_and_empty_table(spark):
     docs = spark.createDataFrame([(i, "bob42@example.com") for i in range(500)], "doc_id long, text string")
     assert pii.replace(docs).select("text").distinct().count() == 1
     assert pii.replace(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_names_keep_their_people(spark):
+    texts = ["Mr John Smith met us. John Smith left. Mr Smith came back, John Smithson did not.",
+             "Mr John Paul Smith, Ms Smith-Jones, Mr O'Brien, Dr Anna Berg, Prof. Carl Hahn.",
+             "Госпожа Анна Иванова и господин Иванова; Анна Иванова.", "MR SMITH and mr. Smith; Frau Anna Berg-Hahn", "drift Mrs"]
+    _, got = run(spark, list(enumerate(texts)))
+    by_id = {i: b for i, _, b, _ in got}
+    one = re.fullmatch(r"Mr (\w+) (\w+) met us\. (\w+ \w+) left\. Mr (\w+) came back, John Smithson did not\.", by_id[0])
+    assert one[3] == f"{one[1]} {one[2]}" and one[4] == one[2] != "Smith" and one[1] in pii.GIVEN["m", "latin"]
+    two = re.fullmatch(r"Mr (\w+) (\w+) (\w+), Ms (\w+-\w+), Mr O'(\w+), Dr (\w+) (\w+), Prof\. (\w+) (\w+)\.", by_id[1])
+    assert two[1] == one[1] and two[3] == one[2] and two[2] != "Paul" and two[5] != "Brien" and two[4].istitle()
+    assert not {"Smith", "Jones", "Anna", "Berg", "Carl", "Hahn"} & set(re.findall(r"\w+", by_id[1]))
+    three = re.fullmatch(r"Госпожа (\w+) (\w+) и господин (\w+); (\w+ \w+)\.", by_id[2])
+    assert three[1] in pii.GIVEN["f", "cyrillic"] and three[4] == f"{three[1]} {three[2]}" and three[3] == three[2]
+    four = re.fullmatch(r"MR (\w+) and mr\. (\w+); Frau (\w+) (\w+-\w+)", by_id[3])
+    assert four[1] == one[2].upper() and four[2] == one[2] and four[3] in pii.GIVEN["f", "latin"]
+    assert by_id[4] == texts[4]
+
+
+def test_small_spaces_end(spark):
+    """More private addresses and one-letter mailboxes than their own space has free values."""
+    hosts = [("ip", f"192.168.{i // 254 + 1}.{i % 254 + 1}") for i in range(40_000)]
+    mails = [("email", f"{c}@one.example") for c in "abcdefghijklmnopqrstuvwxyz"]
+    numbers = [("ssn", f"7{i:02d}") for i in range(100)]
+    entities = spark.createDataFrame(hosts + mails + numbers, "kind string, value string")
+    got = {(r.kind, r.value): r.surrogate for r in pii.surrogates(entities, "k").collect()}
+    assert set(got) == {*hosts, *mails, *numbers} and len({(k, s) for (k, _), s in got.items()}) == len(got)
+    moved = [s for (k, _), s in got.items() if k == "ip"]
+    assert all(s.startswith(("192.168.", "10.")) for s in moved) and not set(moved) & {v for _, v in hosts}
+    assert all(re.fullmatch(r"[a-z]+@[a-z]{3}\.example", s) for (k, _), s in got.items() if k == "email")
+
+
+def plain(text, kinds):
+    """Mentions of a text by the same patterns, one by one."""
+    return [(m.group(0), next(k for k in kinds if re.fullmatch(PATTERNS[k], m.group(0)))) for m in ENTITY.finditer(text)]
+
+
+def _python(pattern):
+    for a, b in (("\\p{Lu}", "[A-ZÀ-ÞА-ЯЁ]"), ("\\p{L}\\p{N}", "^\\W_"), ("\\p{L}", "[^\\W\\d_]")):
+        pattern = pattern.replace(a, b)
+    return pattern.replace("[^\\W_]", "[^\\W_]").replace("(?iu:", "(?i:")
+
+
+PATTERNS = {k: _python(p) for k, p in pii._PATTERNS.items()}
+ENTITY = re.compile("|".join(f"(?:{p})" for p in PATTERNS.values()))
+KINDS = ("secret", "key", "email", "name", "ip", "ssn", "phone", "card")
+
+
+def test_replacement_equals_plain_python(spark):
+    """Between mentions nothing changes, every mention is another string of its kind, equal ones alike everywhere."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in pii.replace(docs, "k").select("row.text", "text", "entities").collect()]
+    seen, hits = {}, 0
+    for before, after, n in rows:
+        found = plain(before or "", KINDS)
+        assert n == len(found)
+        hits += n
+        at_b = at_a = 0
+        names = any(k == "name" for _, k in found)
+        for mention, kind in found:
+            if kind == "name" or names:
+                continue
+            s = before.index(mention, at_b)
+            gap = s - at_b
+            assert after[at_a:at_a + gap] == before[at_b:s]
+            rest = after[at_a + gap:]
+            now = rest[:len(mention)] if kind not in ("ip", "email") else re.match(PATTERNS[kind], rest)[0]
+            if kind in ("phone", "card", "ssn"):
+                assert re.sub(r"\d", "0", now) == re.sub(r"\d", "0", mention)
+            assert now != mention and seen.setdefault((kind, mention), now) == now
+            at_b, at_a = s + len(mention), at_a + gap + len(now)
+        if not names:
+            assert (after or "")[at_a:] == (before or "")[at_b:]
+    assert hits > 20 and len(set(seen.values())) == len(seen)
