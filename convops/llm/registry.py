@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from convops.llm import (
     ann, centroids, exact_dedup, html_extraction, language_id, masked_lm, ngram_join, packing, pii, quality, sentencepieces,
     token_alignment, toxicity,
 )
+from convops.llm.shared import small_batches
+
+
+def _bounded(fn):
+    @wraps(fn)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return fn(spark, sf_dir)
+    return run
+
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -22,6 +34,7 @@ QUERIES = {
     "op12_toxicity": toxicity.op12_toxicity,
     "op13_centroid_clusters": centroids.op13_centroid_clusters,
 }
+QUERIES = {name: _bounded(fn) for name, fn in QUERIES.items()}
 
 ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,

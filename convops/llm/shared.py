@@ -40,6 +40,16 @@ def discard(spark: SparkSession, *what: DataFrame | str) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows and bytes that Spark hands to a Python worker at a time: whole texts are long, and buffers outside the heap on
+#: both sides grow with a batch.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
+
+
 def broadcast_value(spark: SparkSession, value):
     """A broadcast of any value, classes of this subpackage included; ``received`` reads it in a task."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
