@@ -8,11 +8,13 @@ Whatever else ``docs`` holds is kept and never read: rows with null ids or texts
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convops.llm import exact_dedup, ngram_join, packing, pii, quality
-from convops.llm.shared import documents, stored
+from convops.llm.shared import documents, small_batches, stored
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a shingle similarity of 0.8 or more, directly or over others, the smallest id stays."""
+    """Of rows linked by a shingle similarity of 0.8 or more, directly or over others, the one with the smallest id stays
+    (of equal ids the earliest in storage)."""
     return ngram_join.without_near_copies(docs)
 
 
@@ -46,13 +49,21 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.digests(packing.pack(docs, **packing.public_vocabulary()))
 
 
-STAGES = [
+def _bounded(stage):
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+STAGES = [(name, _bounded(stage)) for name, stage in [
     ("quality classifier", reject_low_quality),
     ("exact dedup", drop_exact_copies),
     ("n-gram Jaccard join", drop_near_copies),
     ("PII", replace_personal_data),
     ("packing", pack_sequences),
-]
+]]
 
 ORACLE_SQL = None  # model fitting, keyed surrogates and tokenisation are not SQL
 
