@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Time zone: all platform timestamps are wall-clock (timestamp_ntz); UTC keeps any
 # cast to a zoned timestamp (needed by watermarks) exact.
@@ -65,3 +66,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="convops-ckpt-")  # single-JVM runs only (tests, bench)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` computed once and stored as Parquet under the checkpoint folder: cuts the lineage like a checkpoint, which
+    would compute it twice, and gives the planner its size."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
