@@ -136,6 +136,19 @@ def _admit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete_decisions(spark, f"{root}/source", f"{root}/sink")
 
 
+def _admit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limiter over stored counts, batch by batch, on the same replayed log."""
+    from convops.sources.store import new_version_dir
+    from convops.streaming.admit_batches import admit_in_batches
+    from convops.streaming.admit_stream import read_requests
+    t = bind(spark, sf_dir)
+    req = Q.admit_messages(t)
+    root = new_version_dir(spark, label="admit-batches")
+    req.write.mode("errorifexists").parquet(f"{root}/source")
+    prior = t.message.join(req.select(F.col("req_id").alias("message_id")), "message_id", "left_anti")
+    return admit_in_batches(read_requests(spark, f"{root}/source"), root, lambda s: bind(s, sf_dir), prior)
+
+
 def _facts(df: DataFrame, name: str) -> DataFrame:
     """One row per column: rows, rows with a value, least and greatest value as text (one aggregate pass, every
     column read)."""
@@ -176,6 +189,7 @@ def rule_queries() -> dict[str, Query]:
     out = {name: _decisions(name) for name in RULE_JOBS + ["admit_messages", "add_bookmarks"]}
     out["cascade_delete"] = _cascade
     out["admit_messages_stream"] = _admit_stream
+    out["admit_messages_batches"] = _admit_batches
     out["scan_tables"] = _scan_tables
     out["write_version"] = _write_version
     out |= {f"{job}__{table}": _version(job, table) for job, table in VERSION_KEYS}
