@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convops.sources.schemas import SCHEMAS, TABLES
+from convops.sources.store import read_table
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -345,9 +346,10 @@ RAW_TABLES = ("customer", "nation", "region", "supplier", "part", "orders", "eve
 
 
 def load(spark: SparkSession, platform_dir: str, raw_dir: str | None = None) -> Tables:
-    """Platform tables materialised as parquet under ``platform_dir/<table>`` (explicit schemas). ``raw_dir``
+    """Platform tables materialised as parquet under ``platform_dir/<table>`` (explicit schemas, checked against the
+    files when a table is first used). ``raw_dir``
     additionally exposes the raw tables (``raw_<name>``) from which request tables are derived."""
-    builders = {name: (lambda n: (lambda tt: spark.read.schema(SCHEMAS[n]).parquet(os.path.join(platform_dir, n))))(name)
+    builders = {name: (lambda n: (lambda tt: read_table(spark, os.path.join(platform_dir, n), n)))(name)
                 for name in TABLES}
     builders["message_raw"] = lambda tt: spark.read.parquet(os.path.join(platform_dir, "message_raw"))
     t = Tables(spark, builders)

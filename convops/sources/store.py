@@ -12,6 +12,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from convops.session import checkpoint_dir
 from convops.sources.schemas import PRIMARY_KEYS, SCHEMAS, TABLES
@@ -66,11 +67,44 @@ def read_version(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
     return {name: read_table(spark, os.path.join(out_dir, name), name) for name in names}
 
 
+class SchemaMismatch(ValueError):
+    """Stored files that don't hold the columns of their table; ``findings`` has one (column, problem) each."""
+
+    def __init__(self, name: str, path: str, findings: list[tuple[str, str]]):
+        self.findings = findings
+        super().__init__(f"{name} at {path}: " + "; ".join(f"column {c}: {problem}" for c, problem in findings))
+
+
+def schema_findings(found: StructType, wanted: StructType) -> list[tuple[str, str]]:
+    """(column, problem) for every column that is missing or of another type. Further columns are no problem: they
+    aren't read. Names are compared as Spark resolves them, in any case."""
+    types: dict[str, list] = {}
+    for f in found.fields:
+        types.setdefault(f.name.lower(), []).append(f.dataType)
+    out = []
+    for f in wanted.fields:
+        own = types.get(f.name.lower(), [])
+        if not own:
+            out.append((f.name, "missing"))
+        elif len(own) > 1:
+            out.append((f.name, "there more than once"))
+        elif own[0] != f.dataType:
+            out.append((f.name, f"{own[0].simpleString()} instead of {f.dataType.simpleString()}"))
+    return out
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    reader = spark.read
-    if name in SCHEMAS:
-        reader = reader.schema(SCHEMAS[name])
-    return reader.parquet(path)
+    """A stored table with its declared types.
+
+    Reading with a given schema would turn a column that the files don't have into NULLs without a word, so the files'
+    own schema (from a footer, no rows) is compared first and a table with a finding is refused.
+    """
+    if name not in SCHEMAS:
+        return spark.read.parquet(path)
+    findings = schema_findings(spark.read.parquet(path).schema, SCHEMAS[name])
+    if findings:
+        raise SchemaMismatch(name, path, findings)
+    return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
 def materialize(t, out_dir: str) -> dict[str, str]:

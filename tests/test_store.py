@@ -8,13 +8,14 @@ import uuid
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from convops.plans import reports as R
 from convops.plans.registry import run_job
 from convops.session import checkpoint_dir
 from convops.sources.binding import _MATERIALIZED, bind, load, register_materialized
 from convops.sources.schemas import SCHEMAS, TABLES
-from convops.sources.store import materialize, read_table, read_version, write_version
+from convops.sources.store import SchemaMismatch, materialize, read_table, read_version, write_tables, write_version
 from tests.conftest import SF001, rows
 
 
@@ -65,3 +66,22 @@ def test_a_stored_copy_gives_the_same_findings_by_path_and_by_uri(spark, tmp_pat
     materialize(t, folder)
     want = rows(audit_enums(t))
     assert want and rows(audit_enums(load(spark, folder))) == rows(audit_enums(load(spark, f"file://{folder}"))) == want
+
+
+def test_a_copy_that_lacks_a_column_is_refused_by_name(spark, tmp_path):
+    t = bind(spark, SF001)
+    folder = str(tmp_path / "platform")
+    materialize(t, folder)
+    broken = str(tmp_path / "broken")
+    frames = {name: t[name] for name in TABLES}
+    frames["invoice"] = t.invoice.drop("payment_status").withColumn("amount", F.col("amount").cast("double"))
+    frames["tier"] = t.tier.withColumn("note", F.lit("more")).select("note", *reversed(t.tier.columns))
+    write_tables(frames, broken)
+    stored = load(spark, broken)
+    with pytest.raises(SchemaMismatch, match="invoice at .*: column amount: double instead of decimal.*; column payment_status: missing"):
+        stored.invoice
+    assert rows(stored.tier) == rows(t.tier)  # further columns and another order change nothing
+    with pytest.raises(SchemaMismatch) as e:
+        read_table(spark, f"{broken}/invoice", "invoice")
+    assert [c for c, _ in e.value.findings] == ["amount", "payment_status"]
+    assert rows(load(spark, folder).invoice) == rows(t.invoice)
