@@ -94,7 +94,7 @@ def test_stages_take_empty_docs_and_extra_columns(spark, stages):
 
 def test_all_queries_are_registered():
     names = E.queries()
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == sorted(
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == sorted(
         registry.QUERIES, key=lambda n: int(re.match(r"op(\d+)", n)[1]))
     assert "pipeline" in names and set(registry.ORACLE_SQL) <= set(E.oracle_sql())
 
