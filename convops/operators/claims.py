@@ -5,8 +5,10 @@ no other owner holds the value at that moment; the owner's former value is free
 gets this by doing one after the other. Here all requests are judged together, in steps that stay in Spark.
 
 What needs no others is decided at first sight, by one row per value and owner. The rest falls into parts that share no
-owner and no wanted value; small ones are dealt to tasks, which decide their requests one after the other. Large parts
-(a hot value, a long chain) are judged in rounds. A round looks at spans: a granted request (or what an owner held before the batch) holds its value until the owner's
+owner and no wanted value; small ones (or all of it, if it is no larger than a small part may be) are dealt to tasks,
+which decide their requests one after the other. Large parts (a hot value, a long chain) are judged in rounds.
+
+A round looks at spans: a granted request (or what an owner held before the batch) holds its value until the owner's
 next grant of another one, an undecided request might. Running extremes per owner give each span's latest end (the next
 grant for certain) and the undecided requests of the owner that might end it sooner; running extremes per value give
 the spans that reach a request. Then
@@ -211,6 +213,10 @@ def _in_small_parts(rows: DataFrame, small_rows: int) -> DataFrame:
     def least(frame: DataFrame, by: str) -> DataFrame:
         own = frame.where("label IS NOT NULL").groupBy(by).agg(F.min("label").alias("least"))
         return (frame.join(own, by, "left").withColumn("label", F.coalesce("least", "label")).drop("least"))
+    columns = ["label", "id", "owner", "value", "at", "granted"]
+    if part.count() <= small_rows:  # all of them are small enough to be one part
+        return (part.withColumn("label", F.lit(0)).select(columns)
+                .groupBy("label").applyInPandas(grants_in_order, "id long, granted boolean"))
     for _ in range(LABEL_STEPS):
         by_owner = least(part, "owner")
         part = kept(least(by_owner.where("live"), "value").unionByName(by_owner.where("NOT live")), "claims")
@@ -222,7 +228,7 @@ def _in_small_parts(rows: DataFrame, small_rows: int) -> DataFrame:
             & (~F.col("live") | (F.col("value_low") == F.col("value_high"))))
     closed = (whole.groupBy("label").agg(F.min(same.cast("int")).alias("same"), F.count(F.lit(1)).alias("n"))
               .where(f"same = 1 AND n <= {small_rows}").select("label"))
-    return (part.join(closed, "label", "left_semi").select("label", "id", "owner", "value", "at", "granted")
+    return (part.join(closed, "label", "left_semi").select(columns)
             .groupBy("label").applyInPandas(grants_in_order, "id long, granted boolean"))
 
 

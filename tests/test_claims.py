@@ -61,7 +61,7 @@ def test_many_small_parts_take_no_round(spark, rounds):
     requests = [(T0 + dt.timedelta(seconds=i), i, o, f"p{o // 4}v{rng.randrange(5)}")
                 for i, o in enumerate(rng.choices(range(400), k=1500))]
     requests += [(T0 + dt.timedelta(seconds=5000 + o), 5000 + o, o, f"own{o}") for o in range(400)]
-    assert decided(spark, requests, holders, claims.SMALL_ROWS) == one_by_one(requests, holders) and not rounds
+    assert decided(spark, requests, holders, 600) == one_by_one(requests, holders) and not rounds
 
 
 def test_values_held_by_several(spark):
