@@ -452,7 +452,7 @@ def rules_sql() -> dict[str, str]:
     out["admit_messages_stream"] = with_binding(
         "select req_id, conversation_id, sender_role, status, reason from admitted",
         [("req", REQ["admit_messages"])] + EXTRA["admit_messages"] + [("admitted", BODY["admit_messages"])])
-    out["admit_messages_batches"] = out["admit_messages_stream"]
+    out["admit_messages_batches"] = out["admit_messages_processor"] = out["admit_messages_stream"]
     out["scan_tables"] = with_binding("\nunion all\n".join(_facts(n, n, cols) for n, cols in COLUMNS.items()))
     out["write_version"] = with_binding(
         "\nunion all\n".join(_facts(n, f"({sql})", cols) for n, sql, cols in (

@@ -149,6 +149,20 @@ def _admit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admit_in_batches(read_requests(spark, f"{root}/source"), root, lambda s: bind(s, sf_dir), prior)
 
 
+def _admit_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limiter as a stateful processor with initial counts, on the same replayed log."""
+    from convops.sources.store import new_version_dir
+    from convops.streaming.admit_processor import admit_processor
+    from convops.streaming.admit_stream import read_requests, run_to_completion
+    t = bind(spark, sf_dir)
+    req = Q.admit_messages(t)
+    root = new_version_dir(spark, label="admit-processor")
+    req.write.mode("errorifexists").parquet(f"{root}/source")
+    prior = t.message.join(req.select(F.col("req_id").alias("message_id")), "message_id", "left_anti")
+    run_to_completion(admit_processor(t, read_requests(spark, f"{root}/source"), prior), f"{root}/sink", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/sink")
+
+
 def _facts(df: DataFrame, name: str) -> DataFrame:
     """One row per column: rows, rows with a value, least and greatest value as text (one aggregate pass, every
     column read)."""
@@ -190,6 +204,7 @@ def rule_queries() -> dict[str, Query]:
     out["cascade_delete"] = _cascade
     out["admit_messages_stream"] = _admit_stream
     out["admit_messages_batches"] = _admit_batches
+    out["admit_messages_processor"] = _admit_processor
     out["scan_tables"] = _scan_tables
     out["write_version"] = _write_version
     out |= {f"{job}__{table}": _version(job, table) for job, table in VERSION_KEYS}
