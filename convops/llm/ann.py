@@ -2,7 +2,9 @@
 
 Every vector gets one more component that makes all norms equal, so that largest inner product is smallest distance.
 Vectors are dealt to lists by k-means centres (fitted on a bounded sample; every row is indexed). Lists are cut into
-cells of bounded size; a query visits all cells of its nearest lists. In a cell, vectors are randomly rotated and
+cells of bounded size, by vectors and by the queries that visit this list; a query visits all cells of its nearest lists.
+There are about sqrt(rows) lists, at most one per 8 rows of the sample and ``max_lists``: larger tables ask for a larger
+``sample`` and ``max_lists``. In a cell, vectors are randomly rotated and
 compared block of columns by block: after t of D columns the partial distance estimates the whole one, and a
 hypothesis test drops the candidate when the estimate is too large for the query's bound. What survives all columns
 is scored exactly on the original vectors in double precision.
@@ -65,18 +67,19 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 12) ->
 
 
 class Index:
-    """What all tasks share; its size depends on SAMPLE and MAX_LISTS only."""
+    """What all tasks share; its size depends on the sample and the number of lists only."""
 
-    def __init__(self, ids: np.ndarray, sample: np.ndarray, rows: int, norm: float, seed: int = 7):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, rows: int, norm: float, max_lists: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.norm = norm
         self.ids, self.sample = ids, sample
-        lists = int(np.clip(np.sqrt(rows), 1, min(MAX_LISTS, max(1, len(ids) // 8)))) if rows >= 1000 else 1
+        lists = int(np.clip(np.sqrt(rows), 1, min(max_lists, max(1, len(ids) // 8)))) if rows >= 1000 else 1
         self.centres = kmeans(self.lifted(sample), lists, rng)
         self.rotation = np.linalg.qr(rng.normal(size=(self.dim + 1, self.dim + 1)))[0]
         self.sizes = np.zeros(lists, np.int64)
         self.visits = lists
+        self.chunks = np.ones(lists, np.int64)
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.norm ** 2 - (x ** 2).sum(1), 0))
@@ -86,6 +89,13 @@ class Index:
         """Lists of each query, nearest first (a query's added component is zero)."""
         return np.argsort((self.centres ** 2).sum(1) - 2 * q @ self.centres[:, :-1].T, 1, kind="stable")
 
+    def visited(self, q: np.ndarray, k: int) -> list[np.ndarray]:
+        """The lists that each query visits."""
+        order = self.by_nearness(q)
+        enough = np.cumsum(self.sizes[order], 1) >= 2 * k
+        visits = np.maximum(self.visits, np.where(enough.any(1), enough.argmax(1) + 1, order.shape[1]))
+        return [o[:n] for o, n in zip(order, visits)]
+
     def best_of_sample(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions in the sample or -1, scores) of each query's k best."""
         scores = q @ self.sample.T
@@ -141,8 +151,14 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest; queries: vec_id divisible by ``query_step``."""
+def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, recall: float = RECALL,
+               sample: int | None = None, max_lists: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k nearest; queries: vec_id divisible by ``query_step``.
+
+    ``sample`` rows (default SAMPLE) fit the index and are broadcast with it; ``max_lists`` (default MAX_LISTS) bounds
+    the lists.
+    """
+    sample, max_lists = sample or SAMPLE, max_lists or MAX_LISTS
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
                              F.col("embedding").cast("array<double>").alias("embedding"))
@@ -171,7 +187,7 @@ def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, rec
                       .collect(), key=lambda r: r["vec_id"])
         return np.array([r["vec_id"] for r in some], np.int64), matrix([bytes(r["vector"]) for r in some])
     is_query = F.pmod("vec_id", F.lit(query_step)) == 0
-    index = Index(*hashed(table, SAMPLE), facts["rows"], facts["norm"])
+    index = Index(*hashed(table, sample), facts["rows"], facts["norm"], max_lists)
     shared = broadcast_value(spark, index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +199,7 @@ def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, rec
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own.astype(np.int32))],
                                                  ["vec_id", "vector", "list"])
     lists = stored(table.mapInArrow(assign, "vec_id long, vector binary, list int"), "ann-lists")
-    for r in lists.groupBy("list").count().collect():  # at most MAX_LISTS rows
+    for r in lists.groupBy("list").count().collect():  # at most max_lists rows
         index.sizes[r["list"]] = r["count"]
 
     # how many lists to visit: exact neighbours of a few queries among all rows
@@ -210,11 +226,24 @@ def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, rec
         index.visits = int(ranks[min(len(ranks) - 1, int(recall * len(ranks)))]) + 1
     shared = broadcast_value(spark, index)
 
-    # cells: at most about CELL_ROWS vectors by CELL_ROWS queries; a hot list has many
+    # cells: at most about CELL_ROWS vectors by CELL_ROWS of the queries that visit the list; a hot list has many
     queries = lists.where(is_query)
-    parts = {i: int(-(-n // CELL_ROWS)) for i, n in enumerate(index.sizes.tolist())}
-    query_parts = int(-(-queries.count() // CELL_ROWS))
-    chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, query_parts))).cast("int")
+
+    def visitors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many queries visit each list, one sum per task."""
+        index = received(shared)
+        count = np.zeros(len(index.sizes), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                count += np.bincount(np.concatenate(index.visited(matrix(batch.column(1).to_pylist()), k)),
+                                     minlength=len(count))
+        some = np.nonzero(count)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["list", "n"])
+    asked = queries.mapInArrow(visitors, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()
+    for r in asked:  # at most max_lists rows
+        index.chunks[r["list"]] = -(-r["n"] // CELL_ROWS)
+    parts = [max(1, -(-n // CELL_ROWS)) for n in index.sizes.tolist()]
+    shared = broadcast_value(spark, index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query, with its bound, to the cells of its lists."""
@@ -228,19 +257,19 @@ def neighbours(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = K, rec
             _, scores = index.best_of_sample(ids, q, k)
             low = scores.min(1) if scores.shape[1] == k else np.full(len(ids), -np.inf)
             bound = np.where(np.isfinite(low), (q ** 2).sum(1) + index.norm ** 2 - 2 * low, np.inf)
-            order = index.by_nearness(q)
-            enough = np.cumsum(index.sizes[order], 1) >= 2 * k
-            visits = np.maximum(index.visits, np.where(enough.any(1), enough.argmax(1) + 1, order.shape[1]))
-            rows = [(i, v, b, int(cell), p) for i, v, b, o, n in zip(ids.tolist(), raw, bound.tolist(), order, visits)
-                    for cell in o[:n] for p in range(parts[int(cell)])]
+            rows = [(i, v, b, int(cell), p, int(index.chunks[cell]))
+                    for i, v, b, own in zip(ids.tolist(), raw, bound.tolist(), index.visited(q, k))
+                    for cell in own for p in range(parts[int(cell)])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.float64(), pa.int32(),
-                                                              pa.int32()))], ["vec_id", "vector", "bound", "list", "part"])
-    visits = (queries.mapInArrow(deal, "vec_id long, vector binary, bound double, list int, part int")
-              .withColumn("chunk", chunk))
-    cells = (lists.join(F.broadcast(spark.createDataFrame(list(parts.items()), "list int, parts int")), "list")
-             .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.greatest("parts", F.lit(1))).cast("int"))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(max(0, query_parts - 1)))))
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.float64(), pa.int32(), pa.int32(),
+                                                              pa.int32()))],
+                ["vec_id", "vector", "bound", "list", "part", "chunks"])
+    visits = (queries.mapInArrow(deal, "vec_id long, vector binary, bound double, list int, part int, chunks int")
+              .withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("chunks")).cast("int")))
+    sizes = [(i, n, int(c)) for i, (n, c) in enumerate(zip(parts, index.chunks))]
+    cells = (lists.join(F.broadcast(spark.createDataFrame(sizes, "list int, parts int, chunks int")), "list")
+             .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .select("vec_id", "vector", "list", "part", "chunk"))
 
     def search(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:

@@ -75,3 +75,29 @@ def test_scan_keeps_what_is_within_the_bound():
 
 def test_empty_table(spark):
     assert ann.neighbours(frame(spark, [])).count() == 0
+
+
+def test_recall_of_the_scan_with_more_rows_than_the_sample(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    x = (centres[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 32)) * 0.7).astype(np.float32).astype(float)
+    assert len(x) > 2 * ann.SAMPLE
+    got = {}
+    for r in ann.neighbours(frame(spark, [(i, v) for i, v in enumerate(x.tolist())]), query_step=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, len(x), 100)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-scores, 1, kind="stable")[:, :20]
+    assert set(got) == set(asked.tolist()) and all(len(g) == 20 for g in got.values())
+    assert sum(len(got[q] & set(w)) for q, w in zip(asked.tolist(), want.tolist())) >= 0.9 * want.size
+
+
+def test_a_larger_sample_and_more_lists_on_demand(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1500)]
+    got = {}
+    for r in ann.neighbours(frame(spark, rows), query_step=50, sample=400, max_lists=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, step=50)
+    assert sum(len(got[q] & {j for j, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
