@@ -2,8 +2,9 @@
 
 Every audit returns rows shaped ``(rule, table, key, detail)`` — one row per violation; an empty frame means the
 rule holds. Key-uniqueness and FD checks are aggregates (map-side partial counts, so a hot key collapses before the
-shuffle); reference checks are anti joins; value checks are plain filters fused into the scan stage. The metadata
-(keys, enums, lengths, foreign keys) comes from ``sources.schemas`` so adding a table extends every audit.
+shuffle); foreign keys are one aggregate over the ids of all tables; value checks are plain filters fused into the scan
+stage. The metadata (keys, enums, lengths, foreign keys) comes from ``sources.schemas`` so adding a table extends every
+audit.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convops.session import kept
 from convops.sources.binding import Tables
 from convops.sources.schemas import (CLOSED_TICKET_STATUSES, ENUMS, FOREIGN_KEYS, LENGTHS, PRIMARY_KEYS, TABLES,
                                      UNIQUE_KEYS, not_null_columns, text_columns)
@@ -189,16 +191,45 @@ def audit_ticket_closed(t: Tables) -> DataFrame:
     return _row_audit(t, {"ticket_closed"})
 
 
+def orphan_keys(t: Tables) -> DataFrame:
+    """(parent, key, fks): keys that rows refer to and their parent table doesn't hold; bit i of ``fks`` is set when
+    FOREIGN_KEYS[i] is broken there.
+
+    Every table is scanned once and gives, for each row, its own key as a parent and the keys it refers to; one
+    aggregate over (parent, key) decides all foreign keys. Its partial step collapses a hot key before the shuffle, and
+    nothing but ids is shuffled.
+    """
+    parents = {p: i for i, p in enumerate(dict.fromkeys((fk.parent, fk.parent_columns) for fk in FOREIGN_KEYS))}
+    entries: dict[str, list[str]] = {}
+
+    def add(table: str, parent: int, columns: tuple[str, ...], fks: int) -> None:
+        (column,) = columns  # all keys referred to have one column
+        entries.setdefault(table, []).append(
+            f"named_struct('parent', {parent}, 'key', cast({_q(column)} AS bigint), 'own', {str(not fks).lower()}, "
+            f"'fks', {fks}L)")
+    for (table, columns), i in parents.items():
+        add(table, i, columns, 0)
+    for n, fk in enumerate(FOREIGN_KEYS):
+        add(fk.child, parents[fk.parent, fk.parent_columns], fk.columns, 1 << n)
+    keys = _union([t[table].selectExpr(f"inline(array({', '.join(made)}))") for table, made in entries.items()])
+    return (keys.where("key IS NOT NULL").groupBy("parent", "key")
+            .agg(F.max("own").alias("own"), F.bit_or("fks").alias("fks"))
+            .where("NOT own").select("parent", "key", "fks"))
+
+
 def audit_foreign_keys(t: Tables) -> DataFrame:
-    out = []
-    for fk in FOREIGN_KEYS:
-        child = t[fk.child]
-        present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in fk.columns])
-        parent = t[fk.parent].select([F.col(p).alias(f"__p{i}") for i, p in enumerate(fk.parent_columns)])
-        cond = [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(fk.columns)]
-        orphans = child.where(present).join(parent, cond, "left_anti")
-        out.append(_shape(orphans, "foreign_key", fk.child, _key(PRIMARY_KEYS[fk.child]),
-                          F.lit(f"{','.join(fk.columns)} -> {fk.parent}")))
+    """References to rows that aren't there. ``orphan_keys`` is computed and stored first; only tables of a foreign key
+    that fails are read again for the rows to report."""
+    orphans = kept(orphan_keys(t), "orphan-keys")
+    broken = orphans.agg(F.bit_or("fks").alias("fks")).first()["fks"] or 0  # one row
+    out = [t.spark.createDataFrame([], "rule string, table string, key string, detail string")]
+    for n, fk in enumerate(FOREIGN_KEYS):
+        if broken >> n & 1:
+            (column,) = fk.columns
+            keys = orphans.where(F.col("fks").bitwiseAND(F.lit(1 << n)) != 0).select(F.col("key").alias("__key"))
+            rows = t[fk.child].join(keys, F.col(column) == F.col("__key"), "left_semi")
+            out.append(_shape(rows, "foreign_key", fk.child, _key(PRIMARY_KEYS[fk.child]),
+                              F.lit(f"{column} -> {fk.parent}")))
     return _union(out)
 
 
