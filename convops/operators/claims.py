@@ -20,8 +20,13 @@ the spans that reach a request. Then
   outcome or the opposite: these chains are also followed by pointer doubling, to their decided ends.
 
 The earliest undecided request is always certain, so rounds end. A chain of owners that wait for one another, however
-long, and a value that passes through many hands take a few rounds with a logarithmic number of joins each. Requests
-that wait for several undecided ones at once take a round for each such dependency that lies behind another.
+long, and a value that passes through many hands take a few rounds with a logarithmic number of joins each.
+
+Requests that wait for several undecided ones at once would take a round for each such dependency that lies behind
+another (a few owners that want the same few values again and again). So the earliest undecided requests are also decided
+in turns: a task gets a bounded number of rows, the earliest undecided requests with the grants between them and what
+was held before, and goes through them in order. A turn decides as many requests as it holds, however they depend on
+one another; rounds are tried again after 1, 2, 4, ... turns as long as they decide less than a turn.
 
 All scans split hot values and hot owners over tasks (``scans``); a request meets at most two spans, never all of its
 value. Nothing but counts reaches the driver.
@@ -29,10 +34,11 @@ value. Nothing but counts reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
-from itertools import chain, cycle
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +52,8 @@ BEFORE, AFTER = Decimal(-(10 ** 38) + 1), Decimal(10 ** 38 - 1)
 
 #: Rows of a part that one task decides one after the other, and the steps in which a part must be found.
 SMALL_ROWS, LABEL_STEPS = 10_000, 3
+#: Rows that one task goes through in a turn, batch by batch; it keeps who holds what.
+TURN_ROWS = 500_000
 #: Rows of a run that is scanned by one task.
 RUN_ROWS = 100_000
 
@@ -184,21 +192,36 @@ def _at_first_sight(asked: DataFrame, held: DataFrame) -> DataFrame:
     return rows.select("id", verdict.alias("granted")).where("granted IS NOT NULL")
 
 
-def grants_in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """id, granted of the undecided requests of a few rows that nothing else bears on, one after the other."""
-    held: dict = {}
-    holders: dict = {}
-    out = []
-    for at, id_, owner, value, granted in sorted(zip(rows["at"], rows["id"], rows["owner"], rows["value"], rows["granted"]),
-                                                 key=lambda r: r[0]):
+def _one_by_one(rows: Iterable[tuple], held: dict, holders: dict) -> tuple[list[int], list[bool]]:
+    """ids and outcomes of the undecided of ``rows`` (id, owner, value, granted) in their order. ``held``: owner -> value,
+    ``holders``: value -> owners; both follow."""
+    ids, outcomes = [], []
+    for id_, owner, value, granted in rows:
         if pd.isna(granted):
             granted = not holders.get(value, set()) - {owner}
-            out.append((int(id_), granted))
+            ids.append(int(id_))
+            outcomes.append(granted)
         if granted:
             holders.get(held.get(owner), set()).discard(owner)
             held[owner] = value
             holders.setdefault(value, set()).add(owner)
-    return pd.DataFrame(out, columns=["id", "granted"]).astype({"id": "int64", "granted": "bool"})
+    return ids, outcomes
+
+
+def grants_in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """id, granted of the undecided requests of a few rows that nothing else bears on, one after the other."""
+    ordered = sorted(zip(rows["at"], rows["id"], rows["owner"], rows["value"], rows["granted"]), key=lambda r: r[0])
+    ids, outcomes = _one_by_one((r[1:] for r in ordered), {}, {})
+    return pd.DataFrame({"id": ids, "granted": outcomes}).astype({"id": "int64", "granted": "bool"})
+
+
+def _grants_of_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same over batches of rows in their order; only who holds what is kept."""
+    held: dict = {}
+    holders: dict = {}
+    for batch in batches:
+        ids, outcomes = _one_by_one(zip(*(c.to_pylist() for c in batch.columns)), held, holders)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(outcomes, pa.bool_())], ["id", "granted"])
 
 
 def _in_small_parts(rows: DataFrame, small_rows: int) -> DataFrame:
@@ -232,9 +255,33 @@ def _in_small_parts(rows: DataFrame, small_rows: int) -> DataFrame:
             .groupBy("label").applyInPandas(grants_in_order, "id long, granted boolean"))
 
 
-def resolve_claims(requests: DataFrame, holders: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def _in_turn(rows: DataFrame, turn_rows: int) -> DataFrame:
+    """id, granted of the earliest undecided requests: those among the first ``turn_rows`` rows from the earliest on. All
+    that was asked before them is decided, so one task goes through them in order; of what is held before, it gets the
+    values asked for: with their holders that move in this turn, and one of those that don't."""
+    live = rows.where("granted IS NULL").select("value").distinct()
+    near = rows.join(live, "value", "left_semi").select("owner").distinct()
+    columns = ["id", "owner", "value", "at", "granted"]
+    seen = kept(rows.join(near, "owner", "left_semi").select(columns), "claims")
+    first = F.lit(seen.where("granted IS NULL").agg(F.min("at")).first()[0])
+    ahead = seen.where(F.col("at") >= first)
+    last = F.lit(ahead.select("at").orderBy("at").limit(turn_rows).agg(F.max("at")).first()[0])
+    turn = kept(ahead.where(F.col("at") <= last), "claims")
+    wanted = turn.where("granted IS NULL").select("value").distinct()
+    moving = turn.select("owner", F.lit(True).alias("moves")).distinct()
+    before = (seen.where(F.col("at") < first).groupBy("owner").agg(F.max(F.struct("at", "value")).alias("last"))
+              .select("owner", "last.value").join(wanted, "value", "left_semi").join(moving, "owner", "left"))
+    still = before.where("moves IS NULL").groupBy("value").agg(F.min("owner").alias("owner"))
+    start = before.where("moves").select("owner", "value").unionByName(still).select(
+        F.lit(None).cast("long").alias("id"), "owner", "value", _moment(BEFORE).alias("at"), F.lit(True).alias("granted"))
+    return (turn.unionByName(start).repartition(1).sortWithinPartitions("at").select("id", "owner", "value", "granted")
+            .mapInArrow(_grants_of_run, "id long, granted boolean"))
+
+
+def resolve_claims(requests: DataFrame, holders: DataFrame, small_rows: int = SMALL_ROWS,
+                   turn_rows: int = TURN_ROWS) -> DataFrame:
     """req_id, granted for requests (req_id, req_ts, owner, value; no nulls) given holders (owner, value; a row an
-    owner, no null owner). An owner's held null is no value."""
+    owner, no null owner). An owner's held null is no value. Without ``small_rows`` all is decided in rounds."""
     asked = kept(requests.select(F.col("req_id").cast("long").alias("id"), "owner", "value",
                                  order_key(requests, ["req_ts", "req_id"]).alias("at")), "claims")
     held = holders.where("value IS NOT NULL").select("value", "owner").distinct()
@@ -245,18 +292,26 @@ def resolve_claims(requests: DataFrame, holders: DataFrame, small_rows: int = SM
                             F.lit(True).alias("granted"))
     rows = (asked.withColumn("granted", F.lit(None).cast("boolean")).unionByName(start).join(several, "value", "left")
             .withColumn("shared", F.coalesce("shared", F.lit(False))))
-    left = asked.count()
-    ways = cycle([lambda rows: _in_small_parts(rows, small_rows), _round] if small_rows else [_round])
+    left, turns, ahead = asked.count(), 1, [lambda _: _at_first_sight(asked, relevant)]
     out = None
-    for way in chain([lambda _: _at_first_sight(asked, relevant)], ways):
-        if not left:
-            break
+    while left:
+        if not ahead and not small_rows:
+            ahead = [_round]
+        elif not ahead:
+            ahead = [lambda rows: _in_small_parts(rows, small_rows), _round, *[lambda rows: _in_turn(rows, turn_rows)] * turns]
+        way = ahead.pop(0)
+        if way is _round and small_rows and left <= turn_rows:
+            continue  # a turn is likely to be the last
         now = kept(way(rows), "claims")
         out = now if out is None else out.unionByName(now)
-        left -= now.count()
+        decided = now.count()
+        if way is _round:
+            turns = 1 if decided >= turn_rows else 2 * turns
+        left -= decided
         if left:
             outcome = now.select("id", F.col("granted").alias("outcome"))
             rows = kept(rows.join(outcome, "id", "left").withColumn("granted", F.coalesce("granted", "outcome"))
                         .drop("outcome").where("granted IS NULL OR granted"), "claims")
+            left = rows.where("granted IS NULL").count()
     out = asked.select("id", F.lit(None).cast("boolean").alias("granted")).limit(0) if out is None else out
     return out.select(F.col("id").alias("req_id"), "granted")

@@ -143,3 +143,16 @@ def test_blank_rows_of_a_user_day_are_decided_chunk_by_chunk():
     assert max(map(len, out)) <= 10 and state.value == (3,)
     got = {r.req_id: (r.status, r.reason) for r in pd.concat(out).itertuples()}
     assert got == {i: ("accepted", None) if i in (0, 4, 8) else ("rejected", "null" if i < 8 else "rate_limit") for i in range(40)}
+
+
+@pytest.mark.parametrize("turn_rows", [500_000, 70])
+def test_few_owners_of_few_values_take_turns(spark, rounds, turn_rows):
+    """Every request waits for several undecided ones: rounds alone would take one for each step."""
+    rng = random.Random(11)
+    holders = [(o, f"v{o % 3}") for o in range(5)] + [(o, "v1") for o in range(20, 40)]  # some never move
+    requests = [(T0 + dt.timedelta(seconds=i), i, rng.randrange(5), f"v{rng.randrange(4)}" if rng.random() < 0.7 else f"own{i}")
+                for i in range(400)]
+    df = spark.createDataFrame([(i, ts, o, v) for ts, i, o, v in requests], REQUESTS)
+    got = resolve_claims(df, spark.createDataFrame(holders, "owner long, value string"), 20, turn_rows).collect()
+    assert {r.req_id: r.granted for r in got} == one_by_one(requests, holders)
+    assert len(got) == len(requests) and len(rounds) <= 3
