@@ -43,8 +43,11 @@ BATCH = 8192
 RATE = 0.01
 SCORE_LIMIT = 60.0
 WARM_DOCS = 200
-#: Bytes of the texts whose bucketed words are written together.
-CHUNK_BYTES = 16 << 20
+#: Bytes and rows of the texts whose bucketed words are written together, over however many Arrow batches they come: a
+#: word is written once a chunk, so larger chunks write less.
+CHUNK_BYTES, CHUNK_ROWS = 16 << 20, 1 << 16
+#: Rows of a batch of them.
+WRITE_ROWS = 1 << 18
 #: A task gives its word counts away when it holds this many distinct words.
 HELD_WORDS = 1 << 20
 
@@ -302,35 +305,44 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, counted: Da
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()),
                  pa.list_(pa.float64())]
         chunk = TaskContext.get().partitionId() << 32
+        n, total, rare, place, done = [], [], [], [], []
+
+        def written() -> Iterator[pa.RecordBatch]:
+            ids = pa.concat_arrays(done).to_pylist()
+            lists = [pa.array([v], k) for v, k in zip((ids, np.concatenate(n), np.concatenate(total)), kinds[3:])]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.nulls(1, k) for k in kinds[1:3]), *lists], names)
+            own, places = np.concatenate(rare), np.concatenate(place)
+            order = np.argsort(own, kind="stable")
+            words, first = np.unique(own[order], return_index=True)
+            at = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)).astype(np.int32)), pa.array(places[order]))
+            for s in range(0, len(words), WRITE_ROWS):
+                some = words[s:s + WRITE_ROWS].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), chunk)), pa.array(some), at.slice(s, len(some)),
+                     *(pa.nulls(len(some), k) for k in kinds[3:])], names)
+            for held in (n, total, rare, place, done):
+                held.clear()
+        size, rows = 0, 0
         for batch in batches:
             row = 0
-            for part in slices(batch.column(1), CHUNK_BYTES):
-                n, total, rare, place, done = [], [], [], [], 0
-                for piece in slices(part, 2 << 20):
-                    words, at = word_hashes(piece)
-                    context, ids = vocabulary.windows(words, at)
-                    p = network.log_probability(context, ids)
-                    own = vocabulary.bucketed(ids)
-                    p[own] -= log_total[ids[own] - (vocabulary.size - vocabulary.buckets)]
-                    sums = np.concatenate([[0.0], np.cumsum(p)])
-                    n.append(np.diff(at))
-                    total.append(np.where(np.diff(at) > 0, sums[at[1:]] - sums[at[:-1]], 0.0))
-                    rare.append(words[own])
-                    place.append(np.repeat(np.arange(done, done + len(piece), dtype=np.int32), np.diff(at))[own])
-                    done += len(piece)
-                ids = batch.column(0).slice(row, done)
-                row += done
-                lists = [pa.array([v], k) for v, k in zip((ids.to_pylist(), np.concatenate(n), np.concatenate(total)), kinds[3:])]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.nulls(1, k) for k in kinds[1:3]), *lists], names)
-                rare, place = np.concatenate(rare), np.concatenate(place)
-                order = np.argsort(rare, kind="stable")
-                words, first = np.unique(rare[order], return_index=True)
-                at = pa.ListArray.from_arrays(pa.array(np.append(first, len(rare)).astype(np.int32)), pa.array(place[order]))
-                if len(words):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(words), chunk)), pa.array(words.view(np.int64)), at,
-                         *(pa.nulls(len(words), k) for k in kinds[3:])], names)
-                chunk += 1
+            for piece in slices(batch.column(1), min(CHUNK_BYTES, 2 << 20)):
+                words, at = word_hashes(piece)
+                context, ids = vocabulary.windows(words, at)
+                p = network.log_probability(context, ids)
+                own = vocabulary.bucketed(ids)
+                p[own] -= log_total[ids[own] - (vocabulary.size - vocabulary.buckets)]
+                sums = np.concatenate([[0.0], np.cumsum(p)])
+                n.append(np.diff(at))
+                total.append(np.where(np.diff(at) > 0, sums[at[1:]] - sums[at[:-1]], 0.0))
+                rare.append(words[own])
+                place.append(np.repeat(np.arange(rows, rows + len(piece), dtype=np.int32), np.diff(at))[own])
+                done.append(batch.column(0).slice(row, len(piece)))
+                row, rows, size = row + len(piece), rows + len(piece), size + piece.nbytes
+                if size >= CHUNK_BYTES or rows >= CHUNK_ROWS:
+                    yield from written()
+                    chunk, size, rows = chunk + 1, 0, 0
+        if rows:
+            yield from written()
     scored = stored(docs.select("doc_id", "text").mapInArrow(run, f"chunk long, word long, at array<int>, {_SCORED}"),
                     "lm-scored")
     # the logarithm of a word counted once, or never, is 0 and adds nothing

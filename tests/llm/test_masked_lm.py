@@ -124,3 +124,23 @@ def test_warm_start_learns_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(M, "discard", lambda *a: None)
     M.fit(docs)
     assert [len(r.text) for name, rows in seen if name == "lm-warm" for r in rows] == [18000]
+
+
+def test_a_chunk_goes_over_batches(spark, monkeypatch):
+    """A word is written once a chunk; small Arrow batches don't cut chunks."""
+    rows = [(i, "alpha beta gamma") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).cache()
+    vocabulary = M.Vocabulary([], 8, 8, 32)
+    net = M.Network(vocabulary, seed=5)
+    written, own = {}, M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name: written.setdefault(name, own(df, name)))
+    small = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "7")
+    try:
+        got = M.score(docs, vocabulary, net).collect()
+    finally:
+        spark.conf.set(small, before)
+    assert sorted(r.doc_id for r in got) == list(range(300)) and len({round(r.log_probability, 6) for r in got}) == 1
+    chunks = written["lm-scored"].where("word IS NULL").count()
+    assert chunks <= docs.rdd.getNumPartitions() and written["lm-scored"].where("word IS NOT NULL").count() == 3 * chunks
