@@ -50,6 +50,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, value)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage: heap that an earlier step filled, and buffers outside the heap that only the
+    collector frees, go back to the system before the next step takes its own. A task on every free core does it."""
+    cores = spark.sparkContext.defaultParallelism
+    collected = spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')").alias("done"))
+    collected.write.format("noop").mode("overwrite").save()
+
+
 def broadcast_value(spark: SparkSession, value):
     """A broadcast of any value, classes of this subpackage included; ``received`` reads it in a task."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convops.llm import exact_dedup, ngram_join, packing, pii, quality
-from convops.llm.shared import documents, small_batches, stored
+from convops.llm.shared import documents, give_back, small_batches, stored
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,7 @@ def _bounded(stage):
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
+        give_back(spark)
         return stage(spark, docs, sf_dir)
     return run
 

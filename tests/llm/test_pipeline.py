@@ -103,3 +103,20 @@ def test_all_queries_are_registered():
 def test_query_equals_its_sql(spark, name):
     res = compare_key(spark, duck(SF001), registry.QUERIES, registry.ORACLE_SQL, name, SF001)
     assert res["cols_match"] and res["values_match"], res
+
+
+def test_every_stage_begins_with_collected_garbage(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    before = sum(b.getCollectionCount() for b in beans)
+    C.give_back(spark)
+    assert sum(b.getCollectionCount() for b in beans) > before
+
+    class Called(Exception):
+        pass
+
+    def called(_):
+        raise Called
+    monkeypatch.setattr(C, "give_back", called)
+    for _, stage in C.STAGES:
+        with pytest.raises(Called):
+            stage(spark, None, SF001)
