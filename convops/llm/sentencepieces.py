@@ -37,19 +37,21 @@ REMEMBERED = 600_000
 
 
 class Bpe:
-    """Forward states by merges: which piece may follow which."""
+    """Forward states by merges: which piece may follow which.
+
+    The pieces that end at a character are found by an automaton over the pieces' beginnings: its node is the longest
+    beginning of a piece that the prefix ends with, and a step of it is worked out once.
+    """
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        # how long the pieces are that end like this: only those are tried
-        tails: dict[str, set[int]] = {}
-        for piece in scores:
-            for k in (2, 3, 4):
-                if len(piece) == k or len(piece) >= k == 4:
-                    tails.setdefault(piece[-k:], set()).add(len(piece))
-        self.lengths = {tail: tuple(sorted(n, reverse=True)) for tail, n in tails.items()}
+        self.beginnings = {""}.union(*({piece[:k] for k in range(1, len(piece) + 1)} for piece in scores))
+        # node -> next character -> (next node, the pieces that end there, longest first)
+        self.steps: dict[str, dict[str, tuple[str, tuple]]] = {node: {} for node in self.beginnings}
+        self.endings: dict[str, tuple] = {}
         self.histories: dict[str, tuple | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # piece -> piece before it -> may it follow
+        self.pairs: dict[str, dict[str, bool]] = {}
 
     def merges(self, word: str) -> tuple[list[str], list[float], list[str], list[str]]:
         """The word merged on its own: symbols left, and after each merge its score and the two end symbols."""
@@ -77,9 +79,10 @@ class Bpe:
 
     def may_follow(self, a: str, b: str) -> bool:
         """Would merging a + b end with exactly these two pieces?"""
-        known = self.pairs.get((a, b))
+        before = self.pairs.setdefault(b, {})
+        known = before.get(a)
         if known is None:
-            known = self.pairs[a, b] = self._apart(a, b)
+            known = before[a] = self._apart(a, b)
         return known
 
     def _apart(self, a: str, b: str) -> bool:
@@ -102,28 +105,34 @@ class Bpe:
             else:
                 j += 1
 
-    def extend(self, word: str, i: int, states: list) -> tuple[int, str]:
-        """The last piece of word[:i], as (its start, itself), from the states of shorter prefixes."""
-        scores, pairs = self.scores, self.pairs
-        for tail in range(4, 1, -1):
-            if tail > i:
-                continue
-            for n in self.lengths.get(word[i - tail:i], ()):
-                j = i - n
-                if j < 0:
-                    continue
-                piece = word[j:i]
-                if n != tail and piece not in scores:
+    def step(self, node: str, char: str) -> tuple[str, tuple]:
+        """The node after this character, and (length, piece, its pairs) of the pieces that end there, longest first."""
+        after = node + char
+        while after not in self.beginnings:
+            after = after[1:]
+        ending = self.endings.get(after)
+        if ending is None:
+            ends = (after[k:] for k in range(len(after) - 1))
+            ending = self.endings[after] = tuple(
+                (len(piece), piece, self.pairs.setdefault(piece, {})) for piece in ends if piece in self.scores)
+        found = self.steps[node][char] = (after, ending)
+        return found
+
+    def extend(self, word: str, i: int, states: list) -> tuple[int, str, str]:
+        """The last piece of word[:i], as (its start, itself), and the node, from the states of shorter prefixes."""
+        node, char = states[i - 1][2] if i > 1 else "", word[i - 1]
+        node, ending = self.steps[node].get(char) or self.step(node, char)
+        for n, piece, pairs in ending:
+            j = i - n
+            if not j:
+                if self.history(piece) is None:
                     continue
-                if j == 0:
-                    if self.history(piece) is not None:
-                        return j, piece
-                else:
-                    before = states[j][1]
-                    known = pairs.get((before, piece))
-                    if known or (known is None and self.may_follow(before, piece)):
-                        return j, piece
-        return i - 1, word[i - 1]
+                return j, piece, node
+            before = states[j][1]
+            known = pairs.get(before)
+            if known or (known is None and self.may_follow(before, piece)):
+                return j, piece, node
+        return i - 1, char, node
 
 
 class Unigram:

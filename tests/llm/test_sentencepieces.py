@@ -67,3 +67,20 @@ def test_bpe_walk_equals_merging_the_whole_word():
         words = sorted({"".join(rng.choice("ab▁") for _ in range(rng.randint(1, 12))) for _ in range(60)})
         for word, pieces in S.segment(words, model):
             assert pieces == S.Bpe(scores).merges(word)[0]
+
+
+def test_a_walk_over_known_beginnings_looks_up_no_piece():
+    """Which pieces end at a character is worked out once; pieces that don't exist aren't tried word by word."""
+    class Counting(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+    scores = Counting({p: -float(k) for k, p in enumerate(["ab", "cd", "abcd", "xabcd", "▁a", "▁abcd"])})
+    words = sorted(["zzabcd", "zabcd", "xabcd", "abcd", "▁abcd", "dabcdabcd"])
+    model = S.Bpe(scores)
+    first = list(S.segment(words, model))
+    assert first == [(w, S.Bpe(dict(scores)).merges(w)[0]) for w in words]
+    asked = scores.asked
+    assert list(S.segment(words, model)) == first and scores.asked == asked
