@@ -55,17 +55,26 @@ HELD_WORDS = 1 << 20
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (hash), n over all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        words, counts, held, merged = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
+
+        def together() -> tuple[np.ndarray, np.ndarray]:
+            both, at = np.unique(np.concatenate(words), return_inverse=True)
+            return both, np.bincount(at, np.concatenate(counts), len(both)).astype(np.int64)
         for batch in batches:
             for part in slices(batch.column(0), 4 << 20):
                 w, n = np.unique(word_hashes(part)[0], return_counts=True)
-                both, at = np.unique(np.concatenate([words, w]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-                words = both
-                if len(words) > HELD_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
-                    words, counts = words[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+                words.append(w)
+                counts.append(n)
+                held += len(w)
+                if held > merged + HELD_WORDS // 2:  # merged once in a while, not at every slice
+                    w, n = together()
+                    held = merged = len(w)
+                    if held > HELD_WORDS:
+                        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["word", "n"])
+                        w, n, held, merged = w[:0], n[:0], 0, 0
+                    words, counts = [w], [n]
+        w, n = together()
+        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["word", "n"])
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -94,14 +103,13 @@ class Vocabulary:
         """(contexts, ids) of all words; a text's neighbours lie within the text, else they are the pad."""
         ids = self.ids(words)
         n = len(ids)
-        text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        place = np.arange(n)
-        context = np.full((n, 2 * side), self.pad, np.int64)
+        # the texts one after the other with pads around each
+        place = np.arange(side, n + side) + np.repeat(np.arange(len(at) - 1) * side, np.diff(at))
+        padded = np.full(n + side * (len(at) + 1), self.pad, np.int64)
+        padded[place] = ids
+        context = np.empty((n, 2 * side), np.int64)
         for c, step in enumerate([*range(-side, 0), *range(1, side + 1)]):
-            there = place + step
-            ok = (there >= 0) & (there < n)
-            ok[ok] = text[there[ok]] == text[place[ok]]
-            context[ok, c] = ids[there[ok]]
+            context[:, c] = padded[place + step]
         return context, ids
 
 
@@ -129,32 +137,50 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = self.weights
-        x = w["embed"][context].reshape(len(context), -1)
-        return x, np.tanh(x @ w["place"] + w["bias"])
+        x = w["embed"].take(context, 0).reshape(len(context), -1)
+        h = x @ w["place"]
+        h += w["bias"]
+        return x, np.tanh(h, out=h)
 
     @staticmethod
-    def _chosen(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+    def _exp_sums(z: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+        """Sums of the exponentials of each row of scores, which are overwritten by them."""
+        np.exp(z, out=z)
+        out, ones = np.empty(len(z), z.dtype), np.ones(z.shape[1], z.dtype)
+        for _, s, e in classes:  # float32 sums may depend on the rows summed together: those of a class, as scored
+            np.matmul(z[s:e], ones, out=out[s:e])
+        return out
+
+    @classmethod
+    def _chosen(cls, z: np.ndarray, which: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
         """Log probability of one entry of each row of scores (which are overwritten; no score passes SCORE_LIMIT)."""
         np.clip(z, -SCORE_LIMIT, SCORE_LIMIT, out=z)
         own = z[np.arange(len(z)), which]
-        return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+        return own - np.log(cls._exp_sums(z, classes))
 
-    @staticmethod
-    def _error(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+    @classmethod
+    def _error(cls, z: np.ndarray, which: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
         """Gradient of the negative log probability: the row's probabilities, less one at its entry."""
         np.clip(z, -SCORE_LIMIT, SCORE_LIMIT, out=z)
-        np.exp(z, out=z)
-        z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+        z *= (1 / cls._exp_sums(z, classes))[:, None]
         z[np.arange(len(z)), which] -= 1
         return z
 
-    def _by_class(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The rows in the order of their classes, and (class, start, end) of every class that occurs."""
         own = ids // self.per_class
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(self.weights["class"].shape[1] + 1))
-        for c, (s, e) in enumerate(zip(ends[:-1], ends[1:])):
-            if e > s:
-                yield c, order[s:e]
+        order = np.argsort(own.astype(np.int16) if self.weights["class"].shape[1] < 1 << 15 else own, kind="stable")
+        ends = np.searchsorted(own[order], np.arange(self.weights["class"].shape[1] + 1)).tolist()
+        return order, [(c, s, e) for c, (s, e) in enumerate(zip(ends[:-1], ends[1:])) if e > s]
+
+    def _word_scores(self, h: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+        """Scores of the words of each row's class; the rows of ``h`` are in the order of their classes."""
+        w = self.weights
+        z = np.empty((len(h), self.per_class), h.dtype)
+        for c, s, e in classes:
+            np.matmul(h[s:e], w["word"][c], out=z[s:e])
+            z[s:e] += w["word_bias"][c]
+        return z
 
     def log_probability(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out = np.empty(len(ids), np.float64)
@@ -162,25 +188,35 @@ class Network:
         for s in range(0, len(ids), 1 << 15):
             _, h = self.hidden(context[s:s + (1 << 15)])
             own = ids[s:s + (1 << 15)]
-            p = self._chosen(h @ w["class"] + w["class_bias"], own // self.per_class).astype(np.float64)
-            for c, rows in self._by_class(own):
-                p[rows] += self._chosen(h[rows] @ w["word"][c] + w["word_bias"][c], own[rows] % self.per_class)
+            z = h @ w["class"]
+            z += w["class_bias"]
+            p = self._chosen(z, own // self.per_class, [(0, 0, len(z))]).astype(np.float64)
+            order, classes = self._by_class(own)
+            z = self._word_scores(h.take(order, 0), classes)
+            p[order] += self._chosen(z, own[order] % self.per_class, classes)
             out[s:s + (1 << 15)] = p
         return out
 
     def train(self, context: np.ndarray, ids: np.ndarray, rate: float = RATE) -> None:
         w, n = self.weights, len(ids)
         x, h = self.hidden(context)
-        g = self._error(h @ w["class"] + w["class_bias"], ids // self.per_class)
+        z = h @ w["class"]
+        z += w["class_bias"]
+        g = self._error(z, ids // self.per_class, [(0, 0, n)])
         grads = {"class": h.T @ g, "class_bias": g.sum(0), "word": np.zeros_like(w["word"]),
                  "word_bias": np.zeros_like(w["word_bias"])}
         dh = g @ w["class"].T
-        for c, rows in self._by_class(ids):
-            own = h[rows]
-            g = self._error(own @ w["word"][c] + w["word_bias"][c], ids[rows] % self.per_class)
-            grads["word"][c] = own.T @ g
-            grads["word_bias"][c] = g.sum(0)
-            dh[rows] += g @ w["word"][c].T
+        order, classes = self._by_class(ids)
+        own = h.take(order, 0)
+        g = self._error(self._word_scores(own, classes), ids[order] % self.per_class, classes)
+        back = np.empty_like(own)
+        for c, s, e in classes:
+            np.matmul(own[s:e].T, g[s:e], out=grads["word"][c])
+            g[s:e].sum(0, out=grads["word_bias"][c])
+            np.matmul(g[s:e], w["word"][c].T, out=back[s:e])
+        places = np.empty_like(order)
+        places[order] = np.arange(n)
+        dh += back.take(places, 0)
         dh *= 1 - h * h
         grads["place"], grads["bias"] = x.T @ dh, dh.sum(0)
         dx = (dh @ w["place"].T).reshape(-1, w["embed"].shape[1])

@@ -144,3 +144,44 @@ def test_a_chunk_goes_over_batches(spark, monkeypatch):
     assert sorted(r.doc_id for r in got) == list(range(300)) and len({round(r.log_probability, 6) for r in got}) == 1
     chunks = written["lm-scored"].where("word IS NULL").count()
     assert chunks <= docs.rdd.getNumPartitions() and written["lm-scored"].where("word IS NOT NULL").count() == 3 * chunks
+
+
+def test_a_step_takes_the_rows_of_all_classes_at_once(monkeypatch):
+    """Errors and log probabilities are worked out once over all classes' rows, not class by class, and are those of
+    each class's rows alone."""
+    vocabulary, net = network(6)
+    rng = np.random.default_rng(7)
+    context, ids = rng.integers(0, vocabulary.size + 1, (300, 4)), rng.integers(0, vocabulary.size, 300)
+    calls = []
+    for name in ("_error", "_chosen"):
+        own = getattr(M.Network, name)
+        monkeypatch.setattr(M.Network, name, staticmethod(lambda *a, own=own, name=name: calls.append(name) or own(*a)))
+    got = net.log_probability(context, ids)
+    alone = np.concatenate([net.log_probability(context[i:i + 1], ids[i:i + 1]) for i in range(300)])
+    assert abs(got - alone).max() < 1e-5 and calls == ["_chosen"] * 602
+    h, w = net.hidden(context)[1], {k: v.copy() for k, v in net.weights.items()}
+    for c in range(8):
+        rows = np.flatnonzero(ids // 8 == c)
+        p = np.exp(h[rows] @ w["word"][c] + w["word_bias"][c])
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(rows)), ids[rows] % 8] -= 1
+        w["word"][c] = h[rows].T @ p / 300
+    calls.clear()
+    net.train(context, ids)
+    assert calls == ["_error"] * 2
+    assert abs(net.moments["word"][0] * 10 - w["word"]).max() < 1e-5
+
+
+def test_counts_given_away_in_between_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(M, "HELD_WORDS", 40)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(200)}" for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    small = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "3")
+    try:
+        got = {r.word: r.n for r in M.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    finally:
+        spark.conf.set(small, before)
+    words, n = np.unique(word_hashes(pa.array(texts))[0], return_counts=True)
+    assert got == dict(zip(words.view(np.int64).tolist(), n.tolist()))
